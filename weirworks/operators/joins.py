@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirworks.operators.ordered import top_per_key
@@ -68,6 +68,46 @@ def one_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) ->
     return top_per_key(df, keys, order, 1)
 
 
+# A hot key is one with at least this share of the rows, so there are at most 1 / share of them.
+HOT_SHARE = 0.01
+SPREAD = 1024
+
+
+def join_unique(df: DataFrame, unique: DataFrame, keys: Sequence[str], hot_share: float = HOT_SHARE) -> DataFrame:
+    """Left join to a frame with one row per key, without sending a hot key's rows to one task.
+
+    The right rows of hot keys, at most ``1 / hot_share`` of them, are broadcast. Left rows answered that way
+    get a salt the right side does not have, so the shuffle for all other keys spreads them evenly. NULL keys
+    match NULL keys.
+    """
+    keys = list(keys)
+    values = [c for c in unique.columns if c not in keys]
+    names = [f"_k{i}" for i in range(len(keys))]
+    counts = df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]).agg(F.count(F.lit(1)).alias("_rows"))
+    total = counts.agg(F.sum("_rows").alias("_all"))
+    heavy = counts.join(F.broadcast(total)).where(F.col("_rows") >= hot_share * F.col("_all")).select(*names)
+    side = unique.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.struct(*values).alias("_value"))
+
+    def same(a: Sequence[str], b: Sequence[str]) -> Column:
+        return reduce(lambda x, y: x & y, [F.col(m).eqNullSafe(F.col(n)) for m, n in zip(a, b, strict=True)])
+
+    marked = heavy.select(*[F.col(n).alias(f"_h{n}") for n in names])
+    heavy_names = [f"_h{n}" for n in names]
+    found = side.join(F.broadcast(marked), same(names, heavy_names)).select(*names, "_value")
+    # Hot keys the right side lacks stay in the list, so their rows are spread as well.
+    hot = marked.join(F.broadcast(found), same(heavy_names, names), "left").select(
+        *heavy_names, F.col("_value").alias("_hot_value"), F.lit(True).alias("_is_hot")
+    )
+    answered = df.join(F.broadcast(hot), same(keys, heavy_names), "left").drop(*heavy_names)
+    salt = F.when(F.col("_is_hot"), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(SPREAD)) + 1).otherwise(0)
+    salted = answered.withColumn("_salt", salt)
+    rest = side.withColumn("_cold", F.lit(0).cast("bigint"))
+    out = salted.join(rest, same(keys, names) & (F.col("_salt") == F.col("_cold")), "left")
+    value = F.when(F.col("_is_hot"), F.col("_hot_value")).otherwise(F.col("_value"))
+    out = out.withColumn("_got", value)
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"_got.`{c}`").alias(c) for c in values])
+
+
 def lookup(df: DataFrame, dim: DataFrame, keys: Sequence[str], columns: Sequence[str], order: Sequence[Column] = ()) -> DataFrame:
     """Add columns of a dimension. A key the dimension holds twice is settled by ``order``, so rows never multiply."""
     narrow = dim.select(*dict.fromkeys([*keys, *columns]))
@@ -78,7 +118,7 @@ def lookup(df: DataFrame, dim: DataFrame, keys: Sequence[str], columns: Sequence
     clash = [c for c in columns if c in df.columns and c not in keys]
     if clash:
         raise ValueError(f"lookup would overwrite {clash}")
-    return df.join(narrow, list(keys), "left")
+    return join_unique(df, narrow, keys)
 
 
 def merge(base: DataFrame, changes: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -125,12 +165,10 @@ def latest_before(
     both = per_day.withColumn("_ask", F.lit(False)).unionByName(
         asked.withColumn("_ask", F.lit(True)), allowMissingColumns=True
     )
-    from pyspark.sql import Window
-
     # On the same day the question sorts before the value, so only earlier days answer it.
     earlier = Window.partitionBy(*keys).orderBy("_day", F.desc("_ask")).rowsBetween(Window.unboundedPreceding, -1)
     answered = both.withColumn("_found", F.last("_value", ignorenulls=True).over(earlier)).where("_ask")
     answered = answered.select(*keys, "_day", "_found")
     dated = left.withColumn("_day", F.to_date(left_time))
-    out = dated.join(answered, [*keys, "_day"], "left")
+    out = join_unique(dated, answered, [*keys, "_day"])
     return out.select(*[F.col(f"`{c}`") for c in left.columns], *[F.col(f"_found.{c}") for c in [right_time, *columns]])

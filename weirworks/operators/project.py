@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weirworks.functions.names import field, resolve_path, snake, type_of
+from weirworks.operators.joins import join_unique
+from weirworks.operators.ordered import numbered
 from weirworks.types import is_numeric, spark_type
 
 
@@ -159,20 +161,16 @@ def fill_missing(
 def _fill_mode(df: DataFrame, column: str, filled: str, by: list[str]) -> DataFrame:
     # Counting values first keeps the second aggregation at one row per distinct value.
     counts = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count(F.lit(1)).alias("_n"))
-    # The smallest of equally frequent values: count ascending, then value descending, so max_by takes it.
-    best = counts.groupBy(*by).agg(F.max("_n").alias("_n"))
-    top = counts.join(best, [*by, "_n"]) if by else counts.join(best, "_n")
-    stats = top.groupBy(*by).agg(F.min(column).alias("_fill"))
+    # Among equally frequent values the smallest wins.
+    first = F.min_by(column, F.struct((-F.col("_n")).alias("n"), F.col(column).alias("v")))
+    stats = counts.groupBy(*by).agg(first.alias("_fill"))
     return _filled(df, stats, by, column, filled)
 
 
 def _filled(df: DataFrame, stats: DataFrame, by: list[str], column: str, filled: str) -> DataFrame:
     value = F.coalesce(F.col(column), F.col("_fill")).alias(filled)
-    if by:
-        keyed = stats.select(*[F.col(k).alias(f"_by_{k}") for k in by], "_fill")
-        joined = df.join(keyed, reduce(lambda a, b: a & b, [df[k].eqNullSafe(keyed[f"_by_{k}"]) for k in by]), "left")
-    else:
-        joined = df.join(F.broadcast(stats), how="left")  # one row: a global aggregate
+    # Without groups the statistic is a global aggregate of one row.
+    joined = join_unique(df, stats, by) if by else df.join(F.broadcast(stats), how="left")
     if filled == column:
         return joined.select(*[value if c == column else F.col(f"`{c}`") for c in df.columns])
     return joined.select(*[F.col(f"`{c}`") for c in df.columns], value)
@@ -210,8 +208,6 @@ def add_identifier(df: DataFrame, name: str = "id", order_by: Sequence[str] = ()
     """
     if not order_by:
         return df.withColumn(name, F.monotonically_increasing_id())
-    from weirworks.operators.ordered import numbered
-
     return numbered(df, order_by, name)
 
 

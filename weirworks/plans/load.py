@@ -2,7 +2,9 @@
 
 from weirworks.plans import (  # noqa: F401
     core,
+    history,
     relational,
+    sqlsteps,
 )
 from weirworks.plans.registry import REGISTRY
 
