@@ -3,6 +3,7 @@
 from weirworks.plans import (  # noqa: F401
     core,
     history,
+    observe,
     relational,
     sqlsteps,
 )
