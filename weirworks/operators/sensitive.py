@@ -5,27 +5,22 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirworks.functions import entities as ent
 from weirworks.functions.entities import Entity
 
-AUDIT = "array<struct<entity: string, column: string, match: string>>"
-
-
 def row_audit(df: DataFrame, columns: Sequence[str], found: Sequence[Entity], to: str = "detected") -> DataFrame:
     """Every match of every entity as an array column. All patterns look at a text in one pass over the rows."""
-    lists = [
-        F.transform(
-            ent.matches(F.col(c), e), lambda m, e=e, c=c: F.struct(F.lit(e.name).alias("entity"), F.lit(c).alias("column"), m.alias("match"))
-        )
-        for c in columns
-        for e in found
-    ]
+    lists = [_tagged(ent.matches(F.col(c), e), e.name, c) for c in columns for e in found]
     return df.withColumn(to, F.flatten(F.filter(F.array(*lists), lambda x: x.isNotNull())))
 
 
+def _tagged(found: Column, entity: str, column: str) -> Column:
+    return F.transform(found, lambda m: F.struct(F.lit(entity).alias("entity"), F.lit(column).alias("column"), m.alias("match")))
+
+
 def row_masking(df: DataFrame, columns: Sequence[str], found: Sequence[Entity], mask: str = "*******") -> DataFrame:
     return df.withColumns({c: reduce(lambda t, e: ent.masked(t, e, mask), found, F.col(c)) for c in columns})
 

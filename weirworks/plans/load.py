@@ -1,6 +1,7 @@
 """Importing this module fills the registry."""
 
 from weirworks.plans import (  # noqa: F401
+    checks,
     core,
     history,
     observe,

@@ -15,7 +15,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 STATE_SCHEMA = "path string, modified_at timestamp, size bigint, batch string"
 
@@ -37,13 +36,10 @@ class Bookmark:
     state_path: str
 
     def consumed(self) -> DataFrame:
-        try:
-            reader = self.spark.read.schema(STATE_SCHEMA).option("recursiveFileLookup", True)
-            return reader.parquet(f"{self.state_path}/consumed")
-        except AnalysisException as missing:
-            if missing.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], STATE_SCHEMA)
+        # An empty first entry, written once, so that the table can always be read.
+        self.spark.createDataFrame([], STATE_SCHEMA).write.mode("ignore").parquet(f"{self.state_path}/consumed/none")
+        reader = self.spark.read.schema(STATE_SCHEMA).option("recursiveFileLookup", True)
+        return reader.parquet(f"{self.state_path}/consumed")
 
     def listing(self, paths: list[str], pattern: str = "*") -> DataFrame:
         """One row per file; only names, times and sizes are looked at, never the content."""
