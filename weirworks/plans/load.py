@@ -7,6 +7,7 @@ from weirworks.plans import (  # noqa: F401
     observe,
     relational,
     sqlsteps,
+    streams,
 )
 from weirworks.plans.registry import REGISTRY
 
