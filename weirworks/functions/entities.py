@@ -43,6 +43,9 @@ PATTERNS = {
     "SPAIN_NIF_NIE": r"\b(?:[0-9]{8}|[XYZ][0-9]{7})-?[TRWAGMYFPDXBNJZSQVHLCKE]\b",
 }
 
+# What every match of a pattern contains; where nothing is listed, a digit.
+MARKERS = {"EMAIL": "@", "MAC_ADDRESS": "[:-]"}
+
 # Words one of which has to occur in the text when detection is set to LOW.
 CONTEXT = {
     "EMAIL": ("mail", "contact", "@"),
@@ -60,6 +63,8 @@ class Entity:
     name: str
     pattern: str
     context: tuple[str, ...] = ()
+    # A cheap pattern every match contains; texts without it need no search.
+    marker: str = ""
 
 
 def managed(name: str, sensitivity: str = "HIGH") -> Entity:
@@ -70,7 +75,7 @@ def managed(name: str, sensitivity: str = "HIGH") -> Entity:
         raise ValueError(f"{name} has no public pattern: it needs a custom pattern")
     if sensitivity not in ("HIGH", "LOW"):
         raise ValueError("sensitivity is HIGH or LOW")
-    return Entity(name, PATTERNS[name], CONTEXT.get(name, ()) if sensitivity == "LOW" else ())
+    return Entity(name, PATTERNS[name], CONTEXT.get(name, ()) if sensitivity == "LOW" else (), MARKERS.get(name, "[0-9]"))
 
 
 def custom(name: str, pattern: str, context: Sequence[str] = ()) -> Entity:
@@ -101,14 +106,26 @@ def has_context(text: Column, entity: Entity) -> Column:
     return found if entity.context else F.lit(True)
 
 
-def matches(text: Column, entity: Entity) -> Column:
+def possible(text: Column, entity: Entity) -> Column:
+    """A quick test that only texts with a match, and some others, pass."""
+    return text.rlike(entity.marker) if entity.marker else F.lit(True)
+
+
+def matches(text: Column, entity: Entity, likely: Column | None = None) -> Column:
+    """All matches in order. ``likely`` is ``possible`` worked out before, to share it among entities."""
+    test = (possible(text, entity) if likely is None else likely) & has_context(text, entity)
     found = F.regexp_extract_all(text, F.lit(entity.pattern), F.lit(0))
-    return F.when(has_context(text, entity), found).otherwise(F.array().cast("array<string>")) if entity.context else found
+    return F.when(test, found).otherwise(F.array().cast("array<string>"))
+
+
+def occurs(text: Column, entity: Entity, likely: Column | None = None) -> Column:
+    test = possible(text, entity) if likely is None else likely
+    return test & has_context(text, entity) & F.regexp_like(text, F.lit(entity.pattern))
 
 
 def count(text: Column, entity: Entity) -> Column:
-    hits = F.regexp_count(text, F.lit(entity.pattern))
-    return F.when(has_context(text, entity), hits).otherwise(0) if entity.context else hits
+    test = possible(text, entity) & has_context(text, entity)
+    return F.when(test, F.regexp_count(text, F.lit(entity.pattern))).otherwise(0)
 
 
 def rewrite(text: Column, entity: Entity, change) -> Column:
@@ -117,14 +134,12 @@ def rewrite(text: Column, entity: Entity, change) -> Column:
     changed = F.transform(F.regexp_extract_all(text, F.lit(entity.pattern), F.lit(0)), change)
     # There is one piece more than there are matches; the padding keeps both lists the same length.
     woven = F.zip_with(between, changed, lambda piece, new: F.concat(piece, F.coalesce(new, F.lit(""))))
-    out = F.when(F.regexp_like(text, F.lit(entity.pattern)), F.array_join(woven, "")).otherwise(text)
-    return F.when(has_context(text, entity), out).otherwise(text) if entity.context else out
+    return F.when(occurs(text, entity), F.array_join(woven, "")).otherwise(text)
 
 
 def masked(text: Column, entity: Entity, mask: str = "*******") -> Column:
-    if entity.context:
-        return F.when(has_context(text, entity), F.regexp_replace(text, entity.pattern, mask)).otherwise(text)
-    return F.regexp_replace(text, entity.pattern, mask)
+    test = possible(text, entity) & has_context(text, entity)
+    return F.when(test, F.regexp_replace(text, entity.pattern, mask)).otherwise(text)
 
 
 def partly_masked(text: Column, entity: Entity, keep: int = 4) -> Column:

@@ -108,8 +108,20 @@ def join_unique(df: DataFrame, unique: DataFrame, keys: Sequence[str], hot_share
     return out.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"_got.`{c}`").alias(c) for c in values])
 
 
+# A side with at most this many rows is broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether the frame has at most ``rows`` rows; stops reading once it has seen more."""
+    return df.select(F.lit(1)).limit(rows + 1).count() <= rows
+
+
 def lookup(df: DataFrame, dim: DataFrame, keys: Sequence[str], columns: Sequence[str], order: Sequence[Column] = ()) -> DataFrame:
-    """Add columns of a dimension. A key the dimension holds twice is settled by ``order``, so rows never multiply."""
+    """Add columns of a dimension. A key the dimension holds twice is settled by ``order``, so rows never multiply.
+
+    A dimension found to be small is broadcast; a larger one is joined in the way that withstands hot keys.
+    """
     narrow = dim.select(*dict.fromkeys([*keys, *columns]))
     if order:
         narrow = one_per_key(dim, keys, order).select(*narrow.columns)
@@ -118,6 +130,8 @@ def lookup(df: DataFrame, dim: DataFrame, keys: Sequence[str], columns: Sequence
     clash = [c for c in columns if c in df.columns and c not in keys]
     if clash:
         raise ValueError(f"lookup would overwrite {clash}")
+    if is_small(dim):
+        return df.join(F.broadcast(narrow), list(keys), "left")
     return join_unique(df, narrow, keys)
 
 

@@ -49,14 +49,27 @@ def insights(logs: DataFrame) -> DataFrame:
     return logs.where(F.col("log_group").isin(*sig.INSIGHT_GROUPS) & _insight(F.col("stream"))).withColumn("insight", tag)
 
 
-def rule_hits(text: Column, rules: Sequence[sig.Signature] = sig.SIGNATURES) -> Column:
-    """``(rule, excludes)`` for every rule whose pattern, or whose exclusion, occurs in the line."""
+def rule_marks(text: Column, rules: Sequence[sig.Signature] = sig.SIGNATURES) -> Column:
+    """One entry per pattern of every rule: ``(rule, excludes)`` where it occurs in the line, else NULL.
+
+    Meant to be exploded: each pattern is then tried once per line, inside generated code.
+    """
     marks = []
     for number, rule in enumerate(rules):
-        marks.append(F.when(text.rlike("(?i)" + rule.pattern), F.struct(F.lit(number).alias("rule"), F.lit(False).alias("excludes"))))
+        marks.append(_mark(text, rule.pattern, number, False))
         if rule.unless:
-            marks.append(F.when(text.rlike("(?i)" + rule.unless), F.struct(F.lit(number).alias("rule"), F.lit(True).alias("excludes"))))
-    return F.filter(F.array(*marks), lambda m: m.isNotNull())
+            marks.append(_mark(text, rule.unless, number, True))
+    return F.array(*marks)
+
+
+def _mark(text: Column, pattern: str, number: int, excludes: bool) -> Column:
+    return F.when(text.rlike("(?i)" + pattern), F.struct(F.lit(number).alias("rule"), F.lit(excludes).alias("excludes")))
+
+
+def rule_hits(lines: DataFrame, text: str, rules: Sequence[sig.Signature] = sig.SIGNATURES) -> DataFrame:
+    """A row ``(..., rule, excludes)`` for every pattern that occurs in a line."""
+    marked = lines.select("*", F.explode(rule_marks(F.col(text), rules)).alias("_mark")).where("_mark IS NOT NULL")
+    return marked.select(*[F.col(f"`{c}`") for c in lines.columns], "_mark.*")
 
 
 def evidence_lines(failures: DataFrame, logs: DataFrame) -> DataFrame:
@@ -82,8 +95,7 @@ def classify(lines: DataFrame, rules: Sequence[sig.Signature] = sig.SIGNATURES)
     All rules look at a line in one pass, and one aggregation keeps, per run and rule, the first hit and
     whether an exclusion was met anywhere in the run.
     """
-    hits = lines.withColumn("_hits", rule_hits(F.col("line"), rules)).where(F.size("_hits") > 0)
-    hits = hits.select("run_id", "part", "at", "seq", "line_no", "line", F.inline("_hits"))
+    hits = rule_hits(lines.select("run_id", "part", "at", "seq", "line_no", "line"), "line", rules)
     place = F.when(~F.col("excludes"), F.struct("part", "at", "seq", "line_no", "line"))
     found = hits.groupBy("run_id", "rule").agg(F.min(place).alias("first"), F.max("excludes").alias("excluded"))
     found = found.where(F.col("first").isNotNull() & ~F.col("excluded"))
@@ -118,8 +130,8 @@ def scan_scripts(scripts: DataFrame) -> DataFrame:
         F.when(F.col("code").rlike(r.pattern), F.struct(F.lit(r.severity).alias("severity"), F.lit(r.title).alias("title")))
         for r in sig.MIGRATION_RULES
     ]
-    found = lines.withColumn("_found", F.filter(F.array(*marks), lambda m: m.isNotNull()))
-    return found.select("script", (F.col("_at") + 1).alias("line"), F.inline("_found"))
+    found = lines.select("script", "_at", F.explode(F.array(*marks)).alias("_found")).where("_found IS NOT NULL")
+    return found.select("script", (F.col("_at") + 1).alias("line"), "_found.*")
 
 
 def severity_counts(findings: DataFrame) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,26 +10,49 @@ from pyspark.sql import functions as F
 from weirworks.functions import entities as ent
 from weirworks.functions.entities import Entity
 
+def _with_marks(df: DataFrame, columns: Sequence[str], found: Sequence[Entity]) -> tuple[DataFrame, dict[tuple[str, str], Column]]:
+    """The frame with one flag per column and marker, so that a text is tried for each marker only once."""
+    names = {(c, m): f"_mark_{i}" for i, (c, m) in enumerate((c, m) for c in columns for m in sorted({e.marker for e in found if e.marker}))}
+    flagged = df.withColumns({name: F.col(c).rlike(m) for (c, m), name in names.items()})
+    flags = {key: F.col(name) for key, name in names.items()}
+    return flagged, flags | {(c, ""): F.lit(True) for c in columns}
+
+
 def row_audit(df: DataFrame, columns: Sequence[str], found: Sequence[Entity], to: str = "detected") -> DataFrame:
-    """Every match of every entity as an array column. All patterns look at a text in one pass over the rows."""
-    lists = [_tagged(ent.matches(F.col(c), e), e.name, c) for c in columns for e in found]
-    return df.withColumn(to, F.flatten(F.filter(F.array(*lists), lambda x: x.isNotNull())))
+    """Every match of every entity as an array column of ``(entity, column, match)``."""
+    flagged, flags = _with_marks(df, columns, found)
+    lists = [_tagged(ent.matches(F.col(c), e, flags[c, e.marker]), e.name, c) for c in columns for e in found]
+    return flagged.select(*[F.col(f"`{c}`") for c in df.columns], F.flatten(F.filter(F.array(*lists), lambda x: x.isNotNull())).alias(to))
+
+
+def matches(df: DataFrame, keys: Sequence[str], columns: Sequence[str], found: Sequence[Entity]) -> DataFrame:
+    """One row ``(keys, entity, column, match)`` per match."""
+    audited = row_audit(df.select(*dict.fromkeys([*keys, *columns])), columns, found).select(*keys, "detected")
+    # An inner explode would make the optimizer search every text once more to filter out those without a match.
+    return audited.select(*keys, F.inline_outer("detected")).where("entity IS NOT NULL")
 
 
 def _tagged(found: Column, entity: str, column: str) -> Column:
     return F.transform(found, lambda m: F.struct(F.lit(entity).alias("entity"), F.lit(column).alias("column"), m.alias("match")))
 
 
+def _rewritten(df: DataFrame, columns: Sequence[str], found: Sequence[Entity], change) -> DataFrame:
+    """One projection per entity: folding them into one expression would repeat the inner ones many times over."""
+    for e in found:
+        df = df.withColumns({c: change(F.col(c), e) for c in columns})
+    return df
+
+
 def row_masking(df: DataFrame, columns: Sequence[str], found: Sequence[Entity], mask: str = "*******") -> DataFrame:
-    return df.withColumns({c: reduce(lambda t, e: ent.masked(t, e, mask), found, F.col(c)) for c in columns})
+    return _rewritten(df, columns, found, lambda t, e: ent.masked(t, e, mask))
 
 
 def row_partial_masking(df: DataFrame, columns: Sequence[str], found: Sequence[Entity], keep: int = 4) -> DataFrame:
-    return df.withColumns({c: reduce(lambda t, e: ent.partly_masked(t, e, keep), found, F.col(c)) for c in columns})
+    return _rewritten(df, columns, found, lambda t, e: ent.partly_masked(t, e, keep))
 
 
 def row_hashing(df: DataFrame, columns: Sequence[str], found: Sequence[Entity]) -> DataFrame:
-    return df.withColumns({c: reduce(lambda t, e: ent.hashed(t, e), found, F.col(c)) for c in columns})
+    return _rewritten(df, columns, found, ent.hashed)
 
 
 def column_audit(
@@ -40,10 +62,11 @@ def column_audit(
     if not 0 < sample <= 1:
         raise ValueError("sample is a fraction above 0")
     looked = df if sample == 1.0 else df.sample(fraction=sample, seed=seed)
+    looked, flags = _with_marks(looked.select(*columns), columns, found)
     cells = [
         F.struct(
             F.lit(c).alias("column"), F.lit(e.name).alias("entity"), F.count(F.col(c)).alias("rows"),
-            F.count_if(F.regexp_like(F.col(c), F.lit(e.pattern)) & ent.has_context(F.col(c), e)).alias("hits"),
+            F.count_if(ent.occurs(F.col(c), e, flags[c, e.marker])).alias("hits"),
         )
         for c in columns
         for e in found

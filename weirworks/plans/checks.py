@@ -136,7 +136,7 @@ def _weave(text: str, entity, change: str) -> str:
         FROM documents, (VALUES {_table(ENTITIES)}) t(name, pattern)""",
 )
 def pii_row_audit(d: Data) -> DataFrame:
-    return sensitive.row_audit(d.documents, ["text"], ENTITIES).select("doc_id", F.inline("detected"))
+    return sensitive.matches(d.wide("documents", "doc_id"), ["doc_id"], ["text"], ENTITIES)
 
 
 def _masked_sql(entities) -> str:
@@ -148,7 +148,7 @@ def _masked_sql(entities) -> str:
 
 @query("pii_row_masking", f"SELECT doc_id, {_masked_sql(COMMON)} AS text FROM documents")
 def pii_row_masking(d: Data) -> DataFrame:
-    return sensitive.row_masking(d.documents.select("doc_id", "text"), ["text"], COMMON)
+    return sensitive.row_masking(d.wide("documents", "doc_id").select("doc_id", "text"), ["text"], COMMON)
 
 
 @query(
@@ -157,12 +157,12 @@ def pii_row_masking(d: Data) -> DataFrame:
         SELECT doc_id, {_weave('text', COMMON[3], "concat(repeat('*', greatest(length(z[2]) - 4, 0)), right(z[2], 4))")} AS text FROM a""",
 )
 def pii_row_partial_masking(d: Data) -> DataFrame:
-    return sensitive.row_partial_masking(d.documents.select("doc_id", "text"), ["text"], [COMMON[0], COMMON[3]])
+    return sensitive.row_partial_masking(d.wide("documents", "doc_id").select("doc_id", "text"), ["text"], [COMMON[0], COMMON[3]])
 
 
 @query("pii_row_hashing", f"SELECT doc_id, {_weave('text', COMMON[0], 'sha256(z[2])')} AS text FROM documents")
 def pii_row_hashing(d: Data) -> DataFrame:
-    return sensitive.row_hashing(d.documents.select("doc_id", "text"), ["text"], [COMMON[0]])
+    return sensitive.row_hashing(d.wide("documents", "doc_id").select("doc_id", "text"), ["text"], [COMMON[0]])
 
 
 @query(
@@ -172,17 +172,17 @@ def pii_row_hashing(d: Data) -> DataFrame:
         FROM documents, (VALUES {_table(ENTITIES)}) t(name, pattern) GROUP BY name""",
 )
 def pii_column_audit(d: Data) -> DataFrame:
-    return sensitive.column_audit(d.documents, ["text"], ENTITIES, threshold=0.02)
+    return sensitive.column_audit(d.wide("documents", "doc_id"), ["text"], ENTITIES, threshold=0.02)
 
 
 @query("pii_column_masking", "SELECT doc_id, '*******' AS text, source FROM documents")
 def pii_column_masking(d: Data) -> DataFrame:
-    return sensitive.column_masking(d.documents.select("doc_id", "text", "source"), ["text", "source"], COMMON, threshold=0.0001)
+    return sensitive.column_masking(d.wide("documents", "doc_id").select("doc_id", "text", "source"), ["text", "source"], COMMON, threshold=0.0001)
 
 
 @query("pii_column_hashing", "SELECT doc_id, sha256(text) AS text, source FROM documents")
 def pii_column_hashing(d: Data) -> DataFrame:
-    return sensitive.column_hashing(d.documents.select("doc_id", "text", "source"), ["text", "source"], COMMON, threshold=0.0001)
+    return sensitive.column_hashing(d.wide("documents", "doc_id").select("doc_id", "text", "source"), ["text", "source"], COMMON, threshold=0.0001)
 
 
 TOKEN = ent.custom("ACCESS_TOKEN", r"\b[0-9a-f]{40}\b", ["token ="])
@@ -194,7 +194,7 @@ TOKEN = ent.custom("ACCESS_TOKEN", r"\b[0-9a-f]{40}\b", ["token ="])
           CAST(len(list_slice(regexp_extract_all(text, '\b[0-9a-f]{40}\b'), 1, 20)) AS INTEGER) AS n FROM documents WHERE contains(lower(text), 'token =') AND regexp_matches(text, '\b[0-9a-f]{40}\b')""",
 )
 def pii_custom_entity(d: Data) -> DataFrame:
-    checked = ent.validate(d.documents, "text", TOKEN).where(F.size("matches") > 0)
+    checked = ent.validate(d.wide("documents", "doc_id"), "text", TOKEN).where(F.size("matches") > 0)
     return checked.select("doc_id", F.get("matches", F.lit(0)).alias("first_match"), F.size("matches").alias("n"))
 
 
@@ -206,7 +206,7 @@ def pii_custom_entity(d: Data) -> DataFrame:
 )
 def pii_low_sensitivity(d: Data) -> DataFrame:
     text = F.col("text")
-    return d.documents.select(
+    return d.wide("documents", "doc_id").select(
         "doc_id", ent.count(text, ent.managed("IP_ADDRESS")).alias("high"), ent.count(text, ent.managed("IP_ADDRESS", "LOW")).alias("low")
     )
 
@@ -310,7 +310,7 @@ def cast_loss(d: Data) -> DataFrame:
     "join_health",
     """WITH l AS (SELECT user_id AS k FROM events), r AS (SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'P'),
          lc AS (SELECT k, count(*) AS l FROM l GROUP BY k), rc AS (SELECT k, count(*) AS r FROM r GROUP BY k)
-       SELECT (SELECT count(*) FROM l) AS left_rows, (SELECT count(*) FROM r) AS right_rows, 0 AS left_null_keys,
+       SELECT (SELECT count(*) FROM l) AS left_rows, (SELECT count(*) FROM r) AS right_rows, 0::BIGINT AS left_null_keys,
          (SELECT count(*) FROM l WHERE k IN (SELECT k FROM r)) AS left_matched, (SELECT count(*) FROM l WHERE k NOT IN (SELECT k FROM r)) AS left_unmatched,
          (SELECT count(*) FROM rc WHERE r > 1) AS right_repeated_keys, (SELECT coalesce(sum(l * r), 0)::BIGINT FROM lc JOIN rc USING (k)) AS joined_rows""",
 )

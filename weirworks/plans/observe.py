@@ -53,7 +53,7 @@ FAILURES = """SELECT run_id, state, CASE state WHEN 'TIMEOUT' THEN concat('Execu
 
 
 def failures(d: Data) -> DataFrame:
-    d.runs.createOrReplaceTempView("runs")
+    d.wide("runs", "run_id").createOrReplaceTempView("runs")
     return d.spark.sql(FAILURES)
 
 
@@ -115,7 +115,7 @@ SCAN_SQL = ", ".join(f"({_literal(r.pattern)}, {_literal(r.severity)}, {_literal
     "scripts",
 )
 def script_migration_scan(d: Data) -> DataFrame:
-    return logs.scan_scripts(d.scripts)
+    return logs.scan_scripts(d.wide("scripts", "script"))
 
 
 @query(
@@ -127,7 +127,7 @@ def script_migration_scan(d: Data) -> DataFrame:
     "scripts",
 )
 def script_severity_counts(d: Data) -> DataFrame:
-    return logs.severity_counts(logs.scan_scripts(d.scripts))
+    return logs.severity_counts(logs.scan_scripts(d.wide("scripts", "script")))
 
 
 @query(

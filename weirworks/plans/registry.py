@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from weirworks.plans.views import VIEWS
-from weirworks.session import prepare
+from weirworks.session import prepare, spread
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -29,6 +29,10 @@ class Data:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 
+    def wide(self, name: str, key: str) -> DataFrame:
+        """The table for work that is costly per row, on all cores even when it is a single small file."""
+        return spread(getattr(self, name), key)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
             return self.table(name)

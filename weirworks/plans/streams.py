@@ -145,7 +145,7 @@ def stream_log_follow(d: Data) -> DataFrame:
     lines.write.parquet(home)
     stream = logs.console_lines(flow.source(d.spark, "parquet", schema=lines.schema, path=home))
     text = F.regexp_replace("message", sig.HANDLE, sig.HANDLE_MARK)
-    hits = stream.select("event_id", "run_id", F.inline(logs.rule_hits(text))).where(~F.col("excludes"))
+    hits = logs.rule_hits(stream.select("event_id", "run_id", text.alias("line")), "line").where(~F.col("excludes"))
     named = F.element_at(F.array(*[F.lit(r.id) for r in sig.SIGNATURES]), F.col("rule") + 1)
     return _drained(d, hits.select("event_id", "run_id", named.alias("id")), "followed")
 

@@ -56,3 +56,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and continue from the written copy."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a scan that has fewer splits than there are cores, dealt out over all cores.
+
+    For work that is costly per row, such as many patterns over long texts. A scan with enough splits, which is
+    any large one, is left as it is, so no rows are moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
