@@ -38,7 +38,7 @@ PATTERNS = {
     "UK_BANK_SORT_CODE": r"\b[0-9]{2}-[0-9]{2}-[0-9]{2}\b",
     "UK_NATIONAL_HEALTH_SERVICE_NUMBER": r"\b[0-9]{3} [0-9]{3} [0-9]{4}\b",
     "UK_VALUE_ADDED_TAX": r"\bGB ?(?:[0-9]{9}(?:[0-9]{3})?|(?:GD|HA)[0-9]{3})\b",
-    "UK_PHONE_NUMBER": r"(?:\+44 ?|\b0)[1-9][0-9]{2,3} ?[0-9]{3} ?[0-9]{3,4}\b",
+    "UK_PHONE_NUMBER": r"(?:\+44 ?|\b0)[1-9][0-9]{1,4} ?[0-9]{3,4} ?[0-9]{3,4}\b",
     "CANADA_SIN": r"\b[0-9]{3}[ -][0-9]{3}[ -][0-9]{3}\b",
     "SPAIN_NIF_NIE": r"\b(?:[0-9]{8}|[XYZ][0-9]{7})-?[TRWAGMYFPDXBNJZSQVHLCKE]\b",
 }

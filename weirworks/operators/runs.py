@@ -139,5 +139,5 @@ def session_costs(sessions: DataFrame, statements: DataFrame, now: Column) -> Da
         units.alias("units"),
         (units * fx.UNIT_HOUR_RATE).alias("per_hour"),
         (F.coalesce("dpu_seconds", F.lit(0.0)) / 3600 * fx.UNIT_HOUR_RATE).alias("spent"),
-        F.when(live & (F.col("idle_timeout") > 0), left).alias("idle_minutes_left"),
+        F.when(live & (F.col("idle_timeout") > 0) & since.isNotNull(), left).alias("idle_minutes_left"),
     )

@@ -23,7 +23,7 @@ def write_files(
     mode: str = "append",
     cluster_by_keys: bool = True,
 ) -> DataFrame:
-    """Write files and hand the frame on.
+    """Write files and hand the frame on. Avro needs its Spark package; without it Spark names what is missing.
 
     With partition keys the rows are rebalanced on them first, so a folder gets a few large files instead of
     one per task, and AQE splits a key that holds a large share of the rows over several tasks.
@@ -34,13 +34,11 @@ def write_files(
     codec = compression.lower()
     if fmt == "glueparquet":
         fmt, codec = "parquet", codec or "snappy"
-    if fmt == "avro":
-        _need_format(df, "avro")
     if partition_keys and cluster_by_keys:
-        df_out = df.hint("rebalance", *[F.col(k) for k in partition_keys])
+        gathered = df.hint("rebalance", *[F.col(k) for k in partition_keys])
     else:
-        df_out = df
-    writer = df_out.write.mode(mode).format(fmt)
+        gathered = df
+    writer = gathered.write.mode(mode).format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True)
     if codec not in NO_COMPRESSION:
@@ -51,14 +49,6 @@ def write_files(
     return df
 
 
-def _need_format(df: DataFrame, fmt: str) -> None:
-    jvm = df.sparkSession._jvm
-    try:
-        jvm.java.lang.Class.forName(f"org.apache.spark.sql.{fmt}.AvroFileFormat")
-    except Exception as missing:
-        raise RuntimeError(f"the {fmt} data source is not on the classpath; add its Spark package") from missing
-
-
 def write_catalog(
     df: DataFrame, database: str, table: str, *, partition_keys: Sequence[str] = (), mode: str = "append", fmt: str = "parquet"
 ) -> DataFrame:
