@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirworks.operators.ordered import top_per_key
+from weirworks.session import cut_lineage
 
 # Join types a join step may name, and Spark's name for each.
 JOIN_TYPES = {
@@ -68,6 +69,24 @@ def one_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) ->
     return top_per_key(df, keys, order, 1)
 
 
+# A side with at most this many rows is broadcast, and no more hot keys than this are salted.
+BROADCAST_ROWS = 100_000
+HOT_KEYS = 10_000
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether the frame has at most ``rows`` rows; stops reading once it has seen more."""
+    return df.select(F.lit(1)).limit(rows + 1).count() <= rows
+
+
+def _salt(df: DataFrame, salts: int) -> Column:
+    """A number per row that a repeated task gives again: the row's content and the partition it is in.
+
+    The partition keeps exact copies of one row apart.
+    """
+    return F.pmod(F.xxhash64(F.spark_partition_id(), *[F.col(f"`{c}`") for c in df.columns]), F.lit(salts))
+
+
 # A hot key is one with at least this share of the rows, so there are at most 1 / share of them.
 HOT_SHARE = 0.01
 SPREAD = 1024
@@ -99,7 +118,7 @@ def join_unique(df: DataFrame, unique: DataFrame, keys: Sequence[str], hot_share
         *heavy_names, F.col("_value").alias("_hot_value"), F.lit(True).alias("_is_hot")
     )
     answered = df.join(F.broadcast(hot), same(keys, heavy_names), "left").drop(*heavy_names)
-    salt = F.when(F.col("_is_hot"), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(SPREAD)) + 1).otherwise(0)
+    salt = F.when(F.col("_is_hot"), _salt(df, SPREAD) + 1).otherwise(0)
     salted = answered.withColumn("_salt", salt)
     rest = side.withColumn("_cold", F.lit(0).cast("bigint"))
     out = salted.join(rest, same(keys, names) & (F.col("_salt") == F.col("_cold")), "left")
@@ -108,15 +127,6 @@ def join_unique(df: DataFrame, unique: DataFrame, keys: Sequence[str], hot_share
     return out.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"_got.`{c}`").alias(c) for c in values])
 
 
-# A side with at most this many rows is broadcast.
-BROADCAST_ROWS = 100_000
-
-
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether the frame has at most ``rows`` rows; stops reading once it has seen more."""
-    return df.select(F.lit(1)).limit(rows + 1).count() <= rows
-
-
 def lookup(df: DataFrame, dim: DataFrame, keys: Sequence[str], columns: Sequence[str], order: Sequence[Column] = ()) -> DataFrame:
     """Add columns of a dimension. A key the dimension holds twice is settled by ``order``, so rows never multiply.
 
@@ -154,8 +164,11 @@ def salted_join(
     if kind not in ("inner", "left", "leftsemi", "leftanti"):
         raise ValueError("salting keeps left rows whole: use inner, left, leftsemi or leftanti")
     keys = list(keys)
-    flag = hot.select(*keys).distinct().withColumn("_hot", F.lit(True))
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts)).cast("int")
+    listed = cut_lineage(hot.select(*keys).distinct())
+    if not is_small(listed, HOT_KEYS):
+        raise ValueError(f"more than {HOT_KEYS} hot keys: ask for a larger share")
+    flag = F.broadcast(listed.withColumn("_hot", F.lit(True)))
+    spread = _salt(left, salts).cast("int")
     salted_left = left.join(flag, keys, "left").withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(0)).drop("_hot")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     salted_right = right.join(flag, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")

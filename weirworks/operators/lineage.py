@@ -54,16 +54,18 @@ def depths(edges: DataFrame) -> DataFrame:
     """
     edges = cut_lineage(edges.select("src", "dst").distinct())
     nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
-    left, live, depth = cut_lineage(nodes), edges, 0
+    left, live, depth = nodes, edges, 0
     done = None
     while True:
-        free = cut_lineage(left.join(live.select(F.col("dst").alias("node")).distinct(), "node", "leftanti"))
+        held = live.select(F.col("dst").alias("node")).distinct().withColumn("held", F.lit(True))
+        # Nodes that leave and nodes that stay are written together, once per round.
+        split = cut_lineage(left.join(held, "node", "left").withColumn("held", F.col("held").isNotNull()))
+        free, left = split.where("NOT held").select("node"), split.where("held").select("node")
         if free.isEmpty():
             break
         level = free.withColumn("depth", F.lit(depth))
         done = level if done is None else done.unionByName(level)
         done = cut_lineage(done) if depth % COMPACT_EVERY == COMPACT_EVERY - 1 else done
-        left = cut_lineage(left.join(free, "node", "leftanti"))
         live = cut_lineage(live.join(free.withColumnRenamed("node", "src"), "src", "leftanti"))
         depth += 1
     stuck = left.withColumn("depth", F.lit(None).cast("int"))

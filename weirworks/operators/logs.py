@@ -77,7 +77,9 @@ def evidence_lines(failures: DataFrame, logs: DataFrame) -> DataFrame:
     said = failures.where("error_message IS NOT NULL").select(
         "run_id", F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("at"), F.lit(0).cast("bigint").alias("seq"), F.col("error_message").alias("text")
     )
-    ids = failures.select("run_id").distinct()
+    # Runs are listed once each, so both sides of this join come straight from their scans and AQE can split a
+    # run with very many lines.
+    ids = failures.select("run_id")
     logged = tail(logs.join(ids, "run_id", "leftsemi"), sig.TAIL_LINES, "error").select(
         "run_id", F.lit(1).alias("part"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("seq"), F.col("message").alias("text")
     )

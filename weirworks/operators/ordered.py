@@ -67,8 +67,13 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n:
     """The first ``n`` rows of every key.
 
     The filter on ``row_number`` becomes a group limit ahead of the shuffle, so each task sends at most ``n``
-    rows of a key however many it holds.
+    rows of a key however many it holds. Beyond the size Spark does this for, the rows of each input partition
+    are ranked and cut first, to the same effect.
     """
     name = rank or "_rank"
+    if n > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+        by_part = Window.partitionBy(*keys, "_part").orderBy(*order)
+        parts = df.withColumn("_part", F.spark_partition_id()).withColumn("_first", F.row_number().over(by_part))
+        df = parts.where(F.col("_first") <= n).drop("_part", "_first")
     out = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= n)
     return out if rank else out.drop(name)

@@ -42,8 +42,6 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="weirworks-")
         spark.conf.set(CHECKPOINT_KEY, named)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
@@ -53,9 +51,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from the written copy."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder and go on from the written table.
+
+    The table survives the loss of executors, and its size is known to the planner, which so broadcasts a side
+    that turned out small.
+    """
+    path = scratch_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
