@@ -113,4 +113,5 @@ SECRET_KEY, SECRET_MASK = r"(?i)(secret|password|passwd|token|api[_-]?key|creden
 PROGRESS_SUFFIX = "-progress-bar"
 INSIGHT_STREAMS = {"job-insights-rca-driver": "rootCause", "job-insights-rule-driver": "guidance"}
 INSIGHT_GROUPS = ("error", "logs-v2")
+INSIGHT_LINES = 500
 ERROR_WORDS = r"ERROR|Exception|Traceback"

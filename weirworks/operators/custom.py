@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weirworks.operators import project
 from weirworks.operators.joins import lookup
@@ -39,6 +40,16 @@ def custom_code(
     return frames[output] if output else next(iter(frames.values()))
 
 
+def register_function(spark: SparkSession, name: str, fn: Callable, returns: str) -> None:
+    """Make a function of pandas Series callable from SQL steps; rows reach it in Arrow batches."""
+    spark.udf.register(name, F.pandas_udf(fn, returns))
+
+
+def register_table_function(spark: SparkSession, name: str, handler: type, returns: str) -> None:
+    """Make a class whose ``eval`` yields rows callable from SQL steps as a table function."""
+    spark.udtf.register(name, F.udtf(handler, returnType=returns, useArrow=True))
+
+
 @dataclass(frozen=True)
 class Parameter:
     name: str

@@ -42,11 +42,13 @@ def search(logs: DataFrame, text: str) -> DataFrame:
 
 
 def insights(logs: DataFrame) -> DataFrame:
-    """Lines of the insight streams, tagged with what they hold."""
+    """The first lines of every insight stream, tagged with what they hold."""
     tag = F.lit(None).cast("string")
     for stream, name in sig.INSIGHT_STREAMS.items():
         tag = F.when(F.col("stream").contains(stream), name).otherwise(tag)
-    return logs.where(F.col("log_group").isin(*sig.INSIGHT_GROUPS) & _insight(F.col("stream"))).withColumn("insight", tag)
+    lines = logs.where(F.col("log_group").isin(*sig.INSIGHT_GROUPS) & _insight(F.col("stream")))
+    first = top_per_key(lines, ["run_id", "log_group", "stream"], [F.asc("ts"), F.asc("event_id")], sig.INSIGHT_LINES)
+    return first.withColumn("insight", tag)
 
 
 def rule_marks(text: Column, rules: Sequence[sig.Signature] = sig.SIGNATURES) -> Column:
@@ -163,7 +165,7 @@ def read_test_reports(spark: SparkSession, paths: str | Sequence[str]) -> DataFr
         status = F.when(there, word).otherwise(status)
         message = F.when(there, said).otherwise(message)
     suite = F.regexp_replace(F.coalesce("_classname", F.lit("")), r"^tests\.", "")
-    title = F.when(suite == "", F.col("_name")).otherwise(F.concat(suite, F.lit("::"), F.col("_name")))
+    title = F.when(F.coalesce("_classname", F.lit("")) == "", F.col("_name")).otherwise(F.concat(suite, F.lit("::"), F.col("_name")))
     short = F.when(F.length(message) > MESSAGE_CHARS, F.concat(F.substring(message, 1, MESSAGE_CHARS), F.lit("…"))).otherwise(message)
     return raw.select(
         F.col("_metadata.file_path").alias("report"), title.alias("name"), F.regexp_replace(suite, "^test_", "").alias("node"),

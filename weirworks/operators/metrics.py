@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weirworks.operators.joins import join_unique
+
 # Series id, metric name, type, statistic, label, unit and group.
 SERIES = (
     ("bytesRead", "glue.ALL.s3.filesystem.read_bytes", "gauge", "Sum", "S3 bytes read", "bytes", "Data movement"),
@@ -34,23 +36,43 @@ def series_table(spark) -> DataFrame:
     return spark.createDataFrame(list(SERIES), SERIES_SCHEMA)
 
 
-def resample(points: DataFrame) -> DataFrame:
+def _period(seconds: Column) -> Column:
+    span = F.greatest(F.lit(LEAST_SPAN), seconds)
+    period = F.lit(LONGEST_PERIOD)
+    for limit, slot in reversed(PERIODS):
+        period = F.when(span <= limit, slot).otherwise(period)
+    return period
+
+
+def _spans(runs: DataFrame, now: Column) -> tuple[Column, Column, DataFrame]:
+    started, completed = F.col("started_on").cast("timestamp"), F.col("completed_on").cast("timestamp")
+    lead = F.coalesce(started - F.expr(f"INTERVAL {LEAD_SECONDS} SECONDS"), now - F.expr("INTERVAL 1 HOUR"))
+    tail = F.coalesce(completed + F.expr(f"INTERVAL {TAIL_SECONDS} SECONDS"), now)
+    return lead, tail, runs.select("run_id", "started_on", "completed_on")
+
+
+def resample(points: DataFrame, runs: DataFrame | None = None, now: Column | None = None) -> DataFrame:
     """``(run_id, metric, ts, value)`` points to one value per slot, slots as long as the run's span allows.
 
-    The statistic is the one its series names. All four are kept through one partial aggregation per minute,
-    which covers every slot length, so the span of a run can be found from the same small table.
+    The span of a run is taken from ``runs`` (``run_id, started_on, completed_on``; ``now`` stands in for an end
+    that is missing), and points outside it are left out. Without ``runs`` it reaches from the first point of
+    the run to the last. The statistic is the one its series names. One partial aggregation per minute comes
+    first; minutes fit every slot length, so nothing larger is ever regrouped.
     """
+    if runs is not None:
+        start, end, spans = _spans(runs, F.current_timestamp() if now is None else now.cast("timestamp"))
+        bounds = spans.select("run_id", start.alias("_from"), end.alias("_to"))
+        points = join_unique(points, bounds, ["run_id"]).where(F.col("ts").cast("timestamp").between(F.col("_from"), F.col("_to")))
     minute = F.date_trunc("minute", F.col("ts").cast("timestamp"))
     minutes = points.groupBy("run_id", "metric", minute.alias("minute")).agg(
         F.sum(F.col("value").cast("decimal(28,6)")).alias("s"), F.count("value").alias("n"), F.max("value").alias("m"),
         F.min("ts").alias("first"), F.max("ts").alias("last"),
     )
-    seconds = F.unix_seconds(F.max("last").cast("timestamp")) - F.unix_seconds(F.min("first").cast("timestamp"))
-    span = F.greatest(F.lit(LEAST_SPAN), seconds + LEAD_SECONDS + TAIL_SECONDS)
-    period = F.lit(LONGEST_PERIOD)
-    for limit, slot in reversed(PERIODS):
-        period = F.when(span <= limit, slot).otherwise(period)
-    spans = minutes.groupBy("run_id").agg(period.alias("period"))
+    if runs is not None:
+        spans = spans.select("run_id", _period(F.unix_seconds(end) - F.unix_seconds(start)).alias("period"))
+    else:
+        seconds = F.unix_seconds(F.max("last").cast("timestamp")) - F.unix_seconds(F.min("first").cast("timestamp"))
+        spans = minutes.groupBy("run_id").agg(_period(seconds + LEAD_SECONDS + TAIL_SECONDS).alias("period"))
     specs = series_table(points.sparkSession).select("metric", "stat")
     slot = F.timestamp_seconds(F.floor(F.unix_seconds("minute") / F.col("period")) * F.col("period"))
     slots = (

@@ -98,6 +98,15 @@ def source_connector(d: Data) -> DataFrame:
     return sources.connector(d.spark, "parquet", path=d.path("part")).where("p_size < 10").select("p_partkey", "p_name")
 
 
+@query(
+    "source_rows",
+    """SELECT label, count(*) AS n FROM orders JOIN (VALUES ('F', 'filled'), ('O', 'open'), ('P', 'partial')) t(code, label) ON o_orderstatus = code GROUP BY label""",
+)
+def source_rows(d: Data) -> DataFrame:
+    labels = sources.rows(d.spark, [("F", "filled"), ("O", "open"), ("P", "partial")], "code string, label string")
+    return joins.join(d.orders, labels, ["o_orderstatus"], ["code"]).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("target_partitioned_orc", "SELECT l_orderkey, l_linenumber, l_extendedprice, l_returnflag FROM lineitem")
 def target_partitioned_orc(d: Data) -> DataFrame:
     out = scratch_path(d.spark, "lineitem-orc")

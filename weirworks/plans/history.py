@@ -137,6 +137,25 @@ def metric_series(d: Data) -> DataFrame:
     return out.withColumn("slot", F.col("slot").cast("timestamp_ntz"))
 
 
+@query(
+    "metric_series_of_runs",
+    """WITH r AS (SELECT run_id, started_on - INTERVAL '60' SECOND AS lo, completed_on + INTERVAL '120' SECOND AS hi FROM (SELECT concat('jr_', user_id) AS run_id,
+           date_trunc('day', min(ts)) AS started_on, date_trunc('day', min(ts)) + INTERVAL '2' HOUR * (1 + user_id % 40) AS completed_on FROM events GROUP BY user_id)),
+         per AS (SELECT *, CASE WHEN greatest(60, epoch_us(hi) // 1000000 - epoch_us(lo) // 1000000) <= 21600 THEN 300 ELSE 900 END AS period FROM r)
+       SELECT m.run_id, metric, make_timestamp((epoch_us(ts) // 1000000 // period) * period * 1000000) AS slot, count(*) AS n
+       FROM metrics m JOIN per p ON m.run_id = p.run_id AND ts >= lo AND ts <= hi WHERE metric = 'recordsRead' GROUP BY ALL""",
+    "metrics",
+)
+def metric_series_of_runs(d: Data) -> DataFrame:
+    d.events.createOrReplaceTempView("events")
+    spans = d.spark.sql(
+        """SELECT concat('jr_', user_id) AS run_id, date_trunc('day', min(ts)) AS started_on,
+             date_trunc('day', min(ts)) + INTERVAL '2' HOUR * (1 + user_id % 40) AS completed_on FROM events GROUP BY user_id"""
+    )
+    out = metrics.resample(d.metrics, spans).where("metric = 'recordsRead'")
+    return out.select("run_id", "metric", F.col("slot").cast("timestamp_ntz").alias("slot"), F.col("value").cast("bigint").alias("n"))
+
+
 @query("metric_names", "SELECT DISTINCT run_id, metric FROM metrics ORDER BY run_id, metric", "metrics")
 def metric_names(d: Data) -> DataFrame:
     return metrics.available(d.metrics)

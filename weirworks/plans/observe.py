@@ -40,7 +40,8 @@ def log_search(d: Data) -> DataFrame:
 @query(
     "log_insights",
     """SELECT event_id, run_id, CASE WHEN contains(stream, 'rca') THEN 'rootCause' ELSE 'guidance' END AS insight, message FROM logs
-       WHERE log_group IN ('error', 'logs-v2') AND contains(stream, 'job-insights')""",
+       WHERE log_group IN ('error', 'logs-v2') AND contains(stream, 'job-insights')
+       QUALIFY row_number() OVER (PARTITION BY run_id, log_group, stream ORDER BY ts, event_id) <= 500""",
     "logs",
 )
 def log_insights(d: Data) -> DataFrame:

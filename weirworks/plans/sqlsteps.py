@@ -58,6 +58,41 @@ def custom_map_in_pandas(d: Data) -> DataFrame:
     return d.events.select("event_id", "props", "event_type").mapInPandas(shape, "event_id bigint, width bigint, kind string")
 
 
+@query("custom_function_in_sql", "SELECT p_brand, sum(length(p_name) + p_size)::BIGINT AS total FROM part GROUP BY p_brand")
+def custom_function_in_sql(d: Data) -> DataFrame:
+    def width(name: pd.Series, size: pd.Series) -> pd.Series:
+        return name.str.len() + size
+
+    custom.register_function(d.spark, "name_width", width, "bigint")
+    return custom.sql_transform(d.spark, "SELECT p_brand, sum(name_width(p_name, p_size)) AS total FROM part GROUP BY p_brand", {"part": d.part})
+
+
+@query("custom_table_function", "SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part")
+def custom_table_function(d: Data) -> DataFrame:
+    class Words:
+        def eval(self, name: str):
+            for word in name.split(" "):
+                yield (word,)
+
+    custom.register_table_function(d.spark, "words_of", Words, "word string")
+    return custom.sql_transform(d.spark, "SELECT p_partkey, word FROM part, LATERAL words_of(p_name)", {"part": d.part})
+
+
+@query(
+    "custom_grouped_pandas",
+    """WITH daily AS (SELECT o_orderpriority, CAST(o_orderdate AS DATE) AS day, max(o_totalprice) AS top FROM orders GROUP BY 1, 2)
+       SELECT o_orderpriority, day, max(top) OVER (PARTITION BY o_orderpriority ORDER BY day) AS best FROM daily""",
+)
+def custom_grouped_pandas(d: Data) -> DataFrame:
+    def best_so_far(days: pd.DataFrame) -> pd.DataFrame:
+        days = days.sort_values("day")
+        return days.assign(best=days.top.cummax())[["o_orderpriority", "day", "best"]]
+
+    # Daily maxima first: a group then has one row per calendar day at most.
+    daily = d.orders.groupBy("o_orderpriority", F.to_date("o_orderdate").alias("day")).agg(F.max("o_totalprice").alias("top"))
+    return daily.groupBy("o_orderpriority").applyInPandas(best_so_far, "o_orderpriority string, day date, best double")
+
+
 @query(
     "custom_parameterised",
     "SELECT c_custkey, concat_ws(' / ', c_name, c_mktsegment) AS title, n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey",
