@@ -45,6 +45,34 @@ def test_unique_join_spreads_the_hot_key_and_keeps_every_row(spark, lopsided):
     assert joins.join_unique(lopsided, nulls, ["k"]).where("v = 1").count() == lopsided.where("k IS NULL").count()
 
 
+def largest_share(df):
+    """Rows of the fullest partition over the rows of an average one."""
+    sizes = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    return max(sizes) * 16 / sum(sizes)
+
+
+@pytest.fixture
+def sixteen(spark):
+    """Sixteen partitions that nothing joins together and no side small enough to broadcast."""
+    wanted = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("copies", [False, True])
+def test_hot_key_is_dealt_out(spark, sixteen, copies):
+    key = F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 5000).alias("k")
+    df = spark.range(0, 160_000, 1, 16).select(key, F.lit(1).alias("v") if copies else F.col("id").alias("v"))
+    side = spark.range(5000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
+    assert largest_share(df.join(side, "k", "left")) > 4
+    assert largest_share(joins.join_unique(df, side, ["k"])) < 2
+    assert largest_share(joins.salted_join(df, side, ["k"], 64, audit.hot_keys(df, ["k"], 0.1))) < 2
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "leftsemi", "leftanti"])
 def test_salted_join_equals_the_plain_one(spark, lopsided, how):
     side = spark.range(400).select(F.col("id").cast("int").alias("k"), (F.col("id") * 10).alias("v")).unionAll(spark.createDataFrame([(7, -1)], "k int, v bigint"))

@@ -120,7 +120,9 @@ def join_unique(df: DataFrame, unique: DataFrame, keys: Sequence[str], hot_share
     answered = df.join(F.broadcast(hot), same(keys, heavy_names), "left").drop(*heavy_names)
     salt = F.when(F.col("_is_hot"), _salt(df, SPREAD) + 1).otherwise(0)
     salted = answered.withColumn("_salt", salt)
-    rest = side.withColumn("_cold", F.lit(0).cast("bigint"))
+    # Always 0, but worked out per row: as a literal the optimizer would take it out of the join keys, and the
+    # rows of a hot key would be shuffled together after all.
+    rest = side.withColumn("_cold", F.pmod(F.xxhash64(*names), F.lit(1)))
     out = salted.join(rest, same(keys, names) & (F.col("_salt") == F.col("_cold")), "left")
     value = F.when(F.col("_is_hot"), F.col("_hot_value")).otherwise(F.col("_value"))
     out = out.withColumn("_got", value)
