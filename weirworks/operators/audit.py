@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,13 +90,11 @@ def colliding_columns(inputs: DataFrame) -> DataFrame:
     return counts.where("inputs > 1")
 
 
-def observed_counts(frames: Mapping[str, DataFrame]) -> tuple[dict[str, DataFrame], dict[str, "F.Observation"]]:
+def observed_counts(frames: Mapping[str, DataFrame]) -> tuple[dict[str, DataFrame], dict[str, Observation]]:
     """Frames that count their own rows while something else reads them: no cache and no extra job.
 
     The counts are ready in ``observation.get`` once an action has run.
     """
-    from pyspark.sql import Observation
-
     watched, seen = {}, {}
     for name, df in frames.items():
         seen[name] = Observation(f"{name}-counts")
@@ -105,7 +103,7 @@ def observed_counts(frames: Mapping[str, DataFrame]) -> tuple[dict[str, DataFram
 
 
 def synthetic_rows(
-    df_schema: T.StructType, n: int, spark, *, hints: Mapping[str, object] | None = None, casts: Mapping[str, str] | None = None,
+    schema: T.StructType, n: int, spark: SparkSession, *, hints: Mapping[str, object] | None = None, casts: Mapping[str, str] | None = None,
     numbers: DataFrame | None = None,
 ) -> DataFrame:
     """``n`` rows made from a schema, or one per row of ``numbers`` (a frame with a positive ``i`` column).
@@ -116,7 +114,7 @@ def synthetic_rows(
     base = numbers if numbers is not None else spark.range(1, n + 1).withColumnRenamed("id", "i")
     i = F.col("i")
     columns = []
-    for f in df_schema.fields:
+    for f in schema.fields:
         later = (casts or {}).get(f.name)
         shape = spark_type(later) if later and isinstance(f.dataType, T.StringType) else f.dataType
         if hints and f.name in hints and not isinstance(shape, T.NumericType):

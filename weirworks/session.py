@@ -34,15 +34,21 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# The temporary folder of each local application that names none.
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: the one the cluster names, a temporary one when local."""
     named = spark.conf.get(CHECKPOINT_KEY, None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="weirworks-")
-        spark.conf.set(CHECKPOINT_KEY, named)
-    return named.rstrip("/")
+    if named:
+        return named.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder all executors share")
+    if context.applicationId not in _LOCAL_DIRS:
+        _LOCAL_DIRS[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="weirworks-")
+    return _LOCAL_DIRS[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -34,10 +34,7 @@ def write_files(
     codec = compression.lower()
     if fmt == "glueparquet":
         fmt, codec = "parquet", codec or "snappy"
-    if partition_keys and cluster_by_keys:
-        gathered = df.hint("rebalance", *[F.col(k) for k in partition_keys])
-    else:
-        gathered = df
+    gathered = _gathered(df, partition_keys) if cluster_by_keys else df
     writer = gathered.write.mode(mode).format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True)
@@ -49,11 +46,15 @@ def write_files(
     return df
 
 
+def _gathered(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return df.hint("rebalance", *[F.col(k) for k in keys]) if keys else df
+
+
 def write_catalog(
     df: DataFrame, database: str, table: str, *, partition_keys: Sequence[str] = (), mode: str = "append", fmt: str = "parquet"
 ) -> DataFrame:
     """Create the table when it is missing, else add to it or replace it."""
-    writer = df.write.mode(mode).format(fmt)
+    writer = _gathered(df, partition_keys).write.mode(mode).format(fmt)
     if partition_keys:
         writer = writer.partitionBy(*partition_keys)
     writer.saveAsTable(f"`{database}`.`{table}`")
