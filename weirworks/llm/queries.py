@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weirworks.llm.common import table
 from weirworks.llm.line_dedup import dedup_lines
+from weirworks.llm.mixing import mix
 from weirworks.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +55,49 @@ FROM kept GROUP BY doc_id
 def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     clean = dedup_lines(table(spark, folder, "documents"), counts=("n_lines", "n_dropped"))
     return clean.select("doc_id", "n_lines", "n_dropped", sha("text").alias("kept_sha256"))
+
+
+# The draw repeats the operator's definitions: MD5 bits to an exponential key, exact running sums per source.
+MIX_SQL = r"""
+WITH spaced AS (
+  SELECT doc_id, source, coalesce(text, '') AS body,
+    trim(translate(coalesce(text, ''), concat(chr(9), chr(10), chr(11), chr(12), chr(13)), '     '), ' ') AS flat
+  FROM documents
+), drawn AS (
+  SELECT doc_id, source, CASE WHEN flat = '' THEN 0 ELSE len(regexp_split_to_array(flat, ' +')) END AS size,
+    -ln((CAST(concat('0x', substr(md5(concat('mix', CAST(doc_id AS VARCHAR))), 1, 12)) AS BIGINT) + 0.5) / 281474976710656.0)
+      / CASE WHEN length(body) = 0 THEN 0.25 ELSE 1.0 - 0.75 * (length(body)
+        - length(translate(body, '#$%&*!<>{}[]|\~^_=+@0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) / length(body) END AS draw
+  FROM spaced
+), sources AS (
+  SELECT source, CAST(sum(size) AS DOUBLE) AS source_size FROM drawn GROUP BY source
+), ranked AS (
+  SELECT *, 2.0 * source_size AS most,
+    CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END AS weight
+  FROM sources
+), levels AS (
+  SELECT *, most / weight AS full_at, (1.5 * sum(source_size) OVER ()
+      - coalesce(sum(most) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+      / sum(weight) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM ranked
+), found AS (
+  SELECT level AS final FROM levels WHERE level <= full_at ORDER BY full_at, level LIMIT 1
+), targets AS (
+  SELECT source, source_size, CASE WHEN (SELECT final FROM found) IS NULL THEN most
+    ELSE least(most, weight * (SELECT final FROM found)) END AS target FROM ranked
+), budgets AS (
+  SELECT *, CASE WHEN source_size = 0 THEN 1 ELSE least(floor(target / source_size), 2) END AS whole FROM targets
+), summed AS (
+  SELECT d.*, b.source_size, b.target, b.whole, greatest(0, b.target - b.whole * b.source_size) AS budget,
+    sum(d.size) OVER (PARTITION BY d.source ORDER BY d.draw, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size / 2.0 AS middle
+  FROM drawn d JOIN budgets b ON d.source IS NOT DISTINCT FROM b.source
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, target,
+  CAST(size * CASE WHEN whole >= 2 THEN 2 ELSE whole + CASE WHEN budget > 0 AND middle <= budget THEN 1 ELSE 0 END END AS BIGINT) AS taken
+FROM summed
+"""
+
+
+@query("op5_mixing", MIX_SQL)
+def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
