@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weirworks.llm import bpe
 from weirworks.llm.common import table
 from weirworks.llm.line_dedup import dedup_lines
 from weirworks.llm.mixing import mix
@@ -101,3 +102,17 @@ FROM summed
 @query("op5_mixing", MIX_SQL)
 def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op2_bpe")
+def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    encoded = bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), tokenizer_path())
+    decoded = bpe.decode(encoded.drop("text"), tokenizer_path())
+    ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), sha("decoded").alias("decoded_sha256"))
