@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from weirworks.llm.common import col, fresh
 
@@ -217,7 +217,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
             batch[ids] = [np.array(coder.encode(t or ""), np.int32) for t in batch[body]]
             yield batch.drop(columns=[body])
 
-    schema = docs.select(*[col(docs, c) for c in kept]).schema.add(ids, ArrayType(IntegerType()))
+    schema = StructType([*[f for f in docs.schema if f.name in kept], StructField(ids, ArrayType(IntegerType()))])
     return out.mapInPandas(run, schema)
 
 
@@ -233,4 +233,4 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "decoded
             yield batch
 
     out = encoded.select(*[col(encoded, c) for c in kept])
-    return out.mapInPandas(run, out.schema.add(text, StringType()))
+    return out.mapInPandas(run, StructType([*out.schema, StructField(text, StringType())]))
