@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirworks.llm import bpe
+from weirworks.llm import bpe, toxicity
 from weirworks.llm.common import table
 from weirworks.llm.line_dedup import dedup_lines
 from weirworks.llm.mixing import mix
@@ -116,3 +116,21 @@ def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     decoded = bpe.decode(encoded.drop("text"), tokenizer_path())
     ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), sha("decoded").alias("decoded_sha256"))
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, folder: str) -> toxicity.Model:
+    """Learned from three quarters of the labels; the others are there to measure it."""
+    labels = table(spark, folder, "labels")
+    return toxicity.learn(docs, labels.where(~held_out("doc_id")))
+
+
+def held_out(doc_id: str):
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
+
+
+@query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    scored = toxicity.with_scores(docs, toxicity_model(spark, docs, folder))
+    predicted = F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", predicted)
