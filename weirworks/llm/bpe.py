@@ -24,7 +24,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from weirworks.llm.common import col, fresh
 
 # Entries remembered in a task, and the symbols from which on a fragment is merged by a heap.
-CHUNK_MEMORY, FRAGMENT_MEMORY, LONG = 1_000_000, 200_000, 48
+CHUNK_MEMORY, FRAGMENT_MEMORY, LONG = 250_000, 100_000, 48
 # White space to split() but not to the vocabulary's pattern.
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 
@@ -32,11 +32,11 @@ SEPARATORS = regex.compile("[\x1c-\x1f]")
 class Memory(dict):
     """Remembers what ``make`` gave for a key; forgets all when it is full."""
 
-    def __init__(self, make: Callable[[str], tuple[int, ...]]):
-        self.make = make
+    def __init__(self, make: Callable[[str], tuple[int, ...]], most: int):
+        self.make, self.most = make, most
 
     def __missing__(self, key: str) -> tuple[int, ...]:
-        if len(self) >= CHUNK_MEMORY:
+        if len(self) >= self.most:
             self.clear()
         out = self.make(key)
         if len(key) <= 64:
@@ -61,28 +61,27 @@ class BytePairs:
         self.end: str = model.get("end_of_word_suffix") or ""
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.ranks = {pair: n for n, pair in enumerate(pairs)}
-        self.symbols = byte_symbols()
+        self.shown = dict(enumerate(byte_symbols()))
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.steps = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         # The files' engine takes \s as the white space of Unicode, without the separators U+001C to U+001F.
         self.pattern = regex.compile(split["pattern"]["Regex"].replace("[^\\s", "[^\\p{White_Space}"), regex.V0)
+        # Whether the pattern takes any run of letters for one word.
+        self.letters = "[\\p{L}]+|" in split["pattern"]["Regex"]
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
-        inside = set()
+        # Pairs of neighbouring symbols inside some token, apart from those whose second symbol ends a word.
+        self.inside, self.inside_end = set(), set()
         for token in self.ids:
-            parts = self._parts(token)
-            inside.update(zip(parts, parts[1:], strict=False))
-        self.inside = inside
+            body, ends = (token[: -len(self.end)], True) if self.end and token.endswith(self.end) and len(token) > len(self.end) else (token, False)
+            pairs_of = [body[n : n + 2] for n in range(len(body) - 1)]
+            if ends and pairs_of:
+                self.inside_end.add(pairs_of.pop())
+            self.inside.update(pairs_of)
         self.texts = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.added.items()}
         self.no_decoder = spec.get("decoder") is None
-        self.chunks = Memory(self._chunk)
-        self.fragments: dict[tuple[str, ...], tuple[int, ...]] = {}
-
-    def _parts(self, token: str) -> list[str]:
-        """The symbols a token is made of; a word's last symbol carries the mark of the end."""
-        if self.end and token.endswith(self.end) and len(token) > len(self.end):
-            return [*token[: -len(self.end) - 1], token[-len(self.end) - 1 :]]
-        return list(token)
+        self.chunks = Memory(self._chunk, CHUNK_MEMORY)
+        self.fragments = Memory(self._fragment, FRAGMENT_MEMORY)
 
     def normal(self, text: str) -> str:
         if "NFC" in self.steps and not text.isascii():
@@ -92,13 +91,24 @@ class BytePairs:
             text = (text if text.isascii() else text.replace("Σ", "σ")).lower()
         return text
 
-    def cut(self, parts: list[str]) -> Iterator[tuple[str, ...]]:
-        start = 0
-        for at in range(1, len(parts)):
-            if (parts[at - 1], parts[at]) not in self.inside:
-                yield tuple(parts[start:at])
+    def cut(self, word: str) -> list[str]:
+        """The fragments of a word in byte symbols; the mark of the word's end closes the last one."""
+        out, start, last, inside = [], 0, len(word) - 1, self.inside
+        for at in range(1, last):
+            if word[at - 1 : at + 1] not in inside:
+                out.append(word[start:at])
                 start = at
-        yield tuple(parts[start:])
+        if last and word[last - 1 :] not in (self.inside_end if self.end else inside):
+            out.append(word[start:last])
+            start = last
+        out.append(word[start:] + self.end)
+        return out
+
+    def _fragment(self, fragment: str) -> tuple[int, ...]:
+        if self.end and fragment.endswith(self.end) and len(fragment) > len(self.end):
+            body = fragment[: -len(self.end)]
+            return self.merged((*body[:-1], body[-1] + self.end))
+        return self.merged(tuple(fragment))
 
     def merged(self, fragment: tuple[str, ...]) -> tuple[int, ...]:
         """The ids of one fragment: the leftmost pair of lowest rank is joined, until no pair is left."""
@@ -140,18 +150,10 @@ class BytePairs:
         return tuple([self.ids[p] for p in parts if p is not None and p in self.ids])
 
     def word(self, word: str) -> tuple[int, ...]:
-        parts = [self.symbols[b] for b in word.encode("utf-8", "replace")]
-        parts[-1] += self.end
-        out: list[int] = []
-        for fragment in self.cut(parts):
-            found = self.fragments.get(fragment)
-            if found is None:
-                found = self.merged(fragment)
-                if len(self.fragments) >= FRAGMENT_MEMORY:
-                    self.fragments.clear()
-                self.fragments[fragment] = found
-            out += found
-        return tuple(out)
+        fragments = self.cut(word.encode("utf-8", "replace").decode("latin-1").translate(self.shown))
+        if len(fragments) == 1:
+            return self.fragments[fragments[0]]
+        return tuple(chain.from_iterable(map(self.fragments.__getitem__, fragments)))
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text. Added tokens that it spells out are taken as such."""
@@ -175,6 +177,8 @@ class BytePairs:
             out += chain.from_iterable(map(self.chunks.__getitem__, plain.split()))
 
     def _chunk(self, chunk: str) -> tuple[int, ...]:
+        if chunk.isalpha() and self.letters:
+            return self.word(chunk)
         return tuple(chain.from_iterable(map(self.word, self.pattern.findall(chunk))))
 
     def decode(self, ids) -> str:
@@ -201,24 +205,30 @@ def _sent(df: DataFrame, vocabulary: str):
     return df.sparkSession.sparkContext.broadcast(vocabulary)
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """``docs`` with the column ``ids`` (array<int>). A null or empty text has no ids; no rows are moved.
 
-    A column of that name in ``docs`` is replaced.
+    ``decoded`` names a further column for the text that the ids give back, as ``decode`` has it. Columns of these names
+    in ``docs`` are replaced.
     """
     sent = _sent(docs, read_vocabulary(path))
-    kept = [c for c in docs.columns if c.lower() != ids.lower()]
+    new = {ids.lower()} | ({decoded.lower()} if decoded else set())
+    kept = [c for c in docs.columns if c.lower() not in new]
     (body,) = fresh(docs, "bpe_text")
     out = docs.select(*[col(docs, c) for c in kept], col(docs, text).cast("string").alias(body))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = _loaded(sent.value)
         for batch in batches:
-            batch[ids] = [np.array(coder.encode(t or ""), np.int32) for t in batch[body]]
-            yield batch.drop(columns=[body])
+            found = [coder.encode(t or "") for t in batch[body]]
+            batch = batch.drop(columns=[body])
+            batch[ids] = [np.array(f, np.int32) for f in found]
+            if decoded:
+                batch[decoded] = [coder.decode(f) for f in found]
+            yield batch
 
-    schema = StructType([*[f for f in docs.schema if f.name in kept], StructField(ids, ArrayType(IntegerType()))])
-    return out.mapInPandas(run, schema)
+    fields = [StructField(ids, ArrayType(IntegerType())), *([StructField(decoded, StringType())] if decoded else [])]
+    return out.mapInPandas(run, StructType([*[f for f in docs.schema if f.name in kept], *fields]))
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:

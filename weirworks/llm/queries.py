@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from weirworks.llm import bpe, toxicity
 from weirworks.llm.common import table
+from weirworks.llm.forest import neighbours
 from weirworks.llm.line_dedup import dedup_lines
 from weirworks.llm.mixing import mix
+from weirworks.llm.threshold import top_scores
 from weirworks.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,8 +114,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 @query("op2_bpe")
 def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    encoded = bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), tokenizer_path())
-    decoded = bpe.decode(encoded.drop("text"), tokenizer_path())
+    decoded = bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), tokenizer_path(), decoded="decoded")
     ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), sha("decoded").alias("decoded_sha256"))
 
@@ -134,3 +135,27 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     scored = toxicity.with_scores(docs, toxicity_model(spark, docs, folder))
     predicted = F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", predicted)
+
+
+@query("op9_neighbours")
+def op9_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+TOP_SQL = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+@query("op10_top_scores", TOP_SQL)
+def op10_top_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return top_scores(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
