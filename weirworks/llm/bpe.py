@@ -24,7 +24,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from weirworks.llm.common import col, fresh
 
 # Entries remembered in a task, and the symbols from which on a fragment is merged by a heap.
-CHUNK_MEMORY, FRAGMENT_MEMORY, LONG = 250_000, 100_000, 48
+CHUNK_MEMORY, FRAGMENT_MEMORY, LONG = 300_000, 300_000, 48
 # White space to split() but not to the vocabulary's pattern.
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 

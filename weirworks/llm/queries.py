@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirworks.llm import bpe, toxicity
+from weirworks.llm import bpe, pii, toxicity
 from weirworks.llm.common import table
 from weirworks.llm.forest import neighbours
 from weirworks.llm.line_dedup import dedup_lines
@@ -159,3 +159,10 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 @query("op10_top_scores", TOP_SQL)
 def op10_top_scores(spark: SparkSession, folder: str) -> DataFrame:
     return top_scores(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op1_pii")
+def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find(table(spark, folder, "documents"))
+    counts = [F.size(F.filter("base", lambda s, n=n: s["kind"] == n)).cast("long").alias(f"n_{k}") for n, k in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
