@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weirworks.llm import bpe, pii, toxicity
 from weirworks.llm.common import table
 from weirworks.llm.forest import neighbours
+from weirworks.llm.jaccard import near_copies
 from weirworks.llm.line_dedup import dedup_lines
 from weirworks.llm.mixing import mix
 from weirworks.llm.threshold import top_scores
@@ -166,3 +167,33 @@ def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
     found = pii.find(table(spark, folder, "documents"))
     counts = [F.size(F.filter("base", lambda s, n=n: s["kind"] == n)).cast("long").alias(f"n_{k}") for n, k in enumerate(pii.KINDS)]
     return found.select("doc_id", *counts, F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
+
+
+JACCARD_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents
+), runs AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5
+    THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))
+    ELSE [array_to_string(w, ' ')] END) AS run FROM words WHERE len(w) > 0
+), sizes AS (
+  SELECT doc_id, count(*) AS size FROM runs GROUP BY doc_id
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM runs a JOIN runs b ON a.run = b.run AND a.doc_id <> b.doc_id
+  JOIN sizes sa ON sa.doc_id = a.doc_id JOIN sizes sb ON sb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING count(*) / (any_value(sa.size) + any_value(sb.size) - count(*)) >= 0.8
+), reach AS (
+  SELECT doc_id AS node, doc_id AS seen FROM documents
+  UNION
+  SELECT r.node, l.b FROM reach r JOIN links l ON r.seen = l.a
+), counts AS (
+  SELECT a, count(*) AS n FROM links GROUP BY a
+)
+SELECT r.node AS doc_id, min(r.seen) AS class_id, CAST(coalesce(any_value(c.n), 0) AS BIGINT) AS n_links
+FROM reach r LEFT JOIN counts c ON c.a = r.node GROUP BY r.node
+"""
+
+
+@query("op3_jaccard_join", JACCARD_SQL)
+def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return near_copies(table(spark, folder, "documents"))
