@@ -13,6 +13,7 @@ from weirworks.llm.forest import neighbours
 from weirworks.llm.jaccard import near_copies
 from weirworks.llm.line_dedup import dedup_lines
 from weirworks.llm.mixing import mix
+from weirworks.llm.quality import resample
 from weirworks.llm.threshold import top_scores
 from weirworks.session import prepare
 
@@ -197,3 +198,8 @@ FROM reach r LEFT JOIN counts c ON c.a = r.node GROUP BY r.node
 @query("op3_jaccard_join", JACCARD_SQL)
 def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_copies(table(spark, folder, "documents"))
+
+
+@query("op8_quality")
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return resample(table(spark, folder, "documents"), table(spark, folder, "labels"))
