@@ -21,10 +21,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from weirworks.llm.common import col, fresh
+from weirworks.llm.common import col, fresh, slices
 
 # Entries remembered in a task, and the symbols from which on a fragment is merged by a heap.
-CHUNK_MEMORY, FRAGMENT_MEMORY, LONG = 300_000, 300_000, 48
+CHUNK_MEMORY, FRAGMENT_MEMORY, LONG = 200_000, 200_000, 48
 # White space to split() but not to the vocabulary's pattern.
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 
@@ -219,7 +219,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", dec
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = _loaded(sent.value)
-        for batch in batches:
+        for batch in slices(batches):
             found = [coder.encode(t or "") for t in batch[body]]
             batch = batch.drop(columns=[body])
             batch[ids] = [np.array(f, np.int32) for f in found]
@@ -238,7 +238,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "decoded
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = _loaded(sent.value)
-        for batch in batches:
+        for batch in slices(batches):
             batch[text] = [coder.decode(() if i is None else i.tolist()) for i in batch[ids]]
             yield batch
 
