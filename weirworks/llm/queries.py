@@ -14,6 +14,7 @@ from weirworks.llm.jaccard import near_copies
 from weirworks.llm.line_dedup import dedup_lines
 from weirworks.llm.mixing import mix
 from weirworks.llm.quality import resample
+from weirworks.llm.repeats import without_repeats
 from weirworks.llm.threshold import top_scores
 from weirworks.session import prepare
 
@@ -203,3 +204,10 @@ def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_quality")
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     return resample(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op7_repeats")
+def op7_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    out = without_repeats(table(spark, folder, "documents"))
+    gone = F.aggregate(F.zip_with("start", "stop", lambda a, b: b - a), F.lit(0).cast("long"), lambda s, n: s + n)
+    return out.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("start").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
