@@ -28,6 +28,7 @@ HASHES, ROWS = 64, 3
 BANDS = 16  # of 3 values each: a pair at 0.8 is missed by all bands in 1 of 100,000 cases
 STEP = 16
 BLOCK = 512
+BATCH, PAIRS = 2_000, 200_000  # rows that a call takes on, and pairs compared at once
 SETS = "doc_id long, size int, set_a long, set_b long, signature binary, bands array<long>"
 UNIT = ["band", "key", "left", "right"]
 
@@ -86,31 +87,59 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["doc_id", "size", "set_a", "set_b", "signature", "bands"]).astype({"set_a": "Int64", "set_b": "Int64"})
 
 
+def _units(rows: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+    """Rows sorted by unit and class, and where each unit begins (with the end)."""
+    rows = rows.sort_values([*UNIT, "rep"], kind="stable").reset_index(drop=True)
+    new = (rows[UNIT] != rows[UNIT].shift()).any(axis=1).to_numpy()
+    return rows, np.r_[np.flatnonzero(new), len(rows)]
+
+
+def _pairs(block: np.ndarray, left: int, right: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every pair inside a block, or between two blocks, as places in the unit."""
+    if left == right:
+        return np.triu_indices(len(block), 1)
+    a, b = np.flatnonzero(block == left), np.flatnonzero(block == right)
+    return np.repeat(a, len(b)), np.tile(b, len(a))
+
+
 def _pruned(threshold: float, least: dict[int, int]):
-    """Candidates of one pair of blocks: per class its partners that the comparison did not drop."""
+    """Candidates of some pairs of blocks: per unit and class its partners that the comparison did not drop."""
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        band, bucket, left, right = key
-        rows = rows.sort_values("rep", kind="stable")
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, cuts = _units(rows)
         values = np.stack([np.frombuffer(s, np.uint32) for s in rows["signature"]])
-        keys, size, rep, block = np.stack(rows["bands"]), rows["size"].to_numpy(), rows["rep"].to_numpy(), rows["block"].to_numpy()
-        firsts = np.arange(len(rows)) if left == right else np.flatnonzero(block == left)
-        partners: dict[int, list[np.ndarray]] = {}
-        for i in firsts:
-            j = np.arange(i + 1, len(rows)) if left == right else np.flatnonzero(block == right)
-            j = j[np.minimum(size[j], size[i]) >= threshold * np.maximum(size[j], size[i])]
-            # A pair that meets in an earlier band was compared there.
-            j = j[~(keys[j, :band] == keys[i, :band]).any(axis=1)]
-            matches = np.zeros(len(j), np.int64)
+        keys, size, band = np.stack(rows["bands"]), rows["size"].to_numpy(), rows["band"].to_numpy()
+        block, left, right = rows["block"].to_numpy(), rows["left"].to_numpy(), rows["right"].to_numpy()
+        places = np.arange(BANDS)
+
+        def kept(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            ok = np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j])
+            i, j = i[ok], j[ok]
+            # A pair that meets in an earlier band is compared there.
+            ok = ~((keys[i] == keys[j]) & (places < band[i][:, None])).any(axis=1)
+            i, j = i[ok], j[ok]
+            matches = np.zeros(len(i), np.int64)
             for n in range(STEP, HASHES + 1, STEP):
-                matches += (values[j, n - STEP : n] == values[i, n - STEP : n]).sum(axis=1)
+                matches += (values[i, n - STEP : n] == values[j, n - STEP : n]).sum(axis=1)
                 good = matches >= least[n]
-                j, matches = j[good], matches[good]
-            if len(j):
-                partners[i] = j
-        involved = sorted({*partners, *(x for j in partners.values() for x in j.tolist())})
-        out = [(band, bucket, left, right, rep[i], rep[partners[i]] if i in partners else np.array([], np.int64)) for i in involved]
-        return pd.DataFrame(out, columns=[*UNIT, "rep", "partners"])
+                i, j, matches = i[good], j[good], matches[good]
+            return np.stack([i, j])
+
+        found, held, count = [], [], 0
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            i, j = _pairs(block[a:b], left[a], right[a])
+            held.append((i + a, j + a))
+            count += len(i)
+            if count >= PAIRS or b == len(rows):
+                i, j = (np.concatenate(x) for x in zip(*held, strict=True))
+                found += [kept(i[n : n + PAIRS], j[n : n + PAIRS]) for n in range(0, len(i), PAIRS)]
+                held, count = [], 0
+        i, j = np.concatenate(found, axis=1)
+        order = np.argsort(i, kind="stable")
+        i, j, rep = i[order], j[order], rows["rep"].to_numpy()
+        involved = np.unique(np.r_[i, j])
+        partners = np.split(rep[j], np.searchsorted(i, involved)[1:])
+        return rows.loc[involved, [*UNIT, "batch", "rep"]].assign(partners=partners)
 
     return run
 
@@ -118,8 +147,7 @@ def _pruned(threshold: float, least: dict[int, int]):
 def _verified(threshold: float):
     """Exact similarities of the candidates of one pair of blocks: per class, documents linked and a root."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("rep", kind="stable")
+    def unit(rows: pd.DataFrame) -> pd.DataFrame:
         rep, copies = rows["rep"].to_numpy(), rows["copies"].to_numpy()
         place = {r: n for n, r in enumerate(rep.tolist())}
         sets = [np.frombuffer(s, np.uint64) for s in rows["shingles"]]
@@ -151,6 +179,10 @@ def _verified(threshold: float):
         roots = np.array([rep[top(n)] for n in range(len(rep))])
         return pd.DataFrame({"rep": rep, "root": roots, "links": links})[links > 0]
 
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, cuts = _units(rows)
+        return pd.concat([unit(rows.iloc[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+
     return run
 
 
@@ -202,9 +234,12 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thr
     other = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other")
     units = members.select("rep", "band", "key", "block", other)
     units = units.withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")}).drop("other")
+    # Most units have two rows, so a call takes many units.
+    rows = buckets.agg(F.sum(F.col("members") * F.ceil(F.col("members") / F.lit(block)))).first()[0] or 0
+    units = units.withColumn("batch", F.pmod(F.xxhash64(*UNIT), F.lit(max(1, -(-int(rows) // BATCH)))))
     full = units.join(reps.select("rep", "size", "signature", "bands"), "rep")
     least = least_matches(threshold, tolerance)
-    kept = full.groupBy(*UNIT).applyInPandas(_pruned(threshold, least), "band int, key long, left int, right int, rep long, partners array<long>")
+    kept = full.groupBy("batch").applyInPandas(_pruned(threshold, least), "band int, key long, left int, right int, batch long, rep long, partners array<long>")
     kept = cut_lineage(kept)
 
     def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -220,7 +255,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thr
     texts = own.join(asked.select(F.col("rep_doc").alias("doc_id")), "doc_id", "left_semi")
     shingles = texts.mapInPandas(shingled, "rep_doc long, set_a long, set_b long, size int, shingles binary")
     shingles = shingles.join(asked, ["rep_doc", *same]).groupBy("rep").agg(F.first("copies").alias("copies"), F.first("shingles").alias("shingles"))
-    checked = kept.join(cut_lineage(shingles), "rep").groupBy(*UNIT).applyInPandas(_verified(threshold), "rep long, root long, links long")
+    checked = kept.join(cut_lineage(shingles), "rep").groupBy("batch").applyInPandas(_verified(threshold), "rep long, root long, links long")
     checked = cut_lineage(checked)
 
     labels = components(checked, "rep", "root")

@@ -199,7 +199,7 @@ def _forget(lost: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
     answers = np.array([f.has(hashes) for f in made]).reshape(len(made), len(hashes))
     for f, hit in zip(made, answers, strict=True):
         f.remove(hashes[hit & (answers.sum(axis=0) == 1)])
-    return pd.DataFrame({"step": filters["step"], "shard": filters["shard"], "slots": [f.to_bytes() for f in made]})
+    return pd.DataFrame({"shard": filters["shard"], "slots": [f.to_bytes() for f in made]})
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, counts: tuple[str, str] | None = None) -> DataFrame:
