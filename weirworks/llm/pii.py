@@ -237,3 +237,9 @@ def listed(spans: str) -> Column:
     """Spans as kind:start:stop, joined by commas."""
     name = lambda s: F.element_at(F.array(*[F.lit(k) for k in KINDS]), s["kind"] + 1)
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", name(s), s["start"].cast("string"), s["stop"].cast("string"))), ",")
+
+
+def count_of(spans: str, kind: str) -> Column:
+    """How many of the spans are of a kind."""
+    number = KINDS.index(kind)
+    return F.size(F.filter(spans, lambda s: s["kind"] == number)).cast("long")

@@ -149,10 +149,11 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, doc
     """doc_id, log_weight and draw of the documents that are taken.
 
     ``share`` of all rows is taken, by default the share of good labels among all labels; without labels every row is.
-    Labels other than 0 and 1 are ignored. Rows that share an id have the same noise and are taken by their own
+    Labels other than 0 and 1, and labels without an id, are ignored. Rows that share an id have the same noise and are taken by their own
     weights. Nulls: a text counts as empty, a row without an id takes part like any other.
     """
     known = labels.where(col(labels, label).isin(0, 1)).select(col(labels, doc_id).alias("doc_id"), col(labels, label).alias("good"))
+    known = known.where("doc_id IS NOT NULL")
     if share is None:
         mean = known.agg(F.avg("good")).first()[0]
         share = 1.0 if mean is None else mean
