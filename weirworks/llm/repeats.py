@@ -25,7 +25,7 @@ from weirworks.llm.anchors import WINDOW, pieces, shared_parts
 from weirworks.llm.common import LAST_ID, col, slices, text_or_empty
 from weirworks.session import cut_lineage
 
-FLUSH_BYTES, CHUNK_BYTES, PART_BYTES = 16 << 20, 1 << 20, 6 << 20
+FLUSH_BYTES, CHUNK_BYTES, PART_BYTES = 8 << 20, 1 << 20, 6 << 20
 BUCKET_PIECES, SHARD_PIECES, MANY = 12_000, 3_000, 2_048
 WIDTH = 19  # bytes of a packed piece
 MARKS = "doc_id long, text_id long, lo array<int>, hi array<int>, bucket array<long>"
