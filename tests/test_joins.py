@@ -147,8 +147,29 @@ def test_health_counts_keys_without_joining_rows(spark):
     assert (empty.left_rows, empty.joined_rows) == (0, 0)
 
 
-def test_small_side_check(spark):
-    assert joins.is_small(spark.range(10), 10) and not joins.is_small(spark.range(11), 10)
+def test_lookup_is_the_same_for_any_size(spark):
+    df = spark.createDataFrame([(1, 0), (2, None)], "id int, k bigint")
+    answers = []
+    for more in (0, 100_000):
+        dim = spark.createDataFrame([(0, "a"), (1, "b"), (None, "n")], "k bigint, v string").union(spark.range(10, 10 + more).select("id", F.lit("x")))
+        answers.append(joins.lookup(df, dim, ["k"], ["v"]))
+    assert [a.columns for a in answers] == [["id", "k", "v"]] * 2
+    assert [rows(a) for a in answers] == [[(1, 0, "a"), (2, None, None)]] * 2
+
+
+def test_hot_null_keys_are_spread(spark):
+    left = spark.range(3_000).select("id", F.lit(None).cast("int").alias("k"))
+    right = spark.createDataFrame([(1, "a"), (None, "n")], "k int, v string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = joins.salted_join(left.repartition(4), right, ["k"], 4, left.select("k").limit(1), "left")
+        sizes = out.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(r["count"] for r in sizes) == 3_000 and out.where("v IS NOT NULL").count() == 0
+
+
+def test_lookup_with_repeated_keys(spark):
     df = spark.range(6).select((F.col("id") % 3).alias("k"))
     dim = spark.createDataFrame([(0, "a"), (0, "b"), (1, "c")], "k bigint, name string")
     assert rows(joins.lookup(df, dim, ["k"], ["name"], [F.desc("name")])) == [(0, "b"), (0, "b"), (1, "c"), (1, "c"), (2, None), (2, None)]

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from decimal import Decimal, InvalidOperation
 from functools import reduce
 from typing import Any
 
@@ -111,14 +112,25 @@ def _constant(dtype: T.DataType, value: Any) -> Column | None:
         word = str(value).strip().lower()
         return F.lit(word == "true") if word in ("true", "false") else None
     if isinstance(dtype, T.NumericType):
+        if isinstance(dtype, (T.FloatType, T.DoubleType)):
+            try:
+                return F.lit(float(value))
+            except (TypeError, ValueError):
+                return None
         try:
-            number = float(value)
-        except (TypeError, ValueError):
+            # Through text, so that a decimal column sees the digits that were written.
+            number = Decimal(str(value).strip())
+        except InvalidOperation:
             return None
+        if not number.is_finite():
+            return F.lit(float(number))
+        whole = number == number.to_integral_value()
         if isinstance(dtype, T.IntegralType):
             # 2.5 against an int column must not be cut to 2.
-            return F.lit(int(value) if number.is_integer() else number)
-        return F.lit(value if isinstance(value, (int, float)) else number)
+            return F.lit(int(number)) if whole and abs(number) < 2**63 else F.lit(float(number))
+        digits = number.as_tuple()
+        fits = len(digits.digits) <= 38 and -38 <= digits.exponent <= 0
+        return F.lit(number) if fits else F.lit(int(number)) if whole and abs(number) < 2**63 else F.lit(float(number))
     if isinstance(value, str):
         return F.lit(value).cast(dtype)
     return F.lit(value)

@@ -78,10 +78,8 @@ SIGNATURES = (
               "The runtime version lacks a feature.", "Check the migration report for this job."),
 )
 
-# Handles that differ from run to run and their stand-in; evidence length; log lines looked at.
+# Handles that differ from run to run and their stand-in.
 HANDLE, HANDLE_MARK = r"\bo\d{2,}\b", "o…"
-EVIDENCE_CHARS = 400
-TAIL_LINES = 200
 
 
 @dataclass(frozen=True)
@@ -113,5 +111,4 @@ SECRET_KEY, SECRET_MASK = r"(?i)(secret|password|passwd|token|api[_-]?key|creden
 PROGRESS_SUFFIX = "-progress-bar"
 INSIGHT_STREAMS = {"job-insights-rca-driver": "rootCause", "job-insights-rule-driver": "guidance"}
 INSIGHT_GROUPS = ("error", "logs-v2")
-INSIGHT_LINES = 500
 ERROR_WORDS = r"ERROR|Exception|Traceback"

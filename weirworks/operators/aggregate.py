@@ -65,15 +65,19 @@ def union(frames: Sequence[DataFrame], *, distinct: bool = False, by_name: bool
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, keys: Sequence[str], compare: Sequence[str] = ()) -> DataFrame:
-    """Keys that were added, removed or, in one of the compared columns, modified. One full outer join."""
+    """Keys that were added, removed or, in one of the compared columns, modified. One full outer join; NULL keys are keys."""
     keys = list(keys)
     before = old.select(*keys, F.struct(*compare).alias("_old") if compare else F.lit(1).alias("_old"))
     after = new.select(*keys, F.struct(*compare).alias("_new") if compare else F.lit(1).alias("_new"))
     # A marker per side, since a compared struct is never NULL but the missing side is.
-    both = before.withColumn("_in_old", F.lit(True)).join(after.withColumn("_in_new", F.lit(True)), keys, "full")
+    names = [f"_k{i}" for i in range(len(keys))]
+    after = after.withColumn("_in_new", F.lit(True)).withColumnsRenamed(dict(zip(keys, names, strict=True)))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)])
+    both = before.withColumn("_in_old", F.lit(True)).join(after, same, "full")
     change = (
         F.when(F.col("_in_old").isNull(), "added")
         .when(F.col("_in_new").isNull(), "removed")
         .when(~F.col("_old").eqNullSafe(F.col("_new")), "modified")
     )
-    return both.withColumn("change", change).where(F.col("change").isNotNull()).select(*keys, "change")
+    key = [F.when(F.col("_in_old"), F.col(k)).otherwise(F.col(n)).alias(k) for k, n in zip(keys, names, strict=True)]
+    return both.withColumn("change", change).where(F.col("change").isNotNull()).select(*key, "change")

@@ -69,16 +69,10 @@ def one_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) ->
     return top_per_key(df, keys, order, 1)
 
 
-# A side with at most this many rows is broadcast, and no more hot keys than this are salted.
-BROADCAST_ROWS = 100_000
+# No more hot keys than this are salted.
 HOT_KEYS = 10_000
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether the frame has at most ``rows`` rows; stops reading once it has seen more."""
-    return df.select(F.lit(1)).limit(rows + 1).count() <= rows
-
-
 def _salt(df: DataFrame, salts: int) -> Column:
     """A number per row that a repeated task gives again: the row's content and the partition it is in.
 
@@ -130,9 +124,11 @@ def join_unique(df: DataFrame, unique: DataFrame, keys: Sequence[str], hot_share
 
 
 def lookup(df: DataFrame, dim: DataFrame, keys: Sequence[str], columns: Sequence[str], order: Sequence[Column] = ()) -> DataFrame:
-    """Add columns of a dimension. A key the dimension holds twice is settled by ``order``, so rows never multiply.
+    """``df`` with columns of a dimension behind its own. A key the dimension holds twice is settled by ``order``, so rows
+    never multiply. A NULL key finds nothing.
 
-    A dimension found to be small is broadcast; a larger one is joined in the way that withstands hot keys.
+    The join is the same whatever the dimension's size: Spark broadcasts it below its byte threshold, and AQE splits
+    hot keys above.
     """
     narrow = dim.select(*dict.fromkeys([*keys, *columns]))
     if order:
@@ -142,16 +138,23 @@ def lookup(df: DataFrame, dim: DataFrame, keys: Sequence[str], columns: Sequence
     clash = [c for c in columns if c in df.columns and c not in keys]
     if clash:
         raise ValueError(f"lookup would overwrite {clash}")
-    if is_small(dim):
-        return df.join(F.broadcast(narrow), list(keys), "left")
-    return join_unique(df, narrow, keys)
+    return df.join(narrow, list(keys), "left").select(*[F.col(f"`{c}`") for c in dict.fromkeys([*df.columns, *columns])])
 
 
 def merge(base: DataFrame, changes: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """Upsert by primary key: changed rows replace base rows, new keys are added; ``order`` picks among
-    several changes to one key."""
+    """Upsert by primary key: changed rows replace base rows, new keys are added; ``order`` picks among several changes to
+    one key. Rows whose key holds a NULL match none and stay, on both sides. One join, so both sides are read once."""
+    names = list(dict.fromkeys([*base.columns, *changes.columns]))
+    old = base.select(F.struct(*[F.col(f"`{c}`") for c in base.columns]).alias("_old"), *[F.col(f"`{k}`").alias(f"_o{i}") for i, k in enumerate(keys)])
     latest = one_per_key(changes, keys, order)
-    return base.join(latest.select(*keys), list(keys), "leftanti").unionByName(latest, allowMissingColumns=True)
+    new = latest.select(F.struct(*[F.col(f"`{c}`") for c in changes.columns]).alias("_new"), *[F.col(f"`{k}`").alias(f"_n{i}") for i, k in enumerate(keys)])
+    both = old.join(new, reduce(lambda a, b: a & b, [F.col(f"_o{i}") == F.col(f"_n{i}") for i in range(len(keys))]), "full")
+
+    def value(c: str) -> Column:
+        had = F.col(f"_old.`{c}`") if c in base.columns else F.lit(None)
+        return F.when(F.col("_new").isNotNull(), F.col(f"_new.`{c}`") if c in changes.columns else F.lit(None)).otherwise(had).alias(c)
+
+    return both.select(*[value(c) for c in names])
 
 
 def salted_join(
@@ -167,13 +170,21 @@ def salted_join(
         raise ValueError("salting keeps left rows whole: use inner, left, leftsemi or leftanti")
     keys = list(keys)
     listed = cut_lineage(hot.select(*keys).distinct())
-    if not is_small(listed, HOT_KEYS):
+    # The list is broadcast, so its size is proven first: a key with a share of s leaves room for 1 / s others at most.
+    if listed.limit(HOT_KEYS + 1).count() > HOT_KEYS:
         raise ValueError(f"more than {HOT_KEYS} hot keys: ask for a larger share")
-    flag = F.broadcast(listed.withColumn("_hot", F.lit(True)))
+    marks = [f"_h{i}" for i in range(len(keys))]
+    flag = listed.select(*[F.col(k).alias(m) for k, m in zip(keys, marks, strict=True)], F.lit(True).alias("_hot"))
+
+    def flagged(df: DataFrame) -> DataFrame:
+        # NULL keys are often the hottest; they match nothing but must be spread too.
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(m)) for k, m in zip(keys, marks, strict=True)])
+        return df.join(F.broadcast(flag), same, "left").drop(*marks)
+
     spread = _salt(left, salts).cast("int")
-    salted_left = left.join(flag, keys, "left").withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(0)).drop("_hot")
+    salted_left = flagged(left).withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(0)).drop("_hot")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    salted_right = right.join(flag, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    salted_right = flagged(right).withColumn("_salt", F.explode(copies)).drop("_hot")
     return salted_left.join(salted_right, [*keys, "_salt"], kind).drop("_salt")
 
 

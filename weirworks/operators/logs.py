@@ -41,14 +41,15 @@ def search(logs: DataFrame, text: str) -> DataFrame:
     return found.withColumn("is_error", F.col("message").rlike(sig.ERROR_WORDS))
 
 
-def insights(logs: DataFrame) -> DataFrame:
-    """The first lines of every insight stream, tagged with what they hold."""
+def insights(logs: DataFrame, lines_each: int | None = None) -> DataFrame:
+    """The lines of every insight stream (all, or the first of each), tagged with what they hold."""
     tag = F.lit(None).cast("string")
     for stream, name in sig.INSIGHT_STREAMS.items():
         tag = F.when(F.col("stream").contains(stream), name).otherwise(tag)
     lines = logs.where(F.col("log_group").isin(*sig.INSIGHT_GROUPS) & _insight(F.col("stream")))
-    first = top_per_key(lines, ["run_id", "log_group", "stream"], [F.asc("ts"), F.asc("event_id")], sig.INSIGHT_LINES)
-    return first.withColumn("insight", tag)
+    if lines_each is not None:
+        lines = top_per_key(lines, ["run_id", "log_group", "stream"], [F.asc("ts"), F.asc("event_id")], lines_each)
+    return lines.withColumn("insight", tag)
 
 
 def rule_marks(text: Column, rules: Sequence[sig.Signature] = sig.SIGNATURES) -> Column:
@@ -70,19 +71,31 @@ def _mark(text: Column, pattern: str, number: int, excludes: bool) -> Column:
 
 def rule_hits(lines: DataFrame, text: str, rules: Sequence[sig.Signature] = sig.SIGNATURES) -> DataFrame:
     """A row ``(..., rule, excludes)`` for every pattern that occurs in a line."""
-    marked = lines.select("*", F.explode(rule_marks(F.col(text), rules)).alias("_mark")).where("_mark IS NOT NULL")
-    return marked.select(*[F.col(f"`{c}`") for c in lines.columns], "_mark.*")
+    # Most lines hit nothing: one pattern that holds them all is tried first.
+    any_rule = "(?i)" + "|".join(f"(?:{p})" for r in rules for p in (r.pattern, r.unless) if p)
+    marks = F.filter(rule_marks(F.col(text), rules), lambda m: m.isNotNull())
+    return lines.where(F.col(text).rlike(any_rule)).select(*[F.col(f"`{c}`") for c in lines.columns], F.inline(marks))
 
 
-def evidence_lines(failures: DataFrame, logs: DataFrame) -> DataFrame:
-    """The text of each failed run, line by line: its message, the end of its error log, its state."""
+def line_hits(lines: DataFrame, text: str, rules: Sequence[sig.Signature] = sig.SIGNATURES) -> DataFrame:
+    """A row ``(..., rule)`` for every rule that a line meets and whose exclusion it doesn't meet, for lines on their own."""
+    any_rule = "(?i)" + "|".join(f"(?:{r.pattern})" for r in rules)
+    marked = lines.where(F.col(text).rlike(any_rule)).withColumn("_marks", F.filter(rule_marks(F.col(text), rules), lambda m: m.isNotNull()))
+    excluded = F.transform(F.filter("_marks", lambda m: m["excludes"]), lambda m: m["rule"])
+    rules_met = F.array_except(F.transform(F.filter("_marks", lambda m: ~m["excludes"]), lambda m: m["rule"]), excluded)
+    return marked.select(*[F.col(f"`{c}`") for c in lines.columns], F.explode(rules_met).alias("rule"))
+
+
+def evidence_lines(failures: DataFrame, logs: DataFrame, last: int | None = None) -> DataFrame:
+    """The text of each failed run, line by line: its message, its error log (all, or the ``last`` lines), its state."""
     said = failures.where("error_message IS NOT NULL").select(
         "run_id", F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("at"), F.lit(0).cast("bigint").alias("seq"), F.col("error_message").alias("text")
     )
     # Runs are listed once each, so both sides of this join come straight from their scans and AQE can split a
     # run with very many lines.
     ids = failures.select("run_id")
-    logged = tail(logs.join(ids, "run_id", "leftsemi"), sig.TAIL_LINES, "error").select(
+    theirs = logs.join(ids, "run_id", "leftsemi")
+    logged = (console_lines(theirs, "error") if last is None else tail(theirs, last, "error")).select(
         "run_id", F.lit(1).alias("part"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("seq"), F.col("message").alias("text")
     )
     state = failures.where("state IS NOT NULL").select(
@@ -93,7 +106,11 @@ def evidence_lines(failures: DataFrame, logs: DataFrame) -> DataFrame:
     return split.withColumn("line", F.regexp_replace("line", sig.HANDLE, sig.HANDLE_MARK))
 
 
-def classify(lines: DataFrame, rules: Sequence[sig.Signature] = sig.SIGNATURES) -> DataFrame:
+def _short(text: Column, chars: int | None) -> Column:
+    return text if chars is None else F.when(F.length(text) > chars, F.concat(F.substring(text, 1, chars), F.lit("…"))).otherwise(text)
+
+
+def classify(lines: DataFrame, rules: Sequence[sig.Signature] = sig.SIGNATURES, evidence_chars: int | None = None) -> DataFrame:
     """Rules that match each run, most confident first, with the first line that matched.
 
     All rules look at a line in one pass, and one aggregation keeps, per run and rule, the first hit and
@@ -111,7 +128,7 @@ def classify(lines: DataFrame, rules: Sequence[sig.Signature] = sig.SIGNATURES)
     best = Window.partitionBy("run_id").orderBy(F.desc("confidence"), "rule")
     return named.select(
         "run_id", "id", "confidence", "cause", "fix",
-        F.when(F.length(line) > sig.EVIDENCE_CHARS, F.concat(F.substring(line, 1, sig.EVIDENCE_CHARS), F.lit("…"))).otherwise(line).alias("evidence"),
+        _short(line, evidence_chars).alias("evidence"),
         F.row_number().over(best).alias("rank"),
     )
 
@@ -134,8 +151,8 @@ def scan_scripts(scripts: DataFrame) -> DataFrame:
         F.when(F.col("code").rlike(r.pattern), F.struct(F.lit(r.severity).alias("severity"), F.lit(r.title).alias("title")))
         for r in sig.MIGRATION_RULES
     ]
-    found = lines.select("script", "_at", F.explode(F.array(*marks)).alias("_found")).where("_found IS NOT NULL")
-    return found.select("script", (F.col("_at") + 1).alias("line"), "_found.*")
+    found = F.filter(F.array(*marks), lambda m: m.isNotNull())
+    return lines.select("script", (F.col("_at") + 1).alias("line"), F.inline(found))
 
 
 def severity_counts(findings: DataFrame) -> DataFrame:
@@ -145,13 +162,12 @@ def severity_counts(findings: DataFrame) -> DataFrame:
 
 # Outcome elements of a test case in the order they are looked for, and the status each gives.
 OUTCOMES = {"failure": "fail", "error": "error", "skipped": "skip"}
-MESSAGE_CHARS = 2000
 
 _OUTCOME = "array<struct<_message string, _VALUE string>>"
 _CASE_SCHEMA = f"_classname string, _name string, _time string, failure {_OUTCOME}, error {_OUTCOME}, skipped {_OUTCOME}"
 
 
-def read_test_reports(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def read_test_reports(spark: SparkSession, paths: str | Sequence[str], message_chars: int | None = None) -> DataFrame:
     """JUnit XML reports as ``(report, name, node, status, message, ms)``, one row per test case."""
     raw = (
         spark.read.format("xml").option("rowTag", "testcase").option("recursiveFileLookup", True)
@@ -166,22 +182,25 @@ def read_test_reports(spark: SparkSession, paths: str | Sequence[str]) -> DataFr
         message = F.when(there, said).otherwise(message)
     suite = F.regexp_replace(F.coalesce("_classname", F.lit("")), r"^tests\.", "")
     title = F.when(F.coalesce("_classname", F.lit("")) == "", F.col("_name")).otherwise(F.concat(suite, F.lit("::"), F.col("_name")))
-    short = F.when(F.length(message) > MESSAGE_CHARS, F.concat(F.substring(message, 1, MESSAGE_CHARS), F.lit("…"))).otherwise(message)
     return raw.select(
         F.col("_metadata.file_path").alias("report"), title.alias("name"), F.regexp_replace(suite, "^test_", "").alias("node"),
-        status.alias("status"), short.alias("message"),
+        status.alias("status"), _short(message, message_chars).alias("message"),
         F.floor(F.coalesce(F.col("_time").try_cast("double"), F.lit(0.0)) * 1000 + 0.5).alias("ms"),
     )
 
 
-def report_summary(cases: DataFrame, by: str = "report") -> DataFrame:
-    """Counts per outcome and one overall status for every report."""
+def report_summary(cases: DataFrame, by: str = "report", reports: DataFrame | None = None) -> DataFrame:
+    """Counts per outcome and one overall status for every report; of the ``reports`` listed, those without a case too."""
     count = lambda s: F.count_if(F.col("status") == s)
-    return (
+    out = (
         cases.groupBy(by)
         .agg(count("pass").alias("passed"), count("fail").alias("failed"), count("error").alias("errors"), count("skip").alias("skipped"), F.sum("ms").alias("ms"))
         .withColumn("status", F.when(F.col("failed") + F.col("errors") > 0, "failed").otherwise("passed"))
     )
+    if reports is None:
+        return out
+    every = reports.select(by).distinct().join(out, by, "left")
+    return every.fillna(0, ["passed", "failed", "errors", "skipped", "ms"]).fillna("none", ["status"])
 
 
 def mask_secrets(settings: Column) -> Column:

@@ -56,7 +56,7 @@ def resample(points: DataFrame, runs: DataFrame | None = None, now: Column | Non
 
     The span of a run is taken from ``runs`` (``run_id, started_on, completed_on``; ``now`` stands in for an end
     that is missing), and points outside it are left out. Without ``runs`` it reaches from the first point of
-    the run to the last. The statistic is the one its series names. One partial aggregation per minute comes
+    the run to the last. The statistic is the one its series names; a metric of no series is averaged. One partial aggregation per minute comes
     first; minutes fit every slot length, so nothing larger is ever regrouped.
     """
     if runs is not None:
@@ -76,7 +76,7 @@ def resample(points: DataFrame, runs: DataFrame | None = None, now: Column | Non
     specs = series_table(points.sparkSession).select("metric", "stat")
     slot = F.timestamp_seconds(F.floor(F.unix_seconds("minute") / F.col("period")) * F.col("period"))
     slots = (
-        minutes.join(spans, "run_id").join(F.broadcast(specs), "metric")  # 14 specs
+        minutes.join(spans, "run_id").join(F.broadcast(specs), "metric", "left").fillna("Average", ["stat"])  # 14 specs
         .groupBy("run_id", "metric", "stat", "period", slot.alias("slot"))
         .agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.max("m").alias("m"))
     )

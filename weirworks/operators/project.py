@@ -106,13 +106,16 @@ def drop_null_fields(
 ) -> DataFrame:
     """Drop the columns in which every value is NULL or one of the chosen stand-ins for NULL.
 
-    One aggregation over all columns; it stops short of a shuffle of rows, since each task sends one row.
+    One aggregation over all columns, run while the plan is made; each task sends one row. A frame without rows says
+    nothing about its columns and keeps them all.
     """
     present = [
         F.max(_holds_value(F.col(f"`{f.name}`"), f.dataType, empty_string, null_string, minus_one, custom)).alias(f"c{i}")
         for i, f in enumerate(df.schema.fields)
     ]
-    found = df.agg(*present).first()
+    found = df.agg(F.count(F.lit(1)).alias("rows"), *present).first()
+    if found["rows"] == 0:
+        return df
     return df.select(*[F.col(f"`{name}`") for i, name in enumerate(df.columns) if found[f"c{i}"]])
 
 

@@ -149,15 +149,15 @@ def evaluate(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Outcomes ``(rule, metric, expected, passed)``, one row per rule.
 
     Rules about rows share one aggregation without a shuffle of rows. Uniqueness rules need the values counted
-    first: one such grouping per column, after map-side counting.
+    first: one such grouping per column list, after map-side counting.
     """
     measures: dict[int, Column] = {}
-    spread: dict[str, list[int]] = {}
+    spread: dict[tuple[str, ...], list[int]] = {}
     for i, rule in enumerate(rules):
         if rule.kind == "ColumnExists":
             measures[i] = F.max(F.lit(1.0 if rule.columns[0] in df.columns else 0.0))
         elif rule.kind in ("IsUnique", "IsPrimaryKey", "Uniqueness", "DistinctValuesCount"):
-            spread.setdefault(rule.columns[0], []).append(i)
+            spread.setdefault(tuple(rule.columns), []).append(i)
         else:
             measure = _measure(rule)
             if measure is None:
@@ -167,10 +167,13 @@ def evaluate(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     if measures:
         cells = [F.struct(F.lit(i).alias("no"), m.cast("double").alias("metric")) for i, m in measures.items()]
         frames.append(df.agg(F.array(*cells).alias("cells")).select(F.inline("cells")))
-    for column, numbers in spread.items():
-        counts = df.groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-        rows, known = F.sum("n"), F.count("v")
-        once = F.count_if((F.col("n") == 1) & F.col("v").isNotNull())
+    for columns, numbers in spread.items():
+        # All columns of a rule make up its value; it is known when none of them is NULL.
+        names = [f"v{k}" for k in range(len(columns))]
+        counts = df.groupBy(*[F.col(c).alias(n) for c, n in zip(columns, names, strict=True)]).agg(F.count(F.lit(1)).alias("n"))
+        whole = reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names])
+        rows, known = F.sum("n"), F.count_if(whole)
+        once = F.count_if((F.col("n") == 1) & whole)
         share = F.coalesce(once / F.nullif(rows, F.lit(0)), F.lit(1.0))
         cells = [
             F.struct(F.lit(i).alias("no"), (known if rules[i].kind == "DistinctValuesCount" else share).cast("double").alias("metric"))
@@ -223,12 +226,26 @@ def row_count_match(df: DataFrame, others: Mapping[str, DataFrame]) -> DataFrame
 
 
 def dataset_match(df: DataFrame, other: DataFrame, keys: Sequence[str], compare: Sequence[str]) -> DataFrame:
-    """One row: keys in common, keys whose compared columns agree, and that share of all keys of ``df``."""
-    a = df.select(*keys, F.struct(*compare).alias("_a"))
-    b = other.select(*keys, F.struct(*compare).alias("_b"), F.lit(True).alias("_there"))
-    both = a.join(b, list(keys), "left")
-    equal = F.col("_there") & F.col("_a").eqNullSafe(F.col("_b"))
-    out = both.agg(F.count(F.lit(1)).alias("rows"), F.count("_there").alias("common"), F.count_if(equal).alias("equal"))
+    """One row: keys (rows), keys in common, keys whose compared columns agree, that share of all keys of ``df``, and
+    how many rows repeat a key on either side.
+
+    A key that is repeated counts once, with the smallest of its compared values. NULL keys are keys.
+    """
+    names = [f"_k{i}" for i in range(len(keys))]
+
+    def once(frame: DataFrame, value: str, extra: str) -> DataFrame:
+        named = [F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]
+        return frame.groupBy(*named).agg(F.min(F.struct(*compare)).alias(value), (F.count(F.lit(1)) - 1).alias(extra))
+
+    a, b = once(df, "_a", "_more_a"), once(other, "_b", "_more_b").withColumnsRenamed({n: f"{n}_b" for n in names})
+    same = reduce(lambda x, y: x & y, [F.col(n).eqNullSafe(F.col(f"{n}_b")) for n in names])
+    both = a.join(b, same, "full")
+    mine, theirs = F.col("_more_a").isNotNull(), F.col("_more_b").isNotNull()
+    out = both.agg(
+        F.count_if(mine).alias("rows"), F.count_if(mine & theirs).alias("common"),
+        F.count_if(mine & theirs & F.col("_a").eqNullSafe(F.col("_b"))).alias("equal"),
+        F.coalesce(F.sum(F.coalesce("_more_a", F.lit(0)) + F.coalesce("_more_b", F.lit(0))), F.lit(0)).alias("repeats"),
+    )
     return out.withColumn("ratio", F.coalesce(F.col("equal") / F.nullif("rows", F.lit(0)), F.lit(1.0)))
 
 

@@ -76,13 +76,46 @@ def quality_row_count_match(d: Data) -> DataFrame:
 @query(
     "quality_dataset_match",
     """SELECT count(*) AS rows, count(*) FILTER (o_orderkey % 5 > 0) AS common, count(*) FILTER (o_orderkey % 5 > 0 AND o_orderkey % 3 > 0) AS equal,
-         count(*) FILTER (o_orderkey % 5 > 0 AND o_orderkey % 3 > 0) / count(*) AS ratio FROM orders""",
+         0 AS repeats, count(*) FILTER (o_orderkey % 5 > 0 AND o_orderkey % 3 > 0) / count(*) AS ratio FROM orders""",
 )
 def quality_dataset_match(d: Data) -> DataFrame:
     changed = d.orders.where("o_orderkey % 5 > 0").withColumn("o_totalprice", F.expr("CASE WHEN o_orderkey % 3 = 0 THEN -1D ELSE o_totalprice END"))
     return quality.dataset_match(d.orders, changed, ["o_orderkey"], ["o_totalprice", "o_orderstatus"])
 
 
+@query(
+    "quality_dataset_match_repeats",
+    """SELECT count(*) AS rows, count(*) AS common, count(*) AS equal, CAST(count(*) FILTER (o_orderkey % 4 = 0) + 1 AS BIGINT) AS repeats, 1.0::DOUBLE AS ratio
+       FROM (SELECT o_orderkey FROM orders UNION ALL SELECT NULL)""",
+)
+def quality_dataset_match_repeats(d: Data) -> DataFrame:
+    narrow = d.orders.select("o_orderkey", "o_orderstatus")
+    nothing = d.region.limit(2).select(F.lit(None).cast("bigint"), F.lit("x"))
+    return quality.dataset_match(narrow.union(nothing), narrow.union(narrow.where("o_orderkey % 4 = 0")).union(nothing.limit(1)), ["o_orderkey"], ["o_orderstatus"])
+
+
+@query(
+    "quality_composite_key",
+    """WITH c AS (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_partkey, l_linenumber),
+         p AS (SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL)
+       SELECT 'IsPrimaryKey "l_orderkey" "l_partkey" "l_linenumber"' AS rule, (SELECT count(*) FILTER (n = 1) / sum(n) FROM c)::DOUBLE AS metric
+       UNION ALL SELECT 'IsPrimaryKey "l_returnflag" "l_linestatus"', (SELECT count(*) FILTER (n = 1) / sum(n) FROM p)::DOUBLE""",
+)
+def quality_composite_key(d: Data) -> DataFrame:
+    rules = [quality.Rule("IsPrimaryKey", ("l_orderkey", "l_partkey", "l_linenumber")), quality.Rule("IsPrimaryKey", ("l_returnflag", "l_linestatus"))]
+    return quality.evaluate(d.lineitem, rules).select("rule", "metric")
+
+
+@query("quality_stop_on_failure", "SELECT 'failed: IsUnique \"o_custkey\"' AS said, count(*) AS read, 0 AS written FROM orders")
+def quality_stop_on_failure(d: Data) -> DataFrame:
+    written, said = [], ""
+    try:
+        quality.write_checked(d.orders, [quality.row_count(), quality.is_unique("o_custkey")], written.append, stop="Immediate")
+    except quality.QualityError as e:
+        said = str(e)
+    return d.orders.agg(F.lit(said).alias("said"), F.count(F.lit(1)).alias("read"), F.lit(len(written)).alias("written"))
+
+
 @query(
     "quality_row_outcomes",
     """SELECT o_orderkey, concat_ws('; ', CASE WHEN status IS NULL THEN 'IsComplete "status"' END,

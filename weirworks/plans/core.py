@@ -197,6 +197,12 @@ def null_fields_drop(d: Data) -> DataFrame:
     return project.drop_null_fields(padded, empty_string=True, null_string=True, minus_one=True, custom=[("n/a", "string")])
 
 
+@query("null_fields_empty_frame", "SELECT count(*) AS orders, 6 AS columns FROM orders")
+def null_fields_empty_frame(d: Data) -> DataFrame:
+    kept = project.drop_null_fields(d.orders.where("o_orderkey < 0"))
+    return d.orders.agg(F.count(F.lit(1)).alias("orders"), F.lit(len(kept.columns)).alias("columns"))
+
+
 @query("fields_split", "SELECT 'selected' AS part, count(*) AS n, sum(c_custkey)::BIGINT AS total FROM customer UNION ALL SELECT 'rest', count(*), sum(c_nationkey)::BIGINT FROM customer")
 def fields_split(d: Data) -> DataFrame:
     frames = project.split_fields(d.customer, ["c_custkey", "c_name"])

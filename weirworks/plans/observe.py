@@ -64,8 +64,7 @@ def _literal(text: str | None) -> str:
 
 RULES_SQL = ", ".join(f"({i}, {_literal(r.id)}, {_literal(r.pattern)}, {_literal(r.unless)}, {r.confidence})" for i, r in enumerate(sig.SIGNATURES))
 LINES_SQL = f"""failures AS ({FAILURES}),
-  tails AS (SELECT run_id, ts, event_id, message FROM logs WHERE log_group = 'error' AND {CONSOLE} AND run_id IN (SELECT run_id FROM failures)
-    QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY ts DESC, event_id DESC) <= 200),
+  tails AS (SELECT run_id, ts, event_id, message FROM logs WHERE log_group = 'error' AND {CONSOLE} AND run_id IN (SELECT run_id FROM failures)),
   texts AS (SELECT run_id, 0 AS part, NULL AS ts, 0 AS event_id, error_message AS text FROM failures WHERE error_message IS NOT NULL
     UNION ALL SELECT run_id, 1, ts, event_id, message FROM tails UNION ALL SELECT run_id, 2, NULL, 0, concat('STATE=', state) FROM failures),
   lines AS (SELECT run_id, part, ts, event_id, line_no, regexp_replace(line, '\\bo[0-9]{{2,}}\\b', 'o…', 'g') AS line FROM
@@ -139,6 +138,24 @@ def script_severity_counts(d: Data) -> DataFrame:
          o_orderkey % 5000 AS ms FROM orders""",
 )
 def test_report_cases(d: Data) -> DataFrame:
+    return _report_cases(d).drop("report")
+
+
+@query(
+    "test_report_summary",
+    """WITH c AS (SELECT concat('step_', CAST(o_custkey % 30 AS VARCHAR)) AS node, o_orderkey % 10 AS k, o_orderkey % 5000 AS ms FROM orders),
+         s AS (SELECT node, count(*) FILTER (k > 2) AS passed, count(*) FILTER (k = 0) AS failed, count(*) FILTER (k = 1) AS errors, count(*) FILTER (k = 2) AS skipped,
+           CAST(sum(ms) AS BIGINT) AS ms FROM c GROUP BY node)
+       SELECT node, passed, failed, errors, skipped, ms, CASE WHEN failed + errors > 0 THEN 'failed' ELSE 'passed' END AS status FROM s
+       UNION ALL SELECT DISTINCT concat('idle_', r_name), 0, 0, 0, 0, 0, 'none' FROM region""",
+)
+def test_report_summary(d: Data) -> DataFrame:
+    cases = _report_cases(d)
+    listed = cases.select("node").union(d.region.select(F.concat(F.lit("idle_"), "r_name")))
+    return logs.report_summary(cases, "node", listed)
+
+
+def _report_cases(d: Data) -> DataFrame:
     key, no = F.col("o_orderkey"), F.lit(None).cast("string")
 
     def outcome(rest: int, message, body):
@@ -154,7 +171,7 @@ def test_report_cases(d: Data) -> DataFrame:
     )
     out = scratch_path(d.spark, "reports")
     cases.write.format("xml").option("rootTag", "testsuite").option("rowTag", "testcase").save(out)
-    return logs.read_test_reports(d.spark, out).drop("report")
+    return logs.read_test_reports(d.spark, out)
 
 
 @query(

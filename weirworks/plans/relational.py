@@ -11,6 +11,25 @@ from weirworks.operators import audit, filters, joins
 from weirworks.plans.registry import Data, query
 
 
+@query("filter_decimal_exact", "SELECT o_orderkey FROM orders WHERE o_orderkey IN (101, 103)")
+def filter_decimal_exact(d: Data) -> DataFrame:
+    amount = "CAST(9007199254740992 AS DECIMAL(20,0)) + CAST(o_orderkey AS DECIMAL(12,0)) * 0.01BD"
+    wanted = cond("amount", "IN", ["9007199254740993.01", "9007199254740993.03"])
+    return filters.filter_rows(d.orders.selectExpr("o_orderkey", f"CAST({amount} AS DECIMAL(30,2)) AS amount"), [wanted]).select("o_orderkey")
+
+
+@query(
+    "snapshot_null_keys",
+    "SELECT DISTINCT code, 'removed' AS change FROM nulls WHERE code LIKE '1%' UNION ALL SELECT 'fresh', 'added'",
+    "nulls",
+)
+def snapshot_null_keys(d: Data) -> DataFrame:
+    """NULL is among the keys of both snapshots, so it neither came nor went."""
+    old = d.nulls.select("code").distinct()
+    new = old.where("code IS NULL OR code NOT LIKE '1%'").union(d.region.limit(1).select(F.lit("fresh")))
+    return agg.snapshot_diff(old, new, ["code"])
+
+
 def _filter_query(name: str, where: str, *conditions, combine: str = "AND") -> None:
     @query(f"filter_{name}", f"SELECT o_orderkey, status, price, code FROM nulls WHERE {where}", "nulls")
     def run(d: Data) -> DataFrame:
@@ -28,6 +47,10 @@ _filter_query("starts_ends", "starts_with(code, '1') OR ends_with(code, '7')", c
 _filter_query("regex", "regexp_matches(code, '^[0-9]{2}$')", cond("code", "REGEX", "^[0-9]{2}$"))
 _filter_query("like", "code LIKE '1_'", cond("code", "LIKE", "1_"))
 _filter_query("ilike", "status ILIKE 'f' OR code ILIKE 'X%'", cond("status", "ILIKE", "f"), cond("code", "ILIKE", "X%"), combine="OR")
+_filter_query(
+    "constant_forms", "o_orderkey IN (5, 6, 7, 8)",
+    cond("o_orderkey", "EQ", "5.0"), cond("o_orderkey", "IN", ["6", "7.0", 2.5, "none"]), cond("o_orderkey", "EQ", 8.0), cond("o_orderkey", "EQ", "9.5"), combine="OR",
+)
 _filter_query("null", "status IS NULL", cond("status", "NULL"))
 _filter_query("not_null", "status IS NOT NULL AND code IS NOT NULL", cond("status", "NOT_NULL"), cond("code", "NOT_NULL"))
 _filter_query("zero_length", "length(code) = 0", cond("code", "ZERO_LENGTH"))
@@ -216,9 +239,12 @@ def aggregate_global(d: Data) -> DataFrame:
     return agg.aggregate(d.orders, [], [("o_orderkey", "count"), ("o_orderdate", "max")])
 
 
-@query("aggregate_approx_distinct")
+@query("aggregate_approx_distinct", "SELECT l_returnflag, count(DISTINCT l_partkey) AS exact, true AS near FROM lineitem GROUP BY l_returnflag")
 def aggregate_approx_distinct(d: Data) -> DataFrame:
-    return agg.aggregate(d.lineitem, ["l_returnflag"], [("l_partkey", "approxCountDistinct")])
+    """The sketch's number itself differs between engines; that it is within a tenth of the exact one does not."""
+    both = agg.aggregate(d.lineitem, ["l_returnflag"], [("l_partkey", "approxCountDistinct"), ("l_partkey", "countDistinct")])
+    sketch, exact = (F.col(c) for c in both.columns[1:])
+    return both.select("l_returnflag", exact.alias("exact"), (F.abs(sketch - exact) < 0.1 * exact).alias("near"))
 
 
 @query("dedup_all", "SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM lineitem")

@@ -136,7 +136,8 @@ def stream_session_idle(d: Data) -> DataFrame:
 @query(
     "stream_log_follow",
     f"""SELECT event_id, run_id, id FROM logs JOIN (VALUES {RULES_SQL}) r(no, id, pattern, unless, confidence)
-        ON regexp_matches(regexp_replace(message, '\\bo[0-9]{{2,}}\\b', 'o…', 'g'), pattern, 'i') WHERE NOT ends_with(stream, '-progress-bar') AND NOT contains(stream, 'job-insights')""",
+        ON regexp_matches(regexp_replace(message, '\\bo[0-9]{{2,}}\\b', 'o…', 'g'), pattern, 'i')
+          AND (unless IS NULL OR NOT regexp_matches(regexp_replace(message, '\\bo[0-9]{{2,}}\\b', 'o…', 'g'), unless, 'i')) WHERE NOT ends_with(stream, '-progress-bar') AND NOT contains(stream, 'job-insights')""",
     "logs",
 )
 def stream_log_follow(d: Data) -> DataFrame:
@@ -145,7 +146,7 @@ def stream_log_follow(d: Data) -> DataFrame:
     lines.write.parquet(home)
     stream = logs.console_lines(flow.source(d.spark, "parquet", schema=lines.schema, path=home))
     text = F.regexp_replace("message", sig.HANDLE, sig.HANDLE_MARK)
-    hits = logs.rule_hits(stream.select("event_id", "run_id", text.alias("line")), "line").where(~F.col("excludes"))
+    hits = logs.line_hits(stream.select("event_id", "run_id", text.alias("line")), "line")
     named = F.element_at(F.array(*[F.lit(r.id) for r in sig.SIGNATURES]), F.col("rule") + 1)
     return _drained(d, hits.select("event_id", "run_id", named.alias("id")), "followed")
 
