@@ -70,8 +70,10 @@ def time_histogram(runs: DataFrame, now: Column, hours: int) -> DataFrame:
     slots = max(1, int(hours / size + 0.5))
     age = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("started_on").cast("timestamp"))
     slot = (F.lit(slots - 1) - F.floor(age / (size * 3_600_000_000))).cast("int")
+    # A plain comparison first, so that partitions and row groups outside the window are not read.
+    near = in_window(runs, now, slots * size).where(F.col("started_on") <= now)
     counts = (
-        with_facts(runs).select(slot.alias("slot"), "bucket").where(F.col("slot").between(0, slots - 1))
+        with_facts(near).select(slot.alias("slot"), "bucket").where(F.col("slot").between(0, slots - 1))
         .groupBy("slot").pivot("bucket", list(fx.BUCKETS)).agg(F.count(F.lit(1)))
     )
     spine = runs.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot"))

@@ -44,7 +44,8 @@ def shared_dir(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    # The executors of a local cluster are processes of their own, as on any other.
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder all executors share")
     if context.applicationId not in _LOCAL_DIRS:
         _LOCAL_DIRS[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="weirworks-")

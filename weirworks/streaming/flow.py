@@ -27,7 +27,8 @@ def source(
 ) -> DataFrame:
     """A stream from files, or from any streaming format on the classpath (Kafka, Kinesis) by its name."""
     for key, value in STATEFUL.items():
-        spark.conf.set(key, value)
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     reader = spark.readStream.format(fmt).options(**dict(options or {}))
     if schema is not None:
         reader = reader.schema(schema)
