@@ -34,11 +34,9 @@ class SortedLists:
 
     def top(self, query: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the ``k`` best vectors; ``own`` is no answer."""
-        if float(np.abs(query).max()) * self.largest * len(query) < EXACT:
-            vectors, query = self.vectors, query  # sums of products are exact in floating point
-        else:
-            vectors, query = self.vectors.astype(object), np.array([int(x) for x in query], object)
-            vectors = np.array([[int(x) for x in row] for row in vectors], object)
+        vectors, small = self.vectors, float(np.abs(query).max()) * self.largest * len(query) < EXACT
+        if not small:  # sums of products may not be exact in floating point: whole numbers, and no early end
+            vectors, query = np.array([[int(x) for x in row] for row in vectors], object), np.array([int(x) for x in query], object)
         n = len(self.vectors)
         up, falls = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
         seen = np.zeros(n, bool)
@@ -53,11 +51,11 @@ class SortedLists:
             seen |= fresh
             new_ids = new[ids[new] != own]
             places, scores = np.r_[places, new_ids], np.r_[scores, vectors[new_ids] @ query]
-            keep = best(scores.astype(float), ids[places], k) if scores.dtype != object else _best_large(scores, ids[places], k)
+            keep = best(scores, ids[places], k) if small else _best_large(scores, ids[places], k)
             places, scores = places[keep], scores[keep]
             bound = query[up] @ self.down[depth - 1, up] + query[falls] @ self.down[n - depth, falls]
             # Strictly above: an unseen vector that ties with the k-th may have the smaller id.
-            if len(scores) == k and scores[-1] > bound:
+            if small and len(scores) == k and scores[-1] > bound:
                 break
             before = depth
         return ids[places], scores
