@@ -5,7 +5,8 @@ four return the columns of ``documents``; every stage judges all that the one be
 
 1. toxicity: documents that a model learned from the labels scores 0.3 or more go.
 2. line dedup: lines that an earlier document holds too go; documents stay, if need be with an empty text.
-3. near copies: one document of each group of near copies stays, the one with the smallest id.
+3. near copies: one document of each group of near copies stays, the one with the smallest id;
+   rows without an id are documents too, and rows that share one are judged each by itself.
 4. mixing: sources are brought to their target weights; a document comes as often as the mix takes it.
 5. tokens: one row per document of the mix with its ids and the text that they decode to.
 """
@@ -28,7 +29,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.one_of_each(docs)
+    return jaccard.one_row_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 from helpers_llm import con, no_docs, odd_docs, same_as_sql  # noqa: F401
 
 from weirworks.llm.hashing import shingle_sets
-from weirworks.llm.jaccard import components, least_matches, near_copies, one_of_each
+from weirworks.llm.jaccard import components, least_matches, near_copies, one_of_each, one_row_of_each
 
 
 def test_query(spark, con):  # noqa: F811
@@ -78,3 +78,28 @@ def test_odd_rows(odd_docs, no_docs):  # noqa: F811
     kept = one_of_each(odd_docs)
     assert kept.columns == odd_docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 1, 3, 4, 6, 7, 8]
     assert near_copies(no_docs).count() == 0
+
+
+def test_rows_without_an_id_or_with_a_shared_one(odd_docs):  # noqa: F811
+    got = near_copies(odd_docs, every_row=True).collect()
+    assert len(got) == odd_docs.count()
+    assert [(r.class_id, r.n_links) for r in got if r.doc_id in (None, 1)] == [(1, 4)] * 3
+    kept = one_row_of_each(odd_docs)
+    assert kept.columns == odd_docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 6, 7, 8]
+
+
+def test_every_class_keeps_one_row(spark):
+    docs = families(random.Random(9), 10, 6)
+    classes = {c for c, _ in brute(docs).values()}
+    # Ids above 2**53 would not survive as floats; some ids are null, and all rows of a family may share one.
+    big = 2**60 + 1
+    odd = [(None if i % 3 == 0 else big + i % 4, t) for i, t in docs] + [(None, "")] * 3 + [(7, None)] * 2
+    frame = spark.createDataFrame(odd, "doc_id long, text string").repartition(3)
+    kept = one_row_of_each(frame).collect()
+    assert len(kept) == len(classes) + 5
+    for c in classes:
+        family = [(odd[n][0], odd[n][1]) for n, (k, _) in brute(docs).items() if k == c]
+        (one,) = [r for r in kept if r.text in {t for _, t in family}]
+        assert one.doc_id == min((i for i, _ in family if i is not None), default=None)
+    links = near_copies(frame, every_row=True)
+    assert links.count() == len(odd) and links.where("doc_id IS NULL").count() == sum(i is None for i, _ in odd)

@@ -33,3 +33,14 @@ def test_odd_rows(odd_docs, no_docs):
     assert mix(no_docs).count() == 0
     kept = mixed_documents(odd_docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
     assert kept.columns == odd_docs.columns
+
+
+def test_null_and_repeated_ids_come_as_often_as_the_mix_takes_them(spark):
+    # 400 rows without an id, 400 with one id, and 400 with their own; every text is another one.
+    docs = [(None if i < 400 else 7 if i < 800 else i, f"t{i} " + "word " * (4 + i % 5), f"s{i % 2}") for i in range(1_200)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(4)
+    taken = [r.text for r in mixed_documents(frame).collect()]
+    words = sum(len(t.split()) for _, t, _ in docs)
+    assert max(map(taken.count, set(taken))) <= 2
+    assert abs(sum(len(t.split()) for t in taken) - 1.5 * words) <= 20
+    assert {None, 7} <= {i for i, t, _ in docs if t in set(taken)}

@@ -55,3 +55,13 @@ def test_odd_rows(spark, odd_docs):  # noqa: F811
         for _, stage in corpus_pipeline.STAGES:
             some = cut_lineage(stage(spark, some, SMALL))
         assert some.columns == ["doc_id", "source", "ids", "decoded"]
+
+
+def test_null_and_shared_ids_reach_the_end(spark):
+    word = lambda i: " ".join(f"w{(i + 1) * (k + 3) % 997}x{i}" for k in range(12))
+    docs = [(None if i % 2 else 5, word(i), "en", f"s{i % 2}", 0) for i in range(40)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    single = cut_lineage(corpus_pipeline.drop_near_copies(spark, docs, SMALL))
+    assert single.count() == 40 and single.where("doc_id IS NULL").count() == 20
+    texts = [r.text for r in corpus_pipeline.mix_sources(spark, single, SMALL).collect()]
+    assert abs(len(texts) - 60) <= 2 and max(map(texts.count, texts)) <= 2

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirworks.llm.common import col
+from weirworks.llm.common import col, fresh
 from weirworks.llm.cuckoo import mix
 from weirworks.llm.hashing import shingle_sets
 from weirworks.session import cut_lineage
@@ -29,8 +29,9 @@ BANDS = 16  # of 3 values each: a pair at 0.8 is missed by all bands in 1 of 100
 STEP = 16
 BLOCK = 512
 BATCH, PAIRS = 2_000, 200_000  # rows that a call takes on, and pairs compared at once
-SETS = "doc_id long, size int, set_a long, set_b long, signature binary, bands array<long>"
+SETS = "row long, named boolean, doc_id long, text_id long, size int, set_a long, set_b long, signature binary, bands array<long>"
 UNIT = ["band", "key", "left", "right"]
+ID = ["named", "doc_id", "text_id"]
 
 
 def _seeds() -> tuple[np.ndarray, np.ndarray]:
@@ -78,13 +79,17 @@ def _sums(hashes: np.ndarray) -> tuple[int, int]:
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
-        for doc_id, hashes in zip(batch["doc_id"], shingle_sets(batch["text"].tolist()), strict=True):
+        for hashes in shingle_sets(batch["text"].tolist()):
             if not len(hashes):
-                rows.append((doc_id, 0, None, None, None, None))
+                rows.append((0, 0, 0, None, None))
                 continue
             values = signature(hashes)
-            rows.append((doc_id, len(hashes), *_sums(hashes), values.tobytes(), band_keys(values)))
-        yield pd.DataFrame(rows, columns=["doc_id", "size", "set_a", "set_b", "signature", "bands"]).astype({"set_a": "Int64", "set_b": "Int64"})
+            rows.append((len(hashes), *_sums(hashes), values.tobytes(), band_keys(values)))
+        found = pd.DataFrame(rows, columns=["size", "set_a", "set_b", "signature", "bands"])
+        # Masked only here: with None among them the sums would have been floats and lost their last digits.
+        for c in ("set_a", "set_b"):
+            found[c] = found[c].astype("Int64").mask(found["size"] == 0)
+        yield pd.concat([batch[["row", "named", "doc_id", "text_id"]].reset_index(drop=True), found], axis=1)
 
 
 def _units(rows: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
@@ -206,21 +211,17 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
             return labels
 
 
-def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8, tolerance: float = 1e-6, block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, class_id and n_links.
-
-    ``n_links`` counts the other documents with a similarity of at least ``threshold`` over runs of five words;
-    ``class_id`` is the smallest id among all documents reached over links. Words are runs of letters and digits in
-    lower case; a text with fewer than five has one run. Null texts and texts without words are like no other. Rows
-    without an id are left out; rows that share one are documents with the same id. Of pairs at exactly 0.8, about 1
-    in 100,000 shares no band and stays unseen; more similar pairs are missed far more rarely still.
-    """
-    own = docs.select(col(docs, doc_id).cast("long").alias("doc_id"), col(docs, text).cast("string").alias("text")).where("doc_id IS NOT NULL")
+def _linked(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6, block: int = BLOCK) -> DataFrame:
+    """Per row of ``docs`` (row, doc_id, text): row, doc_id, class_id, n_links and first, whether it stands for its class."""
+    # A null in a column of numbers would make all of them floats in Python.
+    named = F.col("doc_id").isNotNull()
+    own = docs.select("row", named.alias("named"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.xxhash64("text").alias("text_id"), "text")
     # Written once, so the numbers of the rows stay; ids may repeat.
-    sets = cut_lineage(own.mapInPandas(_sets, SETS).withColumn("row", F.monotonically_increasing_id()))
+    sets = cut_lineage(own.mapInPandas(_sets, SETS))
     same = ["set_a", "set_b", "size"]
     reps = sets.where("size > 0").groupBy(*same).agg(
-        F.min("row").alias("rep"), F.min_by("doc_id", "row").alias("rep_doc"), F.min("doc_id").alias("low"), F.count("*").alias("copies"),
+        F.min("row").alias("rep"), F.min_by(F.struct(*ID), "row").alias("of_rep"), F.count("*").alias("copies"),
+        F.min(F.struct((~F.col("named")).alias("unnamed"), "doc_id", "text_id", "row")).alias("low"),
         F.first("signature").alias("signature"), F.first("bands").alias("bands"),
     )
     reps = cut_lineage(reps)
@@ -244,17 +245,17 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thr
 
     def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = list(shingle_sets(batch["text"].tolist()))
+            found = list(shingle_sets(batch["text"].drop_duplicates().tolist()))
             sums = [_sums(h) for h in found]
             yield pd.DataFrame({
-                "rep_doc": batch["doc_id"], "set_a": [s[0] for s in sums], "set_b": [s[1] for s in sums], "size": [len(h) for h in found],
+                "set_a": [s[0] for s in sums], "set_b": [s[1] for s in sums], "size": [len(h) for h in found],
                 "shingles": [h.tobytes() for h in found],
             })
 
-    asked = kept.select("rep").distinct().join(reps.select("rep", "rep_doc", "copies", *same), "rep")
-    texts = own.join(asked.select(F.col("rep_doc").alias("doc_id")), "doc_id", "left_semi")
-    shingles = texts.mapInPandas(shingled, "rep_doc long, set_a long, set_b long, size int, shingles binary")
-    shingles = shingles.join(asked, ["rep_doc", *same]).groupBy("rep").agg(F.first("copies").alias("copies"), F.first("shingles").alias("shingles"))
+    asked = kept.select("rep").distinct().join(reps.select("rep", "of_rep", "copies", *same), "rep")
+    texts = own.select(*ID, "text").join(asked.select("of_rep.*"), ID, "left_semi")
+    shingles = texts.mapInPandas(shingled, "set_a long, set_b long, size int, shingles binary")
+    shingles = shingles.join(asked.drop("of_rep"), same).groupBy("rep").agg(F.first("copies").alias("copies"), F.first("shingles").alias("shingles"))
     checked = kept.join(cut_lineage(shingles), "rep").groupBy("batch").applyInPandas(_verified(threshold), "rep long, root long, links long")
     checked = cut_lineage(checked)
 
@@ -265,11 +266,48 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thr
     known = known.withColumn("label", F.coalesce("label", "rep"))
     lowest = known.groupBy("label").agg(F.min("low").alias("class"))
     known = known.join(lowest, "label").select(*same, "class", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
-    out = sets.select("doc_id", *same).join(known, same, "left")
-    return out.select("doc_id", F.coalesce("class", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+    out = sets.select("row", *ID, *same).join(known, same, "left")
+    own_id, class_id = F.when(F.col("named"), F.col("doc_id")), F.when(~F.col("class.unnamed"), F.col("class.doc_id"))
+    worded = F.col("size") > 0
+    return out.select(
+        "row", own_id.alias("doc_id"), F.when(worded, class_id).otherwise(own_id).alias("class_id"),
+        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), (~worded | (F.col("row") == F.col("class.row"))).alias("first"),
+    )
+
+
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", every_row: bool = False, **options) -> DataFrame:
+    """One row per document: doc_id, class_id and n_links.
+
+    ``n_links`` counts the other documents with a similarity of at least ``threshold`` (0.8) over runs of five words;
+    ``class_id`` is the smallest id among all documents reached over links. Words are runs of letters and digits in
+    lower case; a text with fewer than five has one run. Null texts and texts without words are like no other. Rows
+    that share an id are documents with the same id. Rows without an id are left out, or with ``every_row`` are
+    documents too; a class of such rows only has no ``class_id``. Of pairs at exactly 0.8, about 1 in 100,000 shares no
+    band and stays unseen; more similar pairs are missed far more rarely still.
+    """
+    own = docs.select(col(docs, doc_id).cast("long").alias("doc_id"), col(docs, text).cast("string").alias("text"))
+    own = own if every_row else own.where("doc_id IS NOT NULL")
+    return _linked(own.withColumn("row", F.monotonically_increasing_id()), **options).select("doc_id", "class_id", "n_links")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` (all columns) with one document of each class of near copies: the one with the smallest id."""
+    """``docs`` (all columns) with one id of each class of near copies, the smallest, and all rows of that id.
+
+    Rows without an id go. ``one_row_of_each`` judges every row by itself.
+    """
     kept = near_copies(docs, doc_id, text, **options).where("doc_id = class_id").select(F.col("doc_id").alias(doc_id)).distinct()
     return docs.join(kept, doc_id, "left_semi").select(*[col(docs, c) for c in docs.columns])
+
+
+def one_row_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` (all columns) with one row of each class of near copies: the one with the smallest id.
+
+    Ids may repeat or be null; a row without an id stays if no row of its class has one and it comes first. Rows without
+    words all stay.
+    """
+    (number,) = fresh(docs, "near_row")
+    # Written once, so that a row has the same number wherever it is read.
+    docs = cut_lineage(docs.withColumn(number, F.monotonically_increasing_id()))
+    own = docs.select(F.col(number).alias("row"), col(docs, doc_id).cast("long").alias("doc_id"), col(docs, text).cast("string").alias("text"))
+    kept = _linked(own, **options).where("first").select(F.col("row").alias(number))
+    return docs.join(kept, number, "left_semi").select(*[col(docs, c) for c in docs.columns if c != number])

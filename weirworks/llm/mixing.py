@@ -77,6 +77,7 @@ def mix(
     total_share: float = 1.5,
     most: float = 2.0,
     seed: str = "mix",
+    row: str | None = None,
 ) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, epochs (how often it is taken), taken.
 
@@ -84,13 +85,19 @@ def mix(
     the key, as rows that share an id have, go by id and then by size; rows equal in these are alike, so any of them may
     be the one at the border. The last document taken in part of a source is the one that brings the sum nearest to
     the target. Rows come back for every document, also where it is not taken.
+
+    ``row`` names a column with a number of each row. It comes back as ``row`` and decides ties, and rows without an id
+    then draw by their text instead of all alike.
     """
     body = text_or_empty(docs, text)
+    number, carried = ([], []) if row is None else ([col(docs, row).alias("row")], ["row"])
+    drawn_by = col(docs, doc_id) if row is None else F.coalesce(col(docs, doc_id).cast("string"), body)
     drawn = docs.select(
+        *number,
         col(docs, doc_id).alias("doc_id"),
         col(docs, source).cast("string").alias("source"),
         word_count(body).alias("size"),
-        draw_key(col(docs, doc_id), quality_weight(body), seed).alias("draw"),
+        draw_key(drawn_by, quality_weight(body), seed).alias("draw"),
     )
     # 1 - exp(-key / 4) spreads the keys over 0 to 1 and keeps their order.
     place = 1 - F.exp(-F.col("draw") / 4)
@@ -130,21 +137,22 @@ def mix(
     below = F.col("end_coarse").isNull() | (F.col("coarse") < F.col("end_coarse")) | ((F.col("coarse") == F.col("end_coarse")) & (F.col("fine") < F.col("end_fine")))
     rows = rows.withColumn("at_border", at_border).withColumn("extra", (F.col("budget") > 0) & below)
     # The documents of one fine range are all that is ever sorted; they are apart from the rest.
-    order = Window.partitionBy("source").orderBy("draw", "doc_id", "size")
+    order = Window.partitionBy("source").orderBy("draw", "doc_id", "size", *carried)
     middle = F.col("before_fine") + F.sum("size").over(order) - F.col("size") / 2
     edge = rows.where("at_border").withColumn("extra", (F.col("budget") > 0) & (middle <= F.col("budget")))
     rows = rows.where("NOT at_border").unionByName(edge)
     times = F.when(F.col("whole") >= int(most), F.lit(int(most))).otherwise(F.col("whole") + F.col("extra").cast("int"))
-    return rows.select("doc_id", "source", "size", "source_size", "target", times.alias("epochs"), (times * F.col("size")).alias("taken"))
+    return rows.select(*carried, "doc_id", "source", "size", "source_size", "target", times.alias("epochs"), (times * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
     """``docs`` as the mix takes them: rows that are taken twice come twice, rows that are not taken go.
 
-    Needs ids without repeats or nulls, as rows are matched by id; rows with a null id go.
+    Rows are matched by a number of their own, so ids may repeat or be null.
     """
-    number, times, copy = fresh(docs, "mix_id", "mix_times", "mix_copy")
-    taken = mix(docs, doc_id, **options).where("epochs > 0").select(F.col("doc_id").alias(number), F.col("epochs").alias(times))
-    joined = docs.join(taken, col(docs, doc_id) == F.col(number))
-    repeated = joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
+    number, times, copy = fresh(docs, "mix_row", "mix_times", "mix_copy")
+    # Written once, so that a row has the same number wherever it is read.
+    numbered = cut_lineage(docs.withColumn(number, F.monotonically_increasing_id()))
+    taken = mix(numbered, doc_id, row=number, **options).where("epochs > 0").select(F.col("row").alias(number), F.col("epochs").alias(times))
+    repeated = numbered.join(taken, number).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
     return repeated.select(*[col(repeated, c) for c in docs.columns])

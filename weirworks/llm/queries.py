@@ -198,7 +198,7 @@ FROM reach r LEFT JOIN counts c ON c.a = r.node GROUP BY r.node
 
 @query("op3_jaccard_join", JACCARD_SQL)
 def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
-    return near_copies(table(spark, folder, "documents"))
+    return near_copies(table(spark, folder, "documents"), every_row=True)
 
 
 @query("op8_quality")
