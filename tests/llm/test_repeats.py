@@ -115,3 +115,25 @@ def test_odd_rows(odd_docs, no_docs):  # noqa: F811
     by_id = {g[0]: g for g in got}
     assert by_id[1][2] == [] and by_id[2][2:4] == ([0], [len(rows[0].text)]) and by_id[3][1] == 0 and by_id[6][2] == []
     assert repeats.without_repeats(odd_docs).count() == 10 and repeats.without_repeats(no_docs).count() == 0
+
+
+def test_no_part_holds_the_pieces_of_a_crowd(spark):
+    """A passage in all documents has a different piece at its edge in each; they must not travel by anchor."""
+    luck = random.Random(6)
+    passage = "this very passage of seventy odd characters is found in all documents."
+    word = lambda: "".join(luck.choice("abcdefghij") for _ in range(7))
+    docs = [(i, i, f"{word()} {word()} {word()} {passage} {word()} {word()} {word()}") for i in range(5 * repeats.MANY)]
+    rows = spark.createDataFrame(docs, "doc_id long, text_id long, text string").repartition(3)
+    shipped = rows.mapInPandas(repeats._shipped(2, repeats.crowded_anchors(rows)), repeats.SHIPPED).toPandas()
+    held = np.concatenate([repeats._unpack(p)["anchor"] for p in shipped["payload"] if p is not None])
+    assert np.unique(held, return_counts=True)[1].max() <= 2 * repeats.MANY
+    assert shipped["crowd"].any()
+
+
+def test_every_anchor_sent_apart_gives_the_same(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "SAMPLE", 1)
+    monkeypatch.setattr(repeats, "MANY", 2)
+    luck = random.Random(7)
+    base = ["".join(luck.choice("abcdef ") for _ in range(150)) for _ in range(4)]
+    docs = [(i, luck.choice(base)[luck.randrange(40) :] + str(luck.random()) * 4 + luck.choice(base)) for i in range(60)]
+    assert found(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)) == brute(docs)

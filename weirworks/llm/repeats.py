@@ -6,8 +6,9 @@
    anchor. In a bucket, shards of pieces are sorted and transformed, and the transforms merged by interleave refinement
    (``bwt``). Neighbours with a common prefix of 50 bytes form an interval; in an interval, the strings of all but the
    smallest document are repeats.
-3. An anchor with very many such pieces goes string by string through a plain aggregation instead, so that no bucket grows
-   with the number of documents that share a passage.
+3. An anchor with very many pieces goes string by string through a plain aggregation instead, so that no bucket grows with
+   the number of documents that share a passage. Such anchors are found by counting the pieces of a sample of the rows
+   first, so their pieces don't travel by anchor at all; smaller crowds show when the pieces of an anchor are compared.
 4. Every document gets its repeats back and loses the bytes that they cover.
 """
 
@@ -27,6 +28,7 @@ from weirworks.session import cut_lineage
 
 FLUSH_BYTES, CHUNK_BYTES, PART_BYTES = 8 << 20, 1 << 20, 6 << 20
 BUCKET_PIECES, SHARD_PIECES, MANY = 12_000, 3_000, 2_048
+SAMPLE, CROWDS = 32, 1_000_000  # one row in SAMPLE is counted; anchors that are sent apart at most
 WIDTH = 19  # bytes of a packed piece
 MARKS = "doc_id long, text_id long, lo array<int>, hi array<int>, bucket array<long>"
 
@@ -68,11 +70,34 @@ def _by_doc(number: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, lis
         yield int(number[part[0]]), [c[part] for c in columns]
 
 
-SHIPPED = "part int, docs array<long>, texts array<long>, payload binary, lo array<int>, hi array<int>"
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in slices(batches):
+        data = [t.encode("utf-8", "replace") for t in batch["text"]]
+        anchor, n = np.unique(pieces(data)["anchor"], return_counts=True)
+        yield pd.DataFrame({"anchor": anchor.view(np.int64), "n": n})
+
+
+def crowded_anchors(rows: DataFrame) -> np.ndarray:
+    """Anchors (sorted) that in a sample of the rows have more pieces than MANY would leave there.
+
+    The sample decides only by which way an anchor's strings are compared. Twice as many pieces as MANY give twice the
+    count that is asked for, so a larger crowd is missed less than once in a million. At most CROWDS anchors come
+    back, those with the most pieces; any other has at most one in CROWDS of all pieces.
+    """
+    counts = rows.where(F.rand(11) * SAMPLE < 1).select("text").mapInPandas(_counted, "anchor long, n long")
+    counts = counts.groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > MANY // SAMPLE)
+    found = counts.orderBy(F.desc("n"), "anchor").limit(CROWDS).select("anchor").toPandas()["anchor"]
+    return np.sort(found.to_numpy(np.int64).view(np.uint64))
 
 
-def _shipped(parts: int):
-    """Pieces by the part of their anchor. Copies among the texts at hand are marked here and don't travel."""
+SHIPPED = "part int, docs array<long>, texts array<long>, payload binary, lo array<int>, hi array<int>, crowd boolean"
+
+
+def _shipped(parts: int, crowds: np.ndarray):
+    """Pieces by the part of their anchor, but those of ``crowds`` by document.
+
+    Copies among the texts at hand are marked here and don't travel.
+    """
 
     def flush(held: list[dict[str, np.ndarray]], docs: list[int], texts: list[int]) -> Iterator[tuple]:
         p = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
@@ -81,22 +106,24 @@ def _shipped(parts: int):
         p = {k: v[order] for k, v in p.items()}
         new = _groups(p["anchor"], p["whole"])
         copy = ids[p["doc"]] > ids[p["doc"]][np.flatnonzero(new)][np.cumsum(new) - 1] if len(new) else new
-        for doc, (lo, hi) in _by_doc(p["doc"][copy], p["lo"][copy], p["hi"][copy]):
-            yield doc % parts, [docs[doc]], [texts[doc]], None, lo, hi
-        p = {k: v[~copy] for k, v in p.items()}
+        crowd = np.isin(p["anchor"], crowds) & ~copy
+        for marked, apart in ((copy, False), (crowd, True)):
+            for doc, (lo, hi) in _by_doc(p["doc"][marked], p["lo"][marked], p["hi"][marked]):
+                yield doc % parts, [docs[doc]], [texts[doc]], None, lo, hi, apart
+        p = {k: v[~copy & ~crowd] for k, v in p.items()}
         part = ((p["anchor"] >> np.uint64(16)) % np.uint64(parts)).astype(np.int64)
         packed = _pack(p)
         for n, (rows,) in _by_doc(part, packed):
             used = np.unique(_unpack(rows.tobytes())["doc"])
             rows = rows.copy()
             rows[:, 12:14] = np.searchsorted(used, rows[:, 12].astype(np.int64) + 256 * rows[:, 13].astype(np.int64)).astype("<u2").view(np.uint8).reshape(-1, 2)
-            yield n, ids[used], np.array(texts, np.int64)[used], rows.tobytes(), None, None
+            yield n, ids[used], np.array(texts, np.int64)[used], rows.tobytes(), None, None, False
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, docs, texts, size = [], [], [], 0
 
         def out() -> pd.DataFrame:
-            return pd.DataFrame(list(flush(held, docs, texts)), columns=["part", "docs", "texts", "payload", "lo", "hi"])
+            return pd.DataFrame(list(flush(held, docs, texts)), columns=["part", "docs", "texts", "payload", "lo", "hi", "crowd"])
 
         for batch in slices(batches):
             data = [t.encode("utf-8", "replace") for t in batch["text"]]
@@ -124,9 +151,13 @@ def _shipped(parts: int):
 def _compared(rows: pd.DataFrame) -> pd.DataFrame:
     """Pieces of one part: whole repeats (without buckets), and pieces to compare string by string (with their anchors).
 
-    Of an anchor with more than MANY pieces to compare, the anchor is given as -1.
+    Of an anchor with more than MANY pieces to compare, the anchor is given as -1; so it is for those sent apart.
     """
-    done = [(d[0], t[0], lo, hi, None) for d, t, lo, hi, p in zip(rows["docs"], rows["texts"], rows["lo"], rows["hi"], rows["payload"], strict=True) if p is None]
+    ready = rows[rows["payload"].isna()]
+    done = [
+        (d[0], t[0], lo, hi, np.full(len(lo), -1) if apart else None)
+        for d, t, lo, hi, apart in zip(ready["docs"], ready["texts"], ready["lo"], ready["hi"], ready["crowd"], strict=True)
+    ]
     held, docs, texts = [], [], []
     for d, t, data in zip(rows["docs"], rows["texts"], rows["payload"], strict=True):
         if data is not None:
@@ -244,7 +275,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // PART_BYTES))
     long_rows = rows.where(F.octet_length("text") >= WINDOW)
-    shipped = long_rows.mapInPandas(_shipped(parts), SHIPPED)
+    shipped = long_rows.mapInPandas(_shipped(parts, crowded_anchors(long_rows)), SHIPPED)
     compared = cut_lineage(shipped.groupBy("part").applyInPandas(_compared, MARKS))
 
     refs = compared.where("bucket IS NOT NULL")
