@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirworks.llm import bpe, pii, toxicity
+from weirworks.llm import bpe, merkle, pii, repair, toxicity, urls
 from weirworks.llm.common import table
 from weirworks.llm.forest import neighbours
 from weirworks.llm.jaccard import near_copies
@@ -211,3 +211,161 @@ def op7_repeats(spark: SparkSession, folder: str) -> DataFrame:
     out = without_repeats(table(spark, folder, "documents"))
     gone = F.aggregate(F.zip_with("start", "stop", lambda a, b: b - a), F.lit(0).cast("long"), lambda s, n: s + n)
     return out.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("start").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+URL_RULES = [
+    urls.Rule("org", "/", "allow"),
+    urls.Rule("example.org", "/es/", "block"),
+    urls.Rule("example.org", "/en/1", "block"),
+    urls.Rule("com", "/fr/", "allow"),
+    urls.Rule("com", "/de/", "block"),
+]
+
+
+def url_sql() -> str:
+    """The rules from the longest on, the counts of both models, chances by length of context, and the least score."""
+
+    def rule(value) -> str:
+        cases = [
+            f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{value(r)}'"
+            for r in sorted(URL_RULES, key=lambda r: -len(r.shown))
+        ]
+        return f"CASE {' '.join(cases)} END"
+
+    def grams(text: str) -> str:
+        return f"""unnest(list_transform(range(6, length({text}) + 7), lambda i:
+            substr(concat(repeat(chr(2), 5), {text}, chr(3)), i - 5, 6)))"""
+
+    def chance(seen: str, below: str) -> str:
+        return f"""CASE WHEN coalesce(all_{seen}, 0) > 0 THEN (coalesce({seen}, 0) + kinds_{seen} * CAST({below} AS DOUBLE))
+            / CAST(all_{seen} + kinds_{seen} AS DOUBLE) ELSE CAST({below} AS DOUBLE) END"""
+
+    levels = [f"level1 AS (SELECT gram, {chance('yes', '1 / 256.0')} AS p, {chance('no', '1 / 256.0')} AS q FROM known WHERE length(gram) = 1)"]
+    levels += [
+        f"""level{n} AS (SELECT k.gram, {chance('yes', 'b.p')} AS p, {chance('no', 'b.q')} AS q
+            FROM known k JOIN level{n - 1} b ON b.gram = right(k.gram, {n - 1}) WHERE length(k.gram) = {n})"""
+        for n in range(2, 7)
+    ]
+    return rf"""
+WITH parts AS (
+  SELECT row_number() OVER () AS id, page_id, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path FROM pages
+), told AS (
+  SELECT *, {rule(lambda r: r.shown)} AS rule, {rule(lambda r: r.verdict)} AS said,
+    concat(host, path) AS body, left(md5(concat(host, path)), 1) < '4' AS held_out FROM parts
+), train AS (
+  SELECT DISTINCT body, said = 'allow' AS accepted FROM told WHERE said IS NOT NULL AND NOT held_out
+), spelled AS (
+  SELECT {grams("body")} AS gram, accepted FROM train
+), endings AS (
+  SELECT right(gram, k) AS gram, accepted FROM spelled, (SELECT unnest(range(1, 7)) AS k)
+), counts AS (
+  SELECT gram, count(*) FILTER (WHERE accepted) AS yes, count(*) FILTER (WHERE NOT accepted) AS no FROM endings GROUP BY gram
+), contexts AS (
+  SELECT left(gram, length(gram) - 1) AS context, sum(yes) AS all_yes, count(*) FILTER (WHERE yes > 0) AS kinds_yes,
+    sum(no) AS all_no, count(*) FILTER (WHERE no > 0) AS kinds_no FROM counts GROUP BY 1
+), spots AS (
+  SELECT id, {grams("body")} AS gram FROM told WHERE said IS NULL OR held_out
+), needed AS (
+  SELECT DISTINCT right(gram, k) AS gram FROM (SELECT DISTINCT gram FROM spots), (SELECT unnest(range(1, 7)) AS k)
+), known AS (
+  SELECT n.gram, c.yes, c.no, x.* EXCLUDE (context) FROM needed n LEFT JOIN counts c ON c.gram = n.gram
+  LEFT JOIN contexts x ON x.context = left(n.gram, length(n.gram) - 1)
+), {", ".join(levels)}, scored AS (
+  SELECT id, CAST(floor(sum(CAST(floor((ln(p) - ln(q)) * 1000000 + 0.5) AS BIGINT)) / (count(*) * 1000.0)) AS BIGINT) AS score
+  FROM spots JOIN level6 ON spots.gram = level6.gram GROUP BY id
+), bins AS (
+  SELECT greatest(-20000, least(20000, score)) AS bin, count(*) FILTER (WHERE said = 'allow') AS yes, count(*) FILTER (WHERE said <> 'allow') AS no
+  FROM told JOIN scored ON told.id = scored.id WHERE said IS NOT NULL GROUP BY 1
+), best AS (
+  SELECT bin, sum(yes) OVER () AS yes_all, sum(no) OVER () AS no_all,
+    sum(yes) OVER (ORDER BY bin ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) * sum(no) OVER ()
+    + coalesce(sum(no) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * sum(yes) OVER () AS good FROM bins
+), lowest AS (
+  SELECT coalesce((SELECT bin FROM best WHERE yes_all > 0 AND no_all > 0 ORDER BY good DESC, abs(bin), bin LIMIT 1), 0) AS least
+)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN score >= least THEN 'allow' ELSE 'block' END) AS verdict
+FROM told LEFT JOIN scored ON told.id = scored.id CROSS JOIN lowest
+"""
+
+
+@query("op11_urls", url_sql())
+def op11_urls(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(table(spark, folder, "pages"), URL_RULES)
+
+
+MANIFEST_COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def manifest_sql(heights: tuple[int, int] = (9, 4)) -> str:
+    """The levels written out: up to 8**9 leaves per language, up to 8**4 languages."""
+
+    def leaf(changed: str | None = None) -> str:
+        values = [f"CAST({changed if c == 'text' and changed else c} AS VARCHAR)" for c in MANIFEST_COLUMNS]
+        return "sha256(concat(" + ", ".join(f"coalesce(concat(strlen({v}), ':', {v}), '-')" for v in values) + "))"
+
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    crc = """xor(4294967295, list_reduce(list_transform(range(0, length(CAST(doc_id AS VARCHAR)) + 1), lambda i:
+      CASE WHEN i = 0 THEN 4294967295 ELSE ord(substr(CAST(doc_id AS VARCHAR), i, 1)) END), lambda crc, b:
+      list_reduce(list_prepend(xor(crc, b), range(8)), lambda c, bit: xor(c >> 1, (c & 1) * 3988292384))))"""
+    out = f"""
+WITH t0 AS (
+  SELECT coalesce('1' || lang, '0') AS grp, doc_id, {leaf()} AS h, CASE WHEN ({crc}) % 3 = 0 THEN {leaf(low)} END AS forged FROM documents
+), a0 AS (
+  SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, count(*) OVER (PARTITION BY grp) AS n FROM t0
+)"""
+
+    def level(name: str, n: int, keys: str) -> str:
+        return f""", {name}r{n} AS (
+  SELECT {keys}, pos // 8 AS run, list(h ORDER BY pos) AS hs, any_value(n) AS n FROM {name}{n} GROUP BY ALL
+), {name}{n + 1} AS (
+  SELECT {keys}, run AS pos, CASE WHEN n = 1 THEN hs[1] ELSE sha256(array_to_string(hs, '')) END AS h, (n + 7) // 8 AS n FROM {name}r{n}
+)"""
+
+    out += "".join(level("a", n, "grp") for n in range(heights[0]))
+    out += f""", b0 AS (
+  SELECT grp, h, row_number() OVER (ORDER BY grp) - 1 AS pos, count(*) OVER () AS n, true AS one FROM a{heights[0]}
+)"""
+    out += "".join(level("b", n, "one") for n in range(heights[1]))
+    out += """, d0 AS (
+  SELECT grp, doc_id, h AS leaf, coalesce(forged, h) AS folded, pos, '' AS proof FROM a0
+)"""
+
+    def step(old: str, new: str, runs: str, on: str, rest: str) -> str:
+        return f""", {new} AS (
+  SELECT {rest}, d.pos // 8 AS pos, concat(proof, array_to_string(hs[:d.pos % 8], ''), array_to_string(hs[d.pos % 8 + 2:], '')) AS proof,
+    CASE WHEN n = 1 THEN folded ELSE sha256(concat(array_to_string(hs[:d.pos % 8], ''), folded, array_to_string(hs[d.pos % 8 + 2:], ''))) END AS folded
+  FROM {old} d JOIN {runs} r ON {on} AND r.run = d.pos // 8
+)"""
+
+    for n in range(heights[0]):
+        out += step(f"d{n}", f"d{n + 1}", f"ar{n}", "d.grp = r.grp", "d.grp, doc_id, leaf")
+    out += f""", e0 AS (
+  SELECT d.doc_id, d.leaf, d.folded, d.proof, b0.pos, b0.h AS subroot FROM d{heights[0]} d JOIN b0 ON b0.grp = d.grp
+)"""
+    for n in range(heights[1]):
+        out += step(f"e{n}", f"e{n + 1}", f"br{n}", "true", "doc_id, leaf, subroot")
+    return out + f"""
+SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = h AS verified
+FROM e{heights[1]} CROSS JOIN (SELECT h FROM b{heights[1]})
+"""
+
+
+@query("op12_manifest", manifest_sql())
+def op12_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    lowered = F.translate("text", urls.UPPER, urls.UPPER.lower())
+    touched = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    leaves = merkle.rows_as_leaves(docs, MANIFEST_COLUMNS, "lang", "doc_id", {"text": lowered}, touched)
+    path, root = F.col("path"), F.col("root")
+    folded = merkle.fold(F.coalesce("extra.forged", "digest"), path)
+    proof = merkle.digest(merkle.siblings_text(path)).alias("proof_sha256")
+    out = merkle.manifest(leaves, ["by"]).select("extra.doc_id", F.col("digest").alias("leaf"), "subroot", "root", proof, folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == root)
+
+
+@query("op13_repair")
+def op13_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations")
+    return repair.repair(repair.damaged(rows).withColumnRenamed("conv", "conv_id"), rows)
