@@ -6,7 +6,7 @@ import pytest
 
 
 SMALL = "/root/testdata/sf0.001"
-TABLES = ("documents", "embeddings", "labels", "benchmark")
+TABLES = ("documents", "embeddings", "labels", "benchmark", "pages", "conversations")
 
 
 @pytest.fixture(scope="session")

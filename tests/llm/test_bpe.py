@@ -58,3 +58,22 @@ def test_odd_rows(odd_docs, no_docs):
     assert out.columns == ["doc_id", "text", "source", "key", "row"] and len(got) == 9
     assert got[3].key == [] and got[3].row == "" and got[4].key == []
     assert bpe.encode(no_docs, tokenizer_path()).count() == 0
+
+
+def test_every_code_point(pair):
+    """One of many of those all agree on; every one that Unicode's versions differ on."""
+    own, theirs = pair
+    rare = [c for c in map(chr, range(0x110000)) if own.newer.match(c) or c in bpe.TO_LOWER or bpe.unicodedata.category(c) == "Cn" and c.isprintable()]
+    usual = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3000 or c % 37 == 0)]
+    added = [chr(c) for kind in bpe.UNICODE_16.values() for first, last in kind for c in range(first, last + 1)]
+    texts = [f"b{c}b 1{c}1 .{c}" for c in [*rare, *usual, *added]]
+    for text, other in zip(texts, theirs.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert own.encode(text) == other.ids, text
+
+
+def test_memory_keeps_what_is_asked_for():
+    made = []
+    memory = bpe.Memory(lambda key: made.append(key) or (len(key),), 3)
+    for key in ("a", "b", "c", "d", "a", "e", "f", "a", "g"):
+        assert memory[key] == (1,)
+    assert made.count("a") == 1 and len(memory) <= 3

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,3 +48,10 @@ def slices(batches: Iterator[pd.DataFrame], rows: int = 512) -> Iterator[pd.Data
     for batch in batches:
         for at in range(0, len(batch), rows):
             yield batch.iloc[at : at + rows].reset_index(drop=True)
+
+
+def arrow_slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same for Arrow, in which whole numbers beside nulls stay whole."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

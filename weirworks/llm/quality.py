@@ -11,8 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from weirworks.llm.common import col
 from weirworks.llm.cuckoo import mix
@@ -103,16 +105,16 @@ def log_ratios(docs: DataFrame, good: DataFrame, doc_id: str = "doc_id", text: s
 def weighed(docs: DataFrame, ratios: np.ndarray, doc_id: str = "doc_id", text: str = "text", seed: str = "draw") -> DataFrame:
     """doc_id, log_weight and draw (with Gumbel noise from a hash of the id). Texts that are null or empty weigh 0."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.zeros(len(batch))
-            for first, part in _parts(batch["text"]):
+            out = np.zeros(batch.num_rows)
+            for first, part in _parts(batch.column(1).to_pylist()):
                 buckets, at = _grams(part)
                 out[first : first + len(part)] = np.bincount(at, weights=ratios[buckets], minlength=len(part))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "log_weight": out})
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["doc_id", "log_weight"])
 
     rows = docs.select(col(docs, doc_id).alias("doc_id"), col(docs, text).cast("string").alias("text"))
-    scored = rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, log_weight double")
+    scored = rows.mapInArrow(run, StructType([rows.schema["doc_id"], StructField("log_weight", DoubleType())]))
     bits = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 12), 16, 10)
     chance = (bits.cast("double") + 0.5) / F.lit(float(2**48))
     return scored.withColumn("draw", F.col("log_weight") - F.ln(-F.ln(chance)))

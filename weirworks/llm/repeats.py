@@ -6,15 +6,17 @@
    anchor. In a bucket, shards of pieces are sorted and transformed, and the transforms merged by interleave refinement
    (``bwt``). Neighbours with a common prefix of 50 bytes form an interval; in an interval, the strings of all but the
    smallest document are repeats.
-3. An anchor with very many pieces goes string by string through a plain aggregation instead, so that no bucket grows with
-   the number of documents that share a passage. Such anchors are found by counting the pieces of a sample of the rows
-   first, so their pieces don't travel by anchor at all; smaller crowds show when the pieces of an anchor are compared.
+3. An anchor with very many pieces goes through plain aggregations instead, first by whole pieces, then, for pieces that no
+   smaller document holds whole, string by string. So no bucket grows with the number of documents that share a passage.
+   Such anchors are found by counting the pieces of a sample of the rows first, so their pieces don't travel by anchor
+   at all; smaller crowds show when the pieces of an anchor are compared.
 4. Every document gets its repeats back and loses the bytes that they cover.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,6 +33,9 @@ BUCKET_PIECES, SHARD_PIECES, MANY = 12_000, 3_000, 2_048
 SAMPLE, CROWDS = 32, 1_000_000  # one row in SAMPLE is counted; anchors that are sent apart at most
 WIDTH = 19  # bytes of a packed piece
 MARKS = "doc_id long, text_id long, lo array<int>, hi array<int>, bucket array<long>"
+# Of crowded anchors (bucket -1) the anchor and the hash of the whole piece too.
+COMPARED = MARKS + ", anchor array<long>, whole array<long>"
+STRINGS = 20_000  # rows of strings made before they are handed on
 
 
 def _pack(p: dict[str, np.ndarray]) -> np.ndarray:
@@ -90,7 +95,7 @@ def crowded_anchors(rows: DataFrame) -> np.ndarray:
     return np.sort(found.to_numpy(np.int64).view(np.uint64))
 
 
-SHIPPED = "part int, docs array<long>, texts array<long>, payload binary, lo array<int>, hi array<int>, crowd boolean"
+SHIPPED = "part int, docs array<long>, texts array<long>, payload binary, lo array<int>, hi array<int>, anchor array<long>, whole array<long>"
 
 
 def _shipped(parts: int, crowds: np.ndarray):
@@ -107,9 +112,10 @@ def _shipped(parts: int, crowds: np.ndarray):
         new = _groups(p["anchor"], p["whole"])
         copy = ids[p["doc"]] > ids[p["doc"]][np.flatnonzero(new)][np.cumsum(new) - 1] if len(new) else new
         crowd = np.isin(p["anchor"], crowds) & ~copy
-        for marked, apart in ((copy, False), (crowd, True)):
-            for doc, (lo, hi) in _by_doc(p["doc"][marked], p["lo"][marked], p["hi"][marked]):
-                yield doc % parts, [docs[doc]], [texts[doc]], None, lo, hi, apart
+        for doc, (lo, hi) in _by_doc(p["doc"][copy], p["lo"][copy], p["hi"][copy]):
+            yield doc % parts, [docs[doc]], [texts[doc]], None, lo, hi, None, None
+        for doc, (lo, hi, anchor, whole) in _by_doc(p["doc"][crowd], *(p[k][crowd] for k in ("lo", "hi", "anchor", "whole"))):
+            yield doc % parts, [docs[doc]], [texts[doc]], None, lo, hi, anchor.view(np.int64), whole.view(np.int64)
         p = {k: v[~copy & ~crowd] for k, v in p.items()}
         part = ((p["anchor"] >> np.uint64(16)) % np.uint64(parts)).astype(np.int64)
         packed = _pack(p)
@@ -117,13 +123,13 @@ def _shipped(parts: int, crowds: np.ndarray):
             used = np.unique(_unpack(rows.tobytes())["doc"])
             rows = rows.copy()
             rows[:, 12:14] = np.searchsorted(used, rows[:, 12].astype(np.int64) + 256 * rows[:, 13].astype(np.int64)).astype("<u2").view(np.uint8).reshape(-1, 2)
-            yield n, ids[used], np.array(texts, np.int64)[used], rows.tobytes(), None, None, False
+            yield n, ids[used], np.array(texts, np.int64)[used], rows.tobytes(), None, None, None, None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, docs, texts, size = [], [], [], 0
 
         def out() -> pd.DataFrame:
-            return pd.DataFrame(list(flush(held, docs, texts)), columns=["part", "docs", "texts", "payload", "lo", "hi", "crowd"])
+            return pd.DataFrame(list(flush(held, docs, texts)), columns=["part", "docs", "texts", "payload", "lo", "hi", "anchor", "whole"])
 
         for batch in slices(batches):
             data = [t.encode("utf-8", "replace") for t in batch["text"]]
@@ -151,12 +157,12 @@ def _shipped(parts: int, crowds: np.ndarray):
 def _compared(rows: pd.DataFrame) -> pd.DataFrame:
     """Pieces of one part: whole repeats (without buckets), and pieces to compare string by string (with their anchors).
 
-    Of an anchor with more than MANY pieces to compare, the anchor is given as -1; so it is for those sent apart.
+    Of an anchor with more than MANY pieces to compare, the bucket is given as -1; so it is for those sent apart.
     """
     ready = rows[rows["payload"].isna()]
     done = [
-        (d[0], t[0], lo, hi, np.full(len(lo), -1) if apart else None)
-        for d, t, lo, hi, apart in zip(ready["docs"], ready["texts"], ready["lo"], ready["hi"], ready["crowd"], strict=True)
+        (d[0], t[0], lo, hi, None if anchor is None else np.full(len(lo), -1), anchor, whole)
+        for d, t, lo, hi, anchor, whole in zip(*(ready[c] for c in ("docs", "texts", "lo", "hi", "anchor", "whole")), strict=True)
     ]
     held, docs, texts = [], [], []
     for d, t, data in zip(rows["docs"], rows["texts"], rows["payload"], strict=True):
@@ -182,18 +188,23 @@ def _compared(rows: pd.DataFrame) -> pd.DataFrame:
         crowd = np.bincount(anchor[open_], minlength=len(begins)) > MANY
         bucket = np.where(crowd[anchor], -1, p["anchor"].astype(np.int64))
         for n, (lo, hi) in _by_doc(p["number"][whole], p["lo"][whole], p["hi"][whole]):
-            done.append((docs[n], texts[n], lo, hi, None))
-        for n, (lo, hi, b) in _by_doc(p["number"][open_], p["lo"][open_], p["hi"][open_], bucket[open_]):
-            done.append((docs[n], texts[n], lo, hi, b))
-    return pd.DataFrame(done, columns=["doc_id", "text_id", "lo", "hi", "bucket"])
+            done.append((docs[n], texts[n], lo, hi, None, None, None))
+        of_anchor, of_whole = p["anchor"].astype(np.int64), p["whole"].astype(np.int64)
+        for apart in (False, True):
+            chosen = open_ & (crowd[anchor] == apart)
+            for n, (lo, hi, b, a, w) in _by_doc(p["number"][chosen], *(c[chosen] for c in (p["lo"], p["hi"], bucket, of_anchor, of_whole))):
+                done.append((docs[n], texts[n], lo, hi, b, a if apart else None, w if apart else None))
+    return pd.DataFrame(done, columns=["doc_id", "text_id", "lo", "hi", "bucket", "anchor", "whole"])
 
 
 def _cut_out(buckets: int):
     """The bytes of the pieces to compare; of crowded anchors (bucket -1) every 50-byte string by itself."""
 
+    names = ["bucket", "doc_id", "text_id", "lo", "piece"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = []
         for batch in slices(batches):
-            out = []
             for doc, text_id, text, refs in zip(batch["doc_id"], batch["text_id"], batch["text"], batch["refs"], strict=True):
                 data = text.encode("utf-8", "replace")
                 for lo, hi, anchor in zip(*(np.concatenate([r[k] for r in refs]).tolist() for k in ("lo", "hi", "bucket")), strict=True):
@@ -201,7 +212,11 @@ def _cut_out(buckets: int):
                         out.append((anchor % buckets, doc, text_id, lo, data[lo : hi + WINDOW]))
                     else:
                         out += [(-1, doc, text_id, at, data[at : at + WINDOW]) for at in range(lo, hi + 1)]
-            yield pd.DataFrame(out, columns=["bucket", "doc_id", "text_id", "lo", "piece"])
+                    if len(out) >= STRINGS:
+                        yield pd.DataFrame(out, columns=names)
+                        out = []
+        if out:
+            yield pd.DataFrame(out, columns=names)
 
     return run
 
@@ -245,21 +260,24 @@ def _bucket(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["doc_id", "text_id", "lo", "hi", "bucket"])
 
 
+REMOVED = "doc_id long, has_id boolean, n_bytes long, start array<long>, stop array<long>, kept binary"
+
+
 def _removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in slices(batches):
         out = []
-        for doc, text, lo, hi in zip(batch["doc_id"], batch["text"], batch["lo"], batch["hi"], strict=True):
+        for doc, named, text, lo, hi in zip(*(batch[c] for c in ("doc_id", "has_id", "text", "lo", "hi")), strict=True):
             data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
             if lo is None or not len(lo):
-                out.append((doc, len(data), [], [], data.tobytes()))
+                out.append((doc, named, len(data), [], [], data.tobytes()))
                 continue
             depth = np.zeros(len(data) + 1, np.int64)
             np.add.at(depth, np.concatenate(list(lo)), 1)
             np.add.at(depth, np.concatenate(list(hi)) + WINDOW, -1)
             gone = np.cumsum(depth[:-1]) > 0
             edge = np.diff(np.r_[False, gone, False].astype(np.int8))
-            out.append((doc, len(data), np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), data[~gone].tobytes()))
-        yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "start", "stop", "kept"])
+            out.append((doc, named, len(data), np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), data[~gone].tobytes()))
+        yield pd.DataFrame(out, columns=["doc_id", "has_id", "n_bytes", "start", "stop", "kept"])
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -267,27 +285,42 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     A byte goes if a 50-byte string of the document that covers it begins in a document with a smaller id too. Texts are
     UTF-8 bytes, null ones empty. Rows that share an id don't make each other smaller, so neither loses what only the
-    other holds; rows without an id come after all others.
+    other holds; rows without an id come after all others, but beside the largest number there is.
     """
     body = text_or_empty(docs, text)
     number = F.coalesce(col(docs, doc_id).cast("long"), F.lit(LAST_ID))
-    rows = docs.select(number.alias("doc_id"), F.xxhash64(body).alias("text_id"), body.alias("text"))
+    rows = docs.select(number.alias("doc_id"), F.xxhash64(body).alias("text_id"), body.alias("text"), col(docs, doc_id).cast("long").alias("id"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // PART_BYTES))
-    long_rows = rows.where(F.octet_length("text") >= WINDOW)
+    long_rows = rows.where(F.octet_length("text") >= WINDOW).select("doc_id", "text_id", "text")
     shipped = long_rows.mapInPandas(_shipped(parts, crowded_anchors(long_rows)), SHIPPED)
-    compared = cut_lineage(shipped.groupBy("part").applyInPandas(_compared, MARKS))
+    compared = cut_lineage(shipped.groupBy("part").applyInPandas(_compared, COMPARED))
+
+    # Of crowded anchors, pieces that a smaller document holds whole are done; only the others are cut into strings.
+    places = F.explode(F.arrays_zip("lo", "hi", "anchor", "whole")).alias("p")
+    crowd = compared.where("anchor IS NOT NULL").select("doc_id", "text_id", places).select("doc_id", "text_id", "p.*")
+    holders = crowd.groupBy("anchor", "whole").agg(F.min("doc_id").alias("first_doc"))
+    crowd = crowd.join(holders, ["anchor", "whole"]).groupBy("doc_id", "text_id", (F.col("doc_id") > F.col("first_doc")).alias("again"))
+    crowd = cut_lineage(crowd.agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")))
+    apart = F.transform("lo", lambda _: F.lit(-1).cast("long")).alias("bucket")
 
-    refs = compared.where("bucket IS NOT NULL")
+    refs = compared.where("bucket IS NOT NULL AND anchor IS NULL").select("doc_id", "text_id", "lo", "hi", "bucket")
     asked = refs.agg(F.sum(F.size("lo"))).first()[0] or 0
+    refs = refs.unionByName(crowd.where("NOT again").select("doc_id", "text_id", "lo", "hi", apart))
     of_doc = refs.groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("lo", "hi", "bucket")).alias("refs"))
     cut = long_rows.join(of_doc, ["doc_id", "text_id"]).mapInPandas(_cut_out(max(1, -(-asked // BUCKET_PIECES))), "bucket long, doc_id long, text_id long, lo int, piece binary")
     cut = cut_lineage(cut)
-    merged = cut.where("bucket >= 0").groupBy("bucket").applyInPandas(_bucket, MARKS)
-    crowded = cut.where("bucket < 0")
-    first = crowded.groupBy("piece").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc")
-    again = crowded.join(first, "piece").where("doc_id > first_doc").select("doc_id", "text_id", F.array("lo").alias("lo"), F.array("lo").alias("hi"))
-    marks = compared.where("bucket IS NULL").unionByName(cut_lineage(merged)).drop("bucket").unionByName(again)
-    marks = marks.groupBy("doc_id", "text_id").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
-    out = rows.join(marks, ["doc_id", "text_id"], "left").mapInPandas(_removed, "doc_id long, n_bytes long, start array<long>, stop array<long>, kept binary")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") < LAST_ID, F.col("doc_id")))
+    merged = cut.where("bucket >= 0").groupBy("bucket").applyInPandas(_bucket, MARKS).select("doc_id", "text_id", "lo", "hi")
+    strings = cut.where("bucket < 0")
+    first = strings.groupBy("piece").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc")
+    again = strings.join(first, "piece").where("doc_id > first_doc").groupBy("doc_id", "text_id").agg(F.collect_list("lo").alias("lo"))
+    marks = [
+        compared.where("bucket IS NULL").select("doc_id", "text_id", "lo", "hi"),
+        crowd.where("again").select("doc_id", "text_id", "lo", "hi"),
+        cut_lineage(merged),
+        cut_lineage(again.select("doc_id", "text_id", "lo", F.col("lo").alias("hi"))),
+    ]
+    marks = reduce(DataFrame.unionByName, marks).groupBy("doc_id", "text_id").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
+    named = rows.select("doc_id", "text_id", "text", F.col("id").isNotNull().alias("has_id"))
+    out = named.join(marks, ["doc_id", "text_id"], "left").mapInPandas(_removed, REMOVED)
+    return out.withColumn("doc_id", F.when(F.col("has_id"), F.col("doc_id"))).drop("has_id")

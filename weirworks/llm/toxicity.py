@@ -18,9 +18,11 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from weirworks.llm.common import col, text_or_empty
 from weirworks.session import cut_lineage
@@ -123,7 +125,6 @@ def learn(
     text: str = "text",
     label: str = "toxic",
     sample_rows: int = 20_000,
-    max_terms: int = 5_000,
     min_docs: int = 6,
     min_odds: float = 2.0,
     exceptions: Sequence[str] = (),
@@ -131,8 +132,8 @@ def learn(
     """A model from labelled documents: at most ``sample_rows`` of them, those whose ids hash lowest.
 
     Labels that are null, and ids without a text, take no part; copies of a text count about once. With no toxic or no
-    clean document the lexicon is empty and every score is the share of toxic labels. ``max_terms`` bounds what goes
-    to the driver and to the tasks: the terms found in most toxic documents.
+    clean document the lexicon is empty and every score is the share of toxic labels. ``sample_rows`` bounds what goes to the
+    driver and to the tasks: every term and phrase above the thresholds, all found in those documents.
     """
     known = labels.where(col(labels, label).isin(0, 1)).select(col(labels, doc_id).alias("doc_id"), col(labels, label).cast("int").alias("toxic"))
     sample = known.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
@@ -166,13 +167,13 @@ def learn(
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
     least = min(min_docs, max(1, toxic // 4))
     good = terms.withColumn("odds", odds).where((F.col("toxic") >= least) & (F.col("odds") >= min_odds))
-    found = {r.term: (r.odds, r.toxic) for r in good.orderBy(F.desc("toxic"), "term").limit(max_terms).collect()}
+    found = {r.term: r.odds for r in good.select("term", "odds").collect()}
     lexicon = {}
     for term in sorted(found, key=len):
         # A longer term says no more than a beginning of it that is as good a sign.
         shorter = [lexicon[term[:n]] for n in range(PREFIXES.start + 1, len(term.rstrip())) if term[:n] in lexicon]
-        if not any(w >= 0.8 * found[term][0] for w in shorter):
-            lexicon[term] = found[term][0]
+        if not any(w >= 0.8 * found[term] for w in shorter):
+            lexicon[term] = found[term]
 
     raw = Model(lexicon, tuple(f.strip() for f in map(fold, exceptions)))
 
@@ -191,7 +192,7 @@ def learn(
     counts = train.mapInPandas(phrases, "phrase string, toxic int").groupBy("phrase")
     counts = counts.agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
     harmless = counts.where((F.col("clean") >= 3) & (F.col("clean") * F.lit(toxic) > 3 * F.col("toxic") * F.lit(clean)))
-    learned = [r.phrase for r in harmless.orderBy(F.desc("clean"), "phrase").limit(max_terms).collect()]
+    learned = sorted(r.phrase for r in harmless.select("phrase").collect())
     raw = Model(lexicon, (*raw.exceptions, *learned))
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -219,22 +220,23 @@ def _logistic(points: np.ndarray, marks: np.ndarray, ridge: float = 0.05) -> tup
 
 def with_scores(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and score of every row; null and empty texts get the score of a text without matches."""
+    rows = docs.select(col(docs, doc_id).alias("doc_id"), text_or_empty(docs, text).alias("text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": [model.score(t) for t in batch["text"]]})
+            scores = pa.array([model.score(t) for t in batch.column(1).to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), scores], names=["doc_id", "score"])
 
-    rows = docs.select(col(docs, doc_id).alias("doc_id"), text_or_empty(docs, text).alias("text"))
-    return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+    return rows.mapInArrow(run, StructType([rows.schema["doc_id"], StructField("score", DoubleType())]))
 
 
 def clean_documents(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.3) -> DataFrame:
-    """``docs`` (all columns, rows as they are) without those that score ``threshold`` or more."""
+    """``docs`` (all columns, rows as they are) without those that score ``threshold`` or more; null counts as empty."""
     at = docs.columns.index(text)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = np.array([model.score(t or "") for t in batch.iloc[:, at]])
-            yield batch[scores < threshold]
+            kept = [model.score(t or "") < threshold for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
