@@ -15,14 +15,17 @@ def update(job, run, state_, start, seq, done=None, took=None):
 
 
 def follow(spark, home, *batches):
-    keeper = state.LatestRuns(spark, str(home))
-    for i, batch in enumerate(batches):
-        keeper(spark.createDataFrame(list(batch), state.SCHEMA), i)
-    return keeper
+    """The rows of the change stream after each batch came as a file."""
+    src, out, mark = (str(home / n) for n in ("src", "out", "mark"))
+    for batch in batches:
+        spark.createDataFrame(list(batch), state.SCHEMA).coalesce(1).write.mode("append").parquet(src)
+        changes = state.run_changes(flow.source(spark, "parquet", schema=state.SCHEMA, path=src, files_per_batch=1))
+        flow.load_new(changes, out, mark)
+    return spark.read.schema(changes.schema).parquet(out)
 
 
 def test_older_runs_of_another_id_are_ignored(spark, tmp_path):
-    keeper = follow(
+    told = follow(
         spark, tmp_path,
         [update("j", "r2", "RUNNING", 5, 1)],
         [update("j", "r1", "FAILED", 3, 2)],
@@ -31,23 +34,42 @@ def test_older_runs_of_another_id_are_ignored(spark, tmp_path):
         [update("j", "r3", "RUNNING", 4, 5), update("k", "q", "RUNNING", 1, 6)],
     )
     # r2 may move back in time since it is the run held; r3 then starts no earlier than it and takes over.
-    assert rows(keeper.change_log().select("batch", "job", "run_id", "state")) == [
-        (0, "j", "r2", "RUNNING"), (2, "j", "r2", "SUCCEEDED"), (4, "j", "r3", "RUNNING"), (4, "k", "q", "RUNNING"),
+    assert rows(told.select("job", "change", "run_id", "state", "seq", "told")) == [
+        ("j", 1, "r2", "RUNNING", 1, True), ("j", 2, "r2", "SUCCEEDED", 3, True), ("j", 3, "r3", "RUNNING", 5, True), ("k", 1, "q", "RUNNING", 6, True),
     ]
-    assert rows(keeper.current().select("job", "run_id")) == [("j", "r3"), ("k", "q")]
+    assert rows(state.current(told).select("job", "run_id")) == [("j", "r3"), ("k", "q")]
 
 
-def test_a_repeated_batch_changes_nothing(spark, tmp_path):
-    batches = [[update("j", "a", "RUNNING", 1, 1)], [update("j", "b", "RUNNING", 2, 2)]]
-    keeper = follow(spark, tmp_path, *batches)
-    before = (rows(keeper.current()), rows(keeper.change_log()), rows(keeper.held_before(2)))
-    keeper(spark.createDataFrame(batches[1], state.SCHEMA), 1)
-    assert (rows(keeper.current()), rows(keeper.change_log()), rows(keeper.held_before(2))) == before
+def test_every_change_of_a_batch_is_told_in_order(spark, tmp_path):
+    """r1 fails and r2 starts in one batch, whose rows come in any order; then r2 ends beside a late word of r1."""
+    told = follow(
+        spark, tmp_path,
+        [update("j", "r2", "RUNNING", 3, 3), update("j", "r1", "FAILED", 1, 2, done=2), update("j", "r1", "RUNNING", 1, 1)],
+        [update("j", "r1", "STOPPED", 1, 4, done=2), update("j", "r2", "SUCCEEDED", 3, 5, done=4, took=7), update("j", "r2", "SUCCEEDED", 3, 6, done=4, took=8)],
+    )
+    assert [(r.change, r.run_id, r.state, r.execution_time) for r in told.orderBy("step").collect()] == [
+        (1, "r1", "RUNNING", None), (2, "r1", "FAILED", None), (3, "r2", "RUNNING", None), (4, "r2", "SUCCEEDED", 7), (5, "r2", "SUCCEEDED", 8),
+    ]
+
 
+def test_running_time_alone_is_no_change_but_is_kept(spark, tmp_path):
+    batches = [[update("j", "a", "RUNNING", 1, 1, took=5)], [update("j", "a", "RUNNING", 1, 2, took=65)], [update("j", "a", "FAILED", 1, 3, done=2, took=70)]]
+    told = follow(spark, tmp_path, *batches[:2])
+    assert [(r.execution_time, r.told) for r in told.orderBy("step").collect()] == [(5, True), (65, False)]
+    assert state.current(told).first().execution_time == 65
+    told = follow(spark, tmp_path, *batches[2:])
+    assert [r.state for r in told.where("told").orderBy("step").collect()] == ["RUNNING", "FAILED"]
 
-def test_running_time_alone_is_no_change(spark, tmp_path):
-    keeper = follow(spark, tmp_path, [update("j", "a", "RUNNING", 1, 1, took=5)], [update("j", "a", "RUNNING", 1, 2, took=65)], [update("j", "a", "FAILED", 1, 3, done=2, took=70)])
-    assert [r.state for r in keeper.change_log().orderBy("batch").collect()] == ["RUNNING", "FAILED"]
+
+def test_odd_updates(spark, tmp_path):
+    """Nulls: without job, run or seq an update is ignored; without a start a run has just started; without a state it has ended."""
+    told = follow(
+        spark, tmp_path,
+        [(None, "r", "RUNNING", T0, None, 1, 1), ("j", None, "RUNNING", T0, None, 1, 1), ("j", "r", "RUNNING", T0, None, 1, None)],
+        [update("j", "a", None, None, 1), update("j", "b", "RUNNING", 9, 2), update("j", "a", None, None, 3, took=2**31 - 1)],
+    )
+    got = [(r.run_id, r.state, r.started_on, r.completed_on, r.execution_time) for r in told.orderBy("step").collect()]
+    assert got == [("a", None, None, None, None), ("a", None, None, None, 2**31 - 1)]
 
 
 def test_messages(spark):

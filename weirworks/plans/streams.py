@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirworks import sources
@@ -77,17 +77,52 @@ def stream_event_quarantine(d: Data) -> DataFrame:
     "run_updates",
 )
 def stream_latest_run(d: Data) -> DataFrame:
+    # In several files, so that the state is carried over batches; all updates of a run are in one.
+    seq = F.col("seq") * F.lit(10**12) + F.substring("run_id", 4, 20).cast("bigint")
     home = scratch_path(d.spark, "updates")
-    # One arrival order over all updates, in several files so that the state is carried over batches.
-    numbered = d.run_updates.select(
-        "job", "run_id", "state", F.col("started_on").cast("timestamp").alias("started_on"), F.col("completed_on").cast("timestamp").alias("completed_on"),
-        "execution_time", (F.col("seq") * F.lit(10**12) + F.substring("run_id", 4, 20).cast("bigint")).alias("seq"),
-    )
-    numbered.repartition(4, "run_id").write.parquet(home)
-    keeper = state.LatestRuns(d.spark, scratch_path(d.spark, "latest"))
-    stream = flow.source(d.spark, "parquet", schema=state.SCHEMA, path=home, files_per_batch=1)
-    flow.each_batch(stream, keeper, scratch_path(d.spark, "latest-checkpoint"))
-    return _ntz(keeper.current().drop("seq"), "started_on", "completed_on")
+    _updates(d, seq).repartition(4, "run_id").write.parquet(home)
+    told = _drained(d, state.run_changes(_update_stream(d, home)), "latest")
+    return _ntz(state.current(told).drop("seq", "change", "step", "told"), "started_on", "completed_on")
+
+
+def _updates(d: Data, seq: Column) -> DataFrame:
+    zoned = [F.col(c).cast("timestamp").alias(c) for c in ("started_on", "completed_on")]
+    return d.run_updates.select("job", "run_id", "state", *zoned, "execution_time", seq.alias("seq"))
+
+
+def _update_stream(d: Data, home: str) -> DataFrame:
+    return flow.source(d.spark, "parquet", schema=state.SCHEMA, path=home, files_per_batch=1)
+
+
+# Updates in the order in which they are seen; of those seen in one minute, by run.
+SEEN = "(epoch_us(seen_on) // 60000000) * 100000000000 + CAST(substr(run_id, 4) AS BIGINT) * 4 + seq - 1"
+
+
+@query(
+    "stream_run_changes",
+    f"""WITH u AS (SELECT * EXCLUDE (seq, seen_on), {SEEN} AS seq FROM run_updates),
+         o AS (SELECT *, max(started_on) OVER (PARTITION BY job ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held_start FROM u),
+         n AS (SELECT *, lag(run_id) OVER w AS r, lag(state) OVER w AS s, lag(completed_on) OVER w AS c, lag(execution_time) OVER w AS e
+           FROM o WHERE held_start IS NULL OR started_on >= held_start WINDOW w AS (PARTITION BY job ORDER BY seq))
+       SELECT job, run_id, state, started_on, completed_on, execution_time, seq, row_number() OVER (PARTITION BY job ORDER BY seq) AS change
+       FROM n WHERE r IS DISTINCT FROM run_id OR s IS DISTINCT FROM state OR c IS DISTINCT FROM completed_on
+         OR (state NOT IN ('STARTING', 'RUNNING', 'STOPPING', 'WAITING') AND e IS DISTINCT FROM execution_time)""",
+    "run_updates",
+)
+def stream_run_changes(d: Data) -> DataFrame:
+    """The updates arrive in three parts by time; a job's runs start and end many times in each."""
+    home = scratch_path(d.spark, "seen")
+    seen = F.expr("unix_micros(CAST(seen_on AS TIMESTAMP)) div 60000000")
+    seq = seen * F.lit(100_000_000_000) + F.substring("run_id", 4, 20).cast("bigint") * 4 + F.col("seq") - 1
+    updates = _updates(d, seq)
+    mark, out = scratch_path(d.spark, "changes-checkpoint"), scratch_path(d.spark, "changes")
+    cuts = [F.lit(t).cast("timestamp").cast("bigint") / 60 * 100_000_000_000 for t in ("1994-01-01", "1996-06-01")]
+    for part in (F.col("seq") < cuts[0], F.col("seq").between(cuts[0], cuts[1]), F.col("seq") > cuts[1]):
+        updates.where(part).coalesce(1).write.mode("append").parquet(home)
+        stream = state.run_changes(_update_stream(d, home))
+        flow.load_new(stream, out, mark)
+    told = d.spark.read.schema(stream.schema).parquet(out).where("told").drop("step", "told")
+    return _ntz(told, "started_on", "completed_on")
 
 
 WINDOW_SQL = """SELECT event_type, time_bucket(INTERVAL '6' HOUR, ts, TIMESTAMP '1970-01-01') AS window_start, time_bucket(INTERVAL '6' HOUR, ts, TIMESTAMP '1970-01-01') + INTERVAL '6' HOUR AS window_end, count(*) AS n FROM events GROUP BY ALL"""

@@ -1,76 +1,116 @@
-"""The latest run of every job, kept across batches."""
+"""The latest run of every job, kept in Spark's keyed state.
+
+Every accepted change is told, in order. An update that only moves the running time of the run held is no change, but the
+state keeps it, and a batch that ends with such an update gives the run once more, untold, so that tables built from the
+stream end with the newest update.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from weirworks.functions.runs import terminal
+from weirworks.functions.runs import OPEN_STATES
 
 COLUMNS = ("job", "run_id", "state", "started_on", "completed_on", "execution_time", "seq")
 SCHEMA = "job string, run_id string, state string, started_on timestamp, completed_on timestamp, execution_time int, seq bigint"
-FAR = "9999-12-31 00:00:00"
+# Times and whole numbers travel as numbers that are never null, so that pandas leaves them as they are.
+NONE = -(2**63)
+FAR = 2**63 - 1
+HELD = "run_id string, state string, started bigint, completed bigint, took bigint, change bigint, step bigint"
+TOLD = "job string, run_id string, state string, started bigint, completed bigint, took bigint, seq bigint, change bigint, step bigint, told boolean"
 
 
-def newest_in_batch(batch: DataFrame) -> DataFrame:
-    """One row per job: of every run its last update, of these the run that started last.
+def accepted(held: tuple | None, new: tuple) -> bool:
+    """Whether ``new`` changes what is held; both are (run_id, state, started, completed, took).
 
-    Both steps are aggregations, so a job with most of the rows is reduced before the shuffle. A run without a
-    start counts as just started.
+    A run that started before the one held is ignored unless it is the same run. The same run with the same state and
+    end is no change; its running time counts only once it has ended.
     """
-    body = F.struct(*[F.col(c) for c in COLUMNS if c not in ("job", "run_id")])
-    runs = batch.groupBy("job", "run_id").agg(F.max_by(body, "seq").alias("u")).select("job", "run_id", "u.*")
-    whole = F.struct(*[F.col(c) for c in COLUMNS if c != "job"])
-    order = F.struct(F.coalesce("started_on", F.lit(FAR).cast("timestamp")), F.col("seq"))
-    return runs.groupBy("job").agg(F.max_by(whole, order).alias("r")).select("job", "r.*")
-
-
-def changes(held: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Incoming rows that change what is held: not older than it (unless the same run), and not equal to it."""
-    old = held.select(*[F.col(c).alias(f"h_{c}") for c in COLUMNS])
-    both = incoming.join(old, F.col("job") == F.col("h_job"), "left")
-    stale = (F.col("started_on") < F.col("h_started_on")) & (F.col("run_id") != F.col("h_run_id"))
-    same = (
-        (F.col("run_id") == F.col("h_run_id"))
-        & F.col("state").eqNullSafe(F.col("h_state"))
-        & F.col("completed_on").eqNullSafe(F.col("h_completed_on"))
-        & (~terminal(F.col("state")) | F.col("execution_time").eqNullSafe(F.col("h_execution_time")))
-    )
-    no = F.lit(False)
-    return both.where(~F.coalesce(stale, no) & ~F.coalesce(same, no)).select(*COLUMNS)
-
-
-@dataclass(frozen=True)
-class LatestRuns:
-    """State in two folders used in turn: batch n reads what batch n-1 wrote and never touches it.
-
-    A batch that is run again after a failure so gives the same state and the same changes.
+    if held is None:
+        return True
+    same_run = held[0] == new[0]
+    if not same_run and new[2] < held[2]:
+        return False
+    same = same_run and held[1] == new[1] and held[3] == new[3]
+    return not (same and (new[1] in OPEN_STATES or held[4] == new[4]))
+
+
+class _Changes(StatefulProcessor):
+    """One held run per job; the updates of a batch are applied in the order of ``seq``."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("latest_run", HELD)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        before = self.held.get() if self.held.exists() else None
+        held, change, step = (tuple(before[:5]), before[5], before[6]) if before else (None, 0, 0)
+        out, quiet = [], None
+        for *new, seq in zip(*(batch[c].tolist() for c in ("run_id", "state", "started", "completed", "took", "seq")), strict=True):
+            new = tuple(new)
+            if accepted(held, new):
+                held, change, step, quiet = new, change + 1, step + 1, None
+                out.append((key[0], *new, seq, change, step, True))
+            elif held[0] == new[0] and held[4] != new[4]:
+                held = quiet = (*held[:4], new[4])
+                last = seq
+        if quiet:
+            step += 1
+            out.append((key[0], *quiet, last, change, step, False))
+        if out:
+            self.held.update((*held, change, step))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in TOLD.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def _number(value: Column, none: int) -> Column:
+    return F.coalesce(value.cast("bigint"), F.lit(none).cast("bigint"))
+
+
+def _time(name: str, none: int) -> Column:
+    return F.when(F.col(name) != none, F.timestamp_micros(name))
+
+
+def run_changes(updates: DataFrame) -> DataFrame:
+    """Every accepted change of the jobs in the stream ``updates`` (``COLUMNS``), numbered per job from 1 in ``change``.
+
+    ``step`` numbers all rows of a job; those without ``told`` only move the running time of the change they carry.
+    A batch's updates of a job are applied in the order of ``seq``, batches in the order in which they come; a job's
+    updates of one batch are sorted in its task, so the size of a batch bounds what a task holds. Updates without a job,
+    a run or a ``seq`` are ignored. A run without a start counts as just started.
     """
+    known = updates.where("job IS NOT NULL AND run_id IS NOT NULL AND seq IS NOT NULL").select(
+        "job",
+        "run_id",
+        F.coalesce("state", F.lit("")).alias("state"),
+        _number(F.unix_micros("started_on"), FAR).alias("started"),
+        _number(F.unix_micros("completed_on"), NONE).alias("completed"),
+        _number(F.col("execution_time"), NONE).alias("took"),
+        "seq",
+    )
+    told = known.groupBy("job").transformWithStateInPandas(_Changes(), TOLD, "Append", "None")
+    return told.select(
+        "job",
+        "run_id",
+        F.nullif("state", F.lit("")).alias("state"),
+        _time("started", FAR).alias("started_on"),
+        _time("completed", NONE).alias("completed_on"),
+        F.when(F.col("took") != NONE, F.col("took").cast("int")).alias("execution_time"),
+        "seq",
+        "change",
+        "step",
+        "told",
+    )
 
-    spark: SparkSession
-    home: str
-
-    def slot(self, batch_id: int) -> str:
-        return f"{self.home}/state-{batch_id % 2}"
-
-    def held_before(self, batch_id: int) -> DataFrame:
-        if batch_id == 0:
-            return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(self.slot(batch_id - 1))
-
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        held = self.held_before(batch_id)
-        log = f"{self.home}/changes/batch={batch_id}"
-        changes(held, newest_in_batch(batch)).write.mode("overwrite").parquet(log)
-        changed = self.spark.read.schema(SCHEMA).parquet(log)
-        held.join(changed.select("job"), "job", "leftanti").unionByName(changed).write.mode("overwrite").parquet(self.slot(batch_id))
-
-    def change_log(self) -> DataFrame:
-        return self.spark.read.schema(SCHEMA + ", batch int").parquet(f"{self.home}/changes")
 
-    def current(self) -> DataFrame:
-        """The last logged change of every job. The log is whole at any time, also while a batch is running."""
-        body = F.struct(*[F.col(c) for c in COLUMNS if c != "job"])
-        return self.change_log().groupBy("job").agg(F.max_by(body, "batch").alias("r")).select("job", "r.*")
+def current(changes: DataFrame) -> DataFrame:
+    """The latest run of every job, from all rows of ``run_changes`` so far."""
+    body = F.struct(*[F.col(c) for c in changes.columns if c != "job"])
+    return changes.groupBy("job").agg(F.max_by(body, "step").alias("r")).select("job", "r.*")
