@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from weirworks.operators import aggregate as agg
 from weirworks.operators import audit, joins
-from weirworks.operators.ordered import numbered, top_per_key, with_previous
+from weirworks.operators.ordered import in_pieces, numbered, top_per_key, with_previous
 
 
 def test_same_names_get_a_suffix_and_keys_must_pair(spark):
@@ -113,6 +113,30 @@ def test_numbering_is_gapless_and_ordered(spark, lopsided):
     assert [i for _, i in got] == [r.id for r in order]
 
 
+def test_ordered_work_shuffles_the_rows_once(spark):
+    """One exchange moves rows, by piece; the others carry one row per piece. A key with all rows is cut into pieces."""
+    hot = spark.range(4_000).select(F.lit(1).alias("k"), ((F.col("id") * 7_919) % 4_001).alias("v"), F.lit("text").alias("t"))
+    for df in (numbered(hot, ["k", "v"], "no", pieces=8), with_previous(hot, ["k"], ["v"], ["t"], pieces=8)):
+        text = plan(df)
+        moved = [line for line in text.splitlines() if "Exchange" in line and "Broadcast" not in line]
+        assert sum("shufflepartitionidpassthrough" in line for line in moved) == 1
+        assert all("shufflepartitionidpassthrough" in line or "_piece" in line or "SinglePartition" in line for line in moved)
+        assert "MapIn" not in text
+    sizes = [r["count"] for r in in_pieces(hot, ["k", "v"], 8)[0].groupBy("_piece").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * 4_000 / 8
+
+
+def test_ordered_work_on_odd_rows(spark):
+    """Nulls in keys and order come first, names with dots, empty tables, one piece, more pieces than rows."""
+    data = [(None, 1, "a"), (None, None, None), (2, 5, "b"), (2, 4, None), (2, None, "c")]
+    df = spark.createDataFrame(data, "`k.x` int, o int, v string")
+    want = [(None, None, None, None, False), (None, 1, "a", None, True), (2, None, "c", None, False), (2, 4, None, "c", True), (2, 5, "b", None, True)]
+    for pieces in (1, 3, 50):
+        assert rows(with_previous(df, ["k.x"], ["o"], ["v"], pieces=pieces)) == sorted(want, key=repr)
+        assert [r.o for r in numbered(df, ["k.x", "o"], "no", pieces=pieces).orderBy("no").collect()] == [None, 1, None, 4, 5]
+    assert numbered(df.limit(0), ["o"]).count() == 0 == with_previous(df.limit(0), ["k.x"], ["o"], ["v"]).count()
+
+
 def test_top_per_key_limits_before_the_shuffle(spark, lopsided):
     top = top_per_key(lopsided, ["k"], [F.desc("id")], 2)
     text = plan(top)

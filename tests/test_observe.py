@@ -95,6 +95,23 @@ def test_neighbourhoods(spark, anchors, missing):
     assert rows(between) == sorted(e for e in EDGES if set(e) <= nodes)
 
 
+def test_rounds_write_what_they_touch(spark, monkeypatch):
+    """On a chain beside many waiting nodes, rows written grow with the rounds, not with rounds times nodes."""
+    written = []
+    cut = lineage.cut_lineage
+    monkeypatch.setattr(lineage, "cut_lineage", lambda df: written.append(cut(df)) or written[-1])
+
+    def total(length):
+        written.clear()
+        chain = [(n, n + 1) for n in range(length)]
+        fan = [(length, 1_000 + n) for n in range(300)] + [(0, 1_000 + n) for n in range(300)]
+        found = {r.node: r.depth for r in lineage.depths(spark.createDataFrame(chain + fan, "src int, dst int")).collect()}
+        assert found == {n: n for n in range(length + 1)} | {1_000 + n: length + 1 for n in range(300)}
+        return sum(df.count() for df in written)
+
+    assert total(12) - total(6) <= 6 * 12
+
+
 def test_cycles_end_and_are_named(spark):
     edges = spark.createDataFrame([("x", "y"), ("y", "x"), ("y", "z"), ("s", "x"), ("s", "t"), ("t", "u"), ("s", "u")], "src string, dst string")
     assert [r.node for r in lineage.reachable(edges, spark.createDataFrame([("x",)], "node string"))[0].orderBy("node").collect()] == ["s", "x", "y", "z"]

@@ -1,8 +1,12 @@
+import random
+import statistics
+from decimal import Decimal
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from weirworks.operators import project
+from weirworks.operators import medians, project
 from weirworks.operators.project import FieldMap, keep
 from weirworks.types import schema_of, spark_type
 
@@ -75,3 +79,40 @@ def test_drift_and_identifier(spark):
     assert rows(project.schema_drift(df, df.schema)) == []
     assert project.add_identifier(df).select("id").distinct().count() == 5
     assert project.add_uuid(df).select("uuid").distinct().count() == 5
+
+
+def test_exact_median_of_very_many_values(spark):
+    """1,000,001 distinct values in one group; the sketch is another method."""
+    df = spark.range(1_000_001).select((F.col("id") * 500_000).alias("v"))
+    assert medians.medians(df, "v").first().median == 250_000_000_000.0
+    filled = project.fill_missing(df.unionByName(spark.createDataFrame([(None,)], "v bigint")), "v", method="median")
+    assert filled.where("v = 250000000000").count() == 2
+
+
+def test_medians_by_selection(spark, monkeypatch):
+    """Groups of all shapes, with the limit so low that all but the smallest are narrowed."""
+    luck = random.Random(4)
+    shapes = {
+        None: [7.5],
+        "same": [3.0] * 900,
+        "two": [1.0] * 400 + [2.0] * 400,
+        "split": [0.0] * 300 + [float(n) for n in range(1, 51)] + [1e6] * 350,
+        "ends": [0.0] * 500 + [1e6] * 499 + [5.0],
+        "odd": [luck.random() for _ in range(777)],
+        "powers": [2.0**n for n in range(-500, 500)],
+        "few": [1.0, 4.0],
+        "nan": [float("nan"), 1.0, float("nan"), 2.0],
+        "none": [None, None],
+    }
+    data = [(g, v) for g, vs in shapes.items() for v in vs] + [("split", None)]
+    luck.shuffle(data)
+    df = spark.createDataFrame(data, "g string, v double")
+    usual = rows(medians.medians(df, "v", ["g"]))
+    want = sorted(((g, statistics.median([v for v in vs if v == v])) for g, vs in shapes.items() if g != "none"), key=repr)
+    assert usual == want
+    monkeypatch.setattr(medians, "MOST", 20)
+    monkeypatch.setattr(medians, "CELLS", 32)
+    assert rows(medians.medians(df, "v", ["g"])) == want
+    whole = df.select(F.col("g").alias("a.b"), F.col("v").cast("decimal(38,3)").alias("x.y")).where("`a.b` IN ('two', 'few')")
+    assert rows(medians.medians(whole, "x.y", ["a.b"])) == [("few", Decimal("2.5")), ("two", Decimal("1.5"))]
+    assert medians.medians(df.limit(0), "v").count() == 0 == medians.medians(df.limit(0), "v", ["g"]).count()

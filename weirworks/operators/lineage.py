@@ -6,10 +6,12 @@ plans stay small and a lost executor repeats one round at most. Loops end when a
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirworks.session import cut_lineage
+from weirworks.session import cut_lineage, scratch_path
 
 
 COMPACT_EVERY = 8
@@ -46,30 +48,80 @@ def reachable(edges: DataFrame, anchors: DataFrame) -> tuple[DataFrame, DataFram
     return nodes, downward.select("src", "dst").unionByName(upward.select("src", "dst")).distinct()
 
 
+# Tables of one round that are written as one before they are merged with larger ones.
+RUNS = 8
+PART = "_part"
+
+
+def _parts(df: DataFrame, key: str, n: int) -> DataFrame:
+    """``df`` written by a hash of ``key``, so that later reads for few keys leave most files aside."""
+    path = scratch_path(df.sparkSession, "graph")
+    numbered = df.withColumn(PART, F.pmod(F.hash(key), F.lit(n)))
+    numbered.repartition(n, PART).write.partitionBy(PART).parquet(path)
+    return df.sparkSession.read.schema(numbered.schema).parquet(path)
+
+
+def _near(table: DataFrame, keys: DataFrame, key: str, n: int) -> DataFrame:
+    """The files of ``table`` that can hold one of ``keys`` (column node). At most ``n`` numbers pass through the driver."""
+    found = [r[0] for r in keys.select(F.pmod(F.hash("node"), F.lit(n))).distinct().collect()]
+    return table.where(F.col(PART).isin(found)).drop(PART)
+
+
+class _Log:
+    """What rounds have written, in tables of growing size: a row is rewritten once per size, not once per round."""
+
+    def __init__(self) -> None:
+        self.levels: list[list[DataFrame]] = []
+
+    def add(self, df: DataFrame, level: int = 0) -> None:
+        while len(self.levels) <= level:
+            self.levels.append([])
+        self.levels[level].append(df)
+        if len(self.levels[level]) == RUNS:
+            whole = cut_lineage(reduce(DataFrame.unionByName, self.levels[level]))
+            self.levels[level] = []
+            self.add(whole, level + 1)
+
+    def rows(self) -> DataFrame | None:
+        every = [df for level in self.levels for df in level]
+        return reduce(DataFrame.unionByName, every) if every else None
+
+
 def depths(edges: DataFrame) -> DataFrame:
     """``(node, depth)``: the longest path from any source; NULL for nodes on or behind a cycle.
 
-    Every round takes away the nodes no remaining edge points to. The round a node leaves in is its depth, and
-    what never leaves is what cycles hold back.
+    A node leaves once all edges to it have left, and the round it leaves in is its depth. A round takes the edges of the
+    nodes that left in the one before, sums up what their targets lose, and writes what is left of those targets:
+    nodes that nothing touches are neither read nor written again. What never leaves is what cycles hold back. Repeated
+    edges count once; edges without a node at either end are ignored.
     """
-    edges = cut_lineage(edges.select("src", "dst").distinct())
-    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
-    left, live, depth = nodes, edges, 0
-    done = None
+    n = min(1024, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    edges = _parts(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), "src", n)
+    held = edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("left"))
+    sources = edges.select(F.col("src").alias("node")).distinct().withColumn("left", F.lit(0).cast("long"))
+    degrees = _parts(held.unionByName(sources).groupBy("node").agg(F.sum("left").alias("left")), "node", n)
+    waiting, done = _Log(), _Log()
+    leaving, depth = cut_lineage(degrees.where("left = 0").select("node")), 0
+    done.add(leaving.withColumn("depth", F.lit(depth)))
     while True:
-        held = live.select(F.col("dst").alias("node")).distinct().withColumn("held", F.lit(True))
-        # Nodes that leave and nodes that stay are written together, once per round.
-        split = cut_lineage(left.join(held, "node", "left").withColumn("held", F.col("held").isNotNull()))
-        free, left = split.where("NOT held").select("node"), split.where("held").select("node")
-        if free.isEmpty():
+        lost = _near(edges, leaving, "src", n).join(leaving.withColumnRenamed("node", "src"), "src", "leftsemi")
+        lost = cut_lineage(lost.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("lost")))
+        if lost.isEmpty():
+            break
+        # What was left of a node last is the least of all that was ever written for it.
+        known = _near(degrees, lost, "node", n)
+        earlier = waiting.rows()
+        known = known if earlier is None else known.unionByName(earlier)
+        now = lost.join(known, "node").groupBy("node").agg((F.min("left") - F.max("lost")).alias("left"))
+        now = cut_lineage(now)
+        leaving, depth = now.where("left = 0").select("node"), depth + 1
+        if leaving.isEmpty():
             break
-        level = free.withColumn("depth", F.lit(depth))
-        done = level if done is None else done.unionByName(level)
-        done = cut_lineage(done) if depth % COMPACT_EVERY == COMPACT_EVERY - 1 else done
-        live = cut_lineage(live.join(free.withColumnRenamed("node", "src"), "src", "leftanti"))
-        depth += 1
-    stuck = left.withColumn("depth", F.lit(None).cast("int"))
-    return stuck if done is None else done.unionByName(stuck)
+        done.add(leaving.withColumn("depth", F.lit(depth)))
+        waiting.add(now.where("left > 0"))
+    reached = done.rows()
+    stuck = degrees.select("node").join(reached, "node", "leftanti").withColumn("depth", F.lit(None).cast("int"))
+    return reached.unionByName(stuck)
 
 
 def cycle_nodes(edges: DataFrame) -> DataFrame:

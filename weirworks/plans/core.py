@@ -239,6 +239,19 @@ def missing_fill_mode_by_group(d: Data) -> DataFrame:
     return project.fill_missing(df, "status", filled="status_filled", by=["grp"])
 
 
+@query(
+    "missing_fill_median_by_group",
+    """WITH v AS (SELECT o_orderkey, o_orderkey % 3 AS grp, CAST(price AS DECIMAL(20,4)) AS price FROM nulls),
+         o AS (SELECT grp, price, row_number() OVER (PARTITION BY grp ORDER BY price) AS pos, count(*) OVER (PARTITION BY grp) AS n FROM v WHERE price IS NOT NULL),
+         m AS (SELECT grp, CAST((min(price) + max(price)) / 2 AS DECIMAL(20,4)) AS fill FROM o WHERE pos IN ((n + 1) // 2, n // 2 + 1) GROUP BY grp)
+       SELECT o_orderkey, v.grp, coalesce(price, fill) AS price FROM v LEFT JOIN m ON m.grp = v.grp""",
+    "nulls",
+)
+def missing_fill_median_by_group(d: Data) -> DataFrame:
+    df = d.nulls.select("o_orderkey", (F.col("o_orderkey") % 3).alias("grp"), F.col("price").cast("decimal(20,4)").alias("price"))
+    return project.fill_missing(df, "price", by=["grp"], method="median")
+
+
 @query(
     "flatten_structs",
     "SELECT o_orderkey AS key, o_orderstatus AS info_status, o_totalprice AS info_money_total, v AS tags FROM orders, (SELECT unnest(['a','b']) AS v)",
