@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import numpy as np
 
+BASE, SYMBOLS_A_KEY = 257, 7
+
 
 def collection(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols of the strings end to end, and for each place the number of its string and the place in it."""
@@ -20,57 +22,81 @@ def collection(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return data, number, np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
-def transform(data: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def transform(data: np.ndarray, number: np.ndarray, step: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """The shard's transform and its suffix order, by doubling the compared length up to the longest string.
 
-    Equal suffixes stand in the order of their strings. The symbol before a string's first one is its own end.
+    Equal suffixes stand in the order of their strings. The symbol before a string's first one is its own end. The
+    transform holds the ``step`` symbols before each suffix as one number in base ``BASE``.
     """
     n = len(data)
     last = np.flatnonzero(data == 0)
     end = last[number]
-    first = np.r_[0, last[:-1] + 1]
-    longest = int((last - first).max()) + 1
-    rank, span = data.astype(np.int64), 1
-    order = np.argsort(data, kind="stable")
-    while span < longest:
-        ahead = np.arange(n) + span
-        second = np.where(ahead <= end, rank[np.minimum(ahead, n - 1)] + 1, 0)
-        key = rank * (int(second.max()) + 1) + second
+    longest = int(np.diff(np.r_[-1, last]).max())
+    here = np.arange(n)
+    # Seven symbols of nine bits fill the first key; places behind a string's end count as 0.
+    key = np.zeros(n, np.int64)
+    for k in range(SYMBOLS_A_KEY):
+        key = (key << 9) | np.where(here + k <= end, data[np.minimum(here + k, n - 1)], 0)
+    span = SYMBOLS_A_KEY
+    while True:
         order = np.argsort(key, kind="stable")
+        if span >= longest:
+            break
         ordered = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.r_[0, np.cumsum(ordered[1:] != ordered[:-1])]
+        ahead = here + span
+        second = np.where(ahead <= end, rank[np.minimum(ahead, n - 1)] + 1, 0)
+        key = rank * (int(second.max()) + 1) + second
         span *= 2
-    symbol = data[order - 1].astype(np.int16)
-    symbol[np.isin(order, first)] = 0
+    before = here - 1
+    before[np.r_[0, last[:-1] + 1]] = last
+    symbol, at = np.zeros(n, np.int64), order
+    for k in range(step):
+        at = before[at]
+        symbol += data[at].astype(np.int64) * BASE**k
     return symbol, order
 
 
-def merge(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
+def _dealt(symbols: np.ndarray, kinds: int) -> np.ndarray:
+    """The stable order of numbers below ``kinds``, by 16 bits at a time, which numpy deals out without comparing."""
+    order = np.argsort((symbols & 0xFFFF).astype(np.uint16), kind="stable")
+    if kinds > 1 << 16:
+        order = order[np.argsort((symbols >> 16).astype(np.uint16)[order], kind="stable")]
+    return order
+
+
+def merge(shards: list[np.ndarray], depth: int, step: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """The interleave of the shards' transforms, and the common prefix of each suffix with the one before it.
 
-    The interleave names the shard of every suffix of the whole in order; common prefixes count up to ``depth``. In a
-    round, each shard's symbols are read in the order found so far and dealt out stably by symbol: that orders all
-    suffixes by one symbol more, as the symbol stands before a suffix whose place is known. Two neighbours part in the
-    round in which they begin with different symbols or went on with suffixes that had parted. Ends of strings differ.
+    The interleave names the shard of every suffix of the whole in order; common prefixes count up to ``depth`` in whole
+    steps. In a round, each shard's symbols are read in the order found so far and dealt out stably by symbol: that orders
+    all suffixes by ``step`` symbols more, as these stand before a suffix whose place is known. Two neighbours part in
+    the round in which they begin with different symbols or went on with suffixes that had parted. Ends of strings differ.
     """
-    total = sum(map(len, shards))
-    interleave = np.repeat(np.arange(len(shards), dtype=np.int16), [len(s) for s in shards])
+    total, cuts = sum(map(len, shards)), np.cumsum([len(s) for s in shards])[:-1]
+    used, names = np.unique(np.concatenate(shards), return_inverse=True)
+    shards = np.split(names.astype(np.int32), cuts)
+    ends = np.zeros(len(used), bool)
+    for k in range(step):
+        ends |= used // BASE**k % BASE == 0
+    interleave = np.repeat(np.arange(len(shards), dtype=np.uint8 if len(shards) <= 256 else np.int32), [len(s) for s in shards])
     prefix = np.full(total, depth, np.int16)
     group = np.zeros(total, np.int32)
     parted = np.zeros(total, bool)
-    symbols = np.empty(total, np.int16)
-    for n in range(depth):
+    symbols = np.empty(total, np.int32)
+    for n in range(0, depth, step):
         if len(shards) == 1:
             symbols = shards[0]
         else:
             for k, shard in enumerate(shards):
                 symbols[interleave == k] = shard
-        deal = np.argsort(symbols, kind="stable")
+        deal = _dealt(symbols, len(used))
         symbol, before = symbols[deal], group[deal]
         interleave = interleave[deal]
-        edge = np.ones(total, bool)
-        edge[1:] = (symbol[1:] != symbol[:-1]) | (before[1:] != before[:-1]) | (symbol[1:] == 0)
+        edge = ends[symbol]
+        edge[0] = True
+        edge[1:] |= (symbol[1:] != symbol[:-1]) | (before[1:] != before[:-1])
         prefix[edge & ~parted] = n
         parted |= edge
         group = np.cumsum(parted, dtype=np.int32)

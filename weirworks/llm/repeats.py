@@ -32,6 +32,7 @@ FLUSH_BYTES, CHUNK_BYTES, PART_BYTES = 8 << 20, 1 << 20, 6 << 20
 BUCKET_PIECES, SHARD_PIECES, MANY = 12_000, 3_000, 2_048
 SAMPLE, CROWDS = 32, 1_000_000  # one row in SAMPLE is counted; anchors that are sent apart at most
 WIDTH = 19  # bytes of a packed piece
+STEP = 5  # symbols by which a round of the merge refines the order; WINDOW is a multiple
 MARKS = "doc_id long, text_id long, lo array<int>, hi array<int>, bucket array<long>"
 # Of crowded anchors (bucket -1) the anchor and the hash of the whole piece too.
 COMPARED = MARKS + ", anchor array<long>, whole array<long>"
@@ -229,10 +230,10 @@ def repeated_strings(strings: list[bytes], doc: np.ndarray) -> tuple[np.ndarray,
     shards, places = [], []
     for at in range(0, len(strings), SHARD_PIECES):
         data, number, place = bwt.collection(strings[at : at + SHARD_PIECES])
-        symbols, order = bwt.transform(data, number)
+        symbols, order = bwt.transform(data, number, STEP)
         shards.append(symbols)
         places.append((number[order] + at, place[order]))
-    interleave, prefix = bwt.merge(shards, WINDOW)
+    interleave, prefix = bwt.merge(shards, WINDOW, STEP)
     number, place = np.empty(len(interleave), np.int64), np.empty(len(interleave), np.int64)
     for n, (a, b) in enumerate(places):
         here = interleave == n
