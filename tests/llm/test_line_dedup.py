@@ -69,3 +69,37 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert by_id[3][1:] == (None, 1, 0)  # a null text is one empty line and stays null
     assert by_id[None][3] == 1  # rows without an id come last
     assert out.count() == 10 and dedup_lines(no_docs).count() == 0
+
+
+def test_the_query_asks_the_filters(spark, small_docs, monkeypatch):  # noqa: F811
+    made = []
+    insert = LineIndex.insert
+    monkeypatch.setattr(LineIndex, "insert", lambda self, *a, **k: made.append(self) or insert(self, *a, **k))
+    dedup_lines(small_docs).count()
+    index = made[0]
+    found = index._answers()
+    asked = found.where("made > 0")
+    assert len(made) == 3 and asked.count() > 0.5 * found.count()
+    # What the filters of earlier batches know is what those batches hold, but for a few in thousands.
+    earlier = found.alias("a").join(found.alias("b"), "key").where("a.made > b.made").select("key", "a.made").distinct()
+    known = asked.where("known").select("key", "made")
+    assert earlier.count() > 0 and earlier.exceptAll(known).count() == 0
+    assert known.count() <= earlier.count() + 0.01 * asked.count()
+
+
+def test_shards_grow_with_the_batches(spark, monkeypatch):
+    """A small first load does not bind later batches to its one shard; deletions still find every filter."""
+    monkeypatch.setattr("weirworks.llm.line_dedup.KEYS_PER_SHARD", 40)
+    frame = lambda d: spark.createDataFrame(d, "doc_id long, text string")
+    docs = [(i, f"the line that is number {i % 150}\nand of its own {i} {i}") for i in range(300)]
+    index = LineIndex(spark, scratch_path(spark, "grow"))
+    for first, last in ((290, 300), (0, 120), (120, 290)):
+        index.insert(frame(docs[first:last]))
+    shards = {(r.made, r.shards) for r in index._filters().select("made", "shards").distinct().collect()}
+    assert shards == {(0, 1), (1, 8), (2, 16)}
+    assert index._answers().groupBy("shards", "shard").count().agg({"count": "max"}).first()[0] <= 80
+    assert sorted(rows(index.clean(frame(docs)))) == brute(docs)
+    index.delete(frame(docs[:100]))
+    assert sorted(rows(index.clean(frame(docs[100:])))) == brute(docs[100:])
+    index.insert(frame(docs[:50]))
+    assert sorted(rows(index.clean(frame(docs[:50] + docs[100:])))) == brute(docs[:50] + docs[100:])

@@ -21,7 +21,8 @@ from weirworks.session import scratch_path
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_CHARS = 10
 KEYS_PER_SHARD = 200_000
-FOUND = "key binary, refs long, first_doc long, last_doc long, known boolean, shard int, slots binary"
+BATCHES = 3  # in which a whole corpus is taken in, so that all but the first ask the filters
+FOUND = "key binary, refs long, first_doc long, last_doc long, known boolean, made int, shards int, shard int, slots binary"
 
 
 def line_key(line: Column) -> Column:
@@ -46,20 +47,21 @@ class LineIndex:
     points are never dropped. A key is its MD5 digest. Steps write new files only and a batch counts once all its
     tables are there, so a job that dies can be run again.
 
-    ``expected_keys`` fixes the number of shards, so that the keys a batch adds to a shard fit one task. Without it,
-    the first batch is counted.
+    Every batch is counted and cut into so many shards that the keys of one fit a task, a power of two and never fewer
+    than before; ``expected_keys`` sets the least number. The filters of a batch keep its number of shards: a later batch with more
+    shards asks each of them from several tasks.
     """
 
     def __init__(self, spark: SparkSession, root: str, min_chars: int = MIN_CHARS, expected_keys: int | None = None):
         self.spark, self.root, self.min_chars = spark, root.rstrip("/"), min_chars
-        self.shards = None if expected_keys is None else self._shards_for(expected_keys)
+        self.shards = self._shards_for(expected_keys or 1)
         self.batches: list[int] = []
         self.deletions: list[int] = []
         self.filter_steps: list[int] = []
 
     @staticmethod
     def _shards_for(keys: int) -> int:
-        return max(1, -(-keys // KEYS_PER_SHARD))
+        return 1 << max(0, -(-keys // KEYS_PER_SHARD) - 1).bit_length()
 
     def _read(self, name: str, steps: list[int]) -> DataFrame:
         return reduce(
@@ -75,10 +77,11 @@ class LineIndex:
         return self._read("filters", self.filter_steps).where("slots IS NULL").drop("step")
 
     def _filters(self) -> DataFrame:
-        return self._read("filters", self.filter_steps).where("slots IS NOT NULL").select("shard", "slots")
+        return self._read("filters", self.filter_steps).where("slots IS NOT NULL").select("made", "shards", "shard", "slots")
 
-    def _shard(self) -> Column:
-        return F.pmod(F.xxhash64("key"), F.lit(self.shards)).cast("int")
+    @staticmethod
+    def _shard(shards: Column) -> Column:
+        return F.pmod(F.xxhash64("key"), shards).cast("int")
 
     def live(self) -> DataFrame:
         """References (doc_id, key) of the documents that were not deleted after they came in."""
@@ -97,13 +100,16 @@ class LineIndex:
         keyed = docs.select(number.alias("doc_id"), F.explode(long_lines).alias("key"))
         keyed.withColumn("key", _digest(F.col("key"))).write.parquet(f"{self.root}/lines/{step}")
         batch = self.spark.read.parquet(f"{self.root}/lines/{step}")
-        if self.shards is None:
-            self.shards = self._shards_for(batch.count())
         # One row per key of the batch: a line that a third of all documents share is summed before it moves.
         keys = batch.groupBy("key").agg(F.count("*").alias("refs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-        keys = keys.withColumn("shard", self._shard())
+        self.shards = max(self.shards, self._shards_for(batch.count()))
+        shards = F.lit(self.shards)
+        keys = keys.withColumn("made", F.lit(step)).withColumn("shards", shards).withColumn("shard", self._shard(shards))
         if self.batches:
-            probed = keys.groupBy("shard").cogroup(self._filters().groupBy("shard")).applyInPandas(_probe, FOUND)
+            # Keys of a shard have the same remainder by any smaller power of two, so they ask one shard of each filter.
+            tasks = F.sequence(F.col("shard"), shards - 1, F.col("shards"))
+            asked = self._filters().withColumn("shard", F.explode(tasks))
+            probed = keys.groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(_probe, FOUND)
         else:
             probed = keys.groupBy("shard").applyInPandas(_first_filter, FOUND)
         probed.write.parquet(f"{self.root}/filters/{step}")
@@ -114,9 +120,6 @@ class LineIndex:
         """Keys of at least two live documents: key, refs, first_doc."""
         found = self._answers()
         # A key seen in one document only, and unknown to the filters of all earlier batches, needs no look-up.
-        if len(self.batches) == 1 and not self.deletions:
-            exact = found.where("first_doc < last_doc")
-            return exact.select("key", "refs", "first_doc")
         asked = found.where("known OR first_doc < last_doc").select("key").distinct()
         refs = self.live().join(asked, "key", "left_semi")
         counts = refs.groupBy("key").agg(F.count("*").alias("refs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
@@ -132,10 +135,17 @@ class LineIndex:
         touched = before.join(gone, "doc_id", "left_semi").select("key").distinct()
         self.deletions.append(step)
         held = self.live().join(touched, "key", "left_semi").select("key").distinct()
-        lost = touched.join(held, "key", "left_anti").withColumn("shard", self._shard())
+        lost = touched.join(held, "key", "left_anti")
         answers, filters = self._answers(), self._filters()
-        kept = lost.groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(_forget, "shard int, slots binary")
-        kept = kept.select(*[F.lit(None).cast(t).alias(c) for c, t in answers.dtypes if c not in kept.columns], "shard", "slots")
+        # Each filter is asked by itself; where exactly one of all answers to a key, that one loses it.
+        sizes = F.array(*[F.lit(1 << n) for n in range(self.shards.bit_length())])
+        spread = lost.withColumn("shards", F.explode(sizes)).withColumn("shard", self._shard(F.col("shards")))
+        by = ("shards", "shard")
+        hits = spread.groupBy(*by).cogroup(filters.groupBy(*by)).applyInPandas(_holders, "key binary, made int, shards int, shard int")
+        one = hits.groupBy("key").agg(F.count("*").alias("n"), F.first(F.struct("made", *by)).alias("in")).where("n = 1")
+        kept = one.select("key", "in.*").groupBy("made", *by).cogroup(filters.groupBy("made", *by)).applyInPandas(_forget, "made int, shards int, shard int, slots binary")
+        names = ("made", "shards", "shard", "slots")
+        kept = kept.select(*[F.lit(None).cast(t).alias(c) for c, t in answers.dtypes if c not in names], *names)
         answers.unionByName(kept).write.parquet(f"{self.root}/filters/{step}")
         self.filter_steps = [step]  # this table replaces the earlier ones
 
@@ -165,12 +175,14 @@ class LineIndex:
 
 
 def _rows(keys: pd.DataFrame, known: np.ndarray, made: CuckooFilter | None) -> pd.DataFrame:
-    out = keys[["key", "refs", "first_doc", "last_doc", "shard"]].copy()
+    out = keys[["key", "refs", "first_doc", "last_doc", "made", "shards", "shard"]].copy()
     out["known"], out["slots"] = known, None
     if made is not None:
-        last = {"key": None, "refs": None, "first_doc": None, "last_doc": None, "known": None, "shard": keys["shard"].iloc[0], "slots": made.to_bytes()}
+        first = keys.iloc[0]
+        last = {"key": None, "refs": None, "first_doc": None, "last_doc": None, "known": None, "slots": made.to_bytes()}
+        last |= {c: first[c] for c in ("made", "shards", "shard")}
         out = pd.concat([out.astype(object), pd.DataFrame([last], dtype=object)])
-    return out[["key", "refs", "first_doc", "last_doc", "known", "shard", "slots"]]
+    return out[[c.split()[0] for c in FOUND.split(", ")]]
 
 
 def _first_filter(keys: pd.DataFrame) -> pd.DataFrame:
@@ -188,22 +200,40 @@ def _probe(keys: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
     return _rows(keys, known, filled(hashes[~known]) if not known.all() else None)
 
 
+def _holders(lost: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
+    """The filters of one shard that answer to the lost keys: a row per key and filter."""
+    hashes = _number(lost["key"]) if len(lost) else np.array([], np.uint64)
+    parts = [
+        lost[CuckooFilter.from_bytes(slots).has(hashes)][["key"]].assign(made=made, shards=shards, shard=shard)
+        for made, shards, shard, slots in zip(*(filters[c] for c in ("made", "shards", "shard", "slots")), strict=True)
+        if len(hashes)
+    ]
+    return pd.concat(parts) if parts else pd.DataFrame({"key": [], "made": [], "shards": [], "shard": []})
+
+
 def _forget(lost: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
-    """The shard's filters without the lost keys.
+    """One filter without the keys that only it answers to.
 
-    A key is taken out where exactly one filter answers to it. Where several do it cannot be told which one holds
-    it, so it stays: an entry too many costs a look-up, an entry too few would lose a line.
+    Where several filters answer it cannot be told which one holds the key, so it stays: an entry too many costs a look-up,
+    an entry too few would lose a line.
     """
+    if not len(lost):
+        return filters
     made = [CuckooFilter.from_bytes(s) for s in filters["slots"]]
-    hashes = _number(lost["key"]) if len(lost) else np.array([], np.uint64)
-    answers = np.array([f.has(hashes) for f in made]).reshape(len(made), len(hashes))
-    for f, hit in zip(made, answers, strict=True):
-        f.remove(hashes[hit & (answers.sum(axis=0) == 1)])
-    return pd.DataFrame({"shard": filters["shard"], "slots": [f.to_bytes() for f in made]})
+    for f in made:
+        f.remove(_number(lost["key"]))
+    return filters.assign(slots=[f.to_bytes() for f in made])
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, counts: tuple[str, str] | None = None) -> DataFrame:
-    """``docs`` without the lines that an earlier one of them holds too, through a new index in the scratch folder."""
+    """``docs`` without the lines that an earlier one of them holds too, through a new index in the scratch folder.
+
+    They are taken in by BATCHES batches, dealt by a hash of the id (rows without one are in the first); all but the first
+    ask the filters of those before, and only keys that a filter knows or two documents share are looked up.
+    """
     index = LineIndex(docs.sparkSession, scratch_path(docs.sparkSession, "lines"), min_chars)
-    index.insert(docs, doc_id, text)
+    known = col(docs, doc_id)
+    batch = F.when(known.isNull(), 0).otherwise(F.pmod(F.xxhash64(known), F.lit(BATCHES)))
+    for n in range(BATCHES):
+        index.insert(docs.where(batch == n), doc_id, text)
     return index.clean(docs, doc_id, text, counts)
