@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from conftest import plan, rows
@@ -96,6 +97,27 @@ def test_as_of_join_against_brute_force(spark):
     assert got == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("or_equal", [True, False])
+def test_as_of_any_instant_against_brute_force(spark, or_equal):
+    """A hot key over several ranges, several rows an instant, null keys and times, names that clash."""
+    luck = random.Random(3)
+    t0 = dt.datetime(2024, 1, 1)
+    time = lambda: None if luck.random() < 0.02 else t0 + dt.timedelta(minutes=luck.randrange(400))
+    key = lambda: luck.choice([1, 1, 1, 1, 2, 3, None])
+    left = [(key(), time(), n) for n in range(300)]
+    right = [(key(), time(), luck.choice([None, n % 7])) for n in range(200)]
+    l_df, r_df = spark.createDataFrame(left, "k int, t timestamp_ntz, `_row` int"), spark.createDataFrame(right, "k int, `at.x` timestamp_ntz, v int")
+    got = rows(joins.latest_at(l_df, r_df, ["k"], "t", "at.x", ["v"], or_equal=or_equal, pieces=7))
+    want = []
+    for k, t, n in left:
+        held = [(at, v is not None, v) for rk, at, v in right if None not in (k, t, at) and rk == k and (at < t or or_equal and at == t)]
+        best = max(held) if held else (None, None, None)
+        want.append((k, t, n, best[0], best[2]))
+    assert got == sorted(want, key=repr)
+    assert joins.latest_at(l_df.limit(0), r_df, ["k"], "t", "at.x", ["v"]).count() == 0
+    assert joins.latest_at(l_df, r_df.limit(0), ["k"], "t", "at.x", ["v"]).where("v IS NOT NULL").count() == 0
+
+
 def test_previous_row_against_brute_force(spark, lopsided):
     data = lopsided.withColumn("v", F.when(F.col("id") % 5 > 0, F.col("id") * 2))
     got = {r.id: (r.prev_v, r.has_prev) for r in with_previous(data, ["k"], ["id"], ["v"], pieces=6).collect()}

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weirworks.operators.ordered import top_per_key
+from weirworks.operators.ordered import PIECE, in_pieces, top_per_key
 from weirworks.session import cut_lineage
 
 # Join types a join step may name, and Spark's name for each.
@@ -212,3 +212,49 @@ def latest_before(
     dated = left.withColumn("_day", F.to_date(left_time))
     out = join_unique(dated, answered, [*keys, "_day"])
     return out.select(*[F.col(f"`{c}`") for c in left.columns], *[F.col(f"_found.{c}") for c in [right_time, *columns]])
+
+
+def latest_at(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    left_time: str,
+    right_time: str,
+    columns: Sequence[str],
+    *,
+    or_equal: bool = True,
+    pieces: int | None = None,
+) -> DataFrame:
+    """As-of join at any instant: each left row with the last right row of its key at its time or before it.
+
+    Of right rows at one instant the one with the largest ``columns`` counts; ``or_equal=False`` leaves rows at the very
+    instant out. Both sides are put in one order of key and time, cut into ranges; each range is gone through once, and
+    the last right row of each range is carried to those behind it. So a key of any size takes many tasks, and no
+    pairs are formed. Both inputs are computed once. A NULL key or time finds nothing and is found by nothing.
+    """
+    names, keys = list(keys), [f"_k{n}" for n in range(len(keys))]
+    taken = [F.col(f"`{c}`").alias(k) for c, k in zip(names, keys, strict=True)]
+    # At one instant a question comes behind the rows that may answer it.
+    asks, says = (1, 0) if or_equal else (0, 1)
+    value = F.struct(F.col(f"`{right_time}`").alias("c0"), *[F.col(f"`{c}`").alias(f"c{n + 1}") for n, c in enumerate(columns)])
+    known = reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in [*names, right_time]])
+    rows = F.struct(*[F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate(left.columns)])
+    questions = left.select(*taken, F.col(f"`{left_time}`").alias("_t"), F.lit(asks).alias("_side"), rows.alias("_row"))
+    answers = right.where(known).select(*taken, F.col(f"`{right_time}`").alias("_t"), F.lit(says).alias("_side"), value.alias("_value"))
+    both = cut_lineage(questions.unionByName(answers, allowMissingColumns=True))
+
+    by = [*keys, "_t", "_side", "_value"]
+    cut, n = in_pieces(both, by, pieces)
+    here = Window.partitionBy(PIECE, *keys).orderBy("_t", "_side", "_value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = cut.repartitionById(n, F.col(PIECE)).withColumn("_last", F.last("_value", ignorenulls=True).over(here))
+    # One row per range: its last right row. Behind it, only rows of the same key may use it.
+    tail = F.max_by(F.struct(*keys, "_value"), F.when(F.col("_value").isNotNull(), F.struct(*by)))
+    tails = cut.groupBy(PIECE).agg(tail.alias("_tail"))
+    before = Window.orderBy(PIECE).rowsBetween(Window.unboundedPreceding, -1)
+    heads = tails.select(PIECE, F.last("_tail", ignorenulls=True).over(before).alias("_head"))
+    out = local.where(F.col("_row").isNotNull()).join(F.broadcast(heads), PIECE, "left")
+    same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_head.{k}") for k in keys])
+    found = F.when(F.col("_t").isNotNull(), F.coalesce("_last", F.when(same, F.col("_head._value"))))
+    out = out.select("_row", found.alias("_found"))
+    mine = [F.col(f"_row.c{n}").alias(c) for n, c in enumerate(left.columns)]
+    return out.select(*mine, *[F.col(f"_found.c{n}").alias(c) for n, c in enumerate([right_time, *columns])])

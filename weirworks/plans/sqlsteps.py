@@ -210,6 +210,19 @@ def sql_asof_join(d: Data) -> DataFrame:
     return joins.latest_before(shipped, ordered, ["key"], "l_shipdate", "o_orderdate", ["o_orderkey"])
 
 
+@query(
+    "sql_asof_instant",
+    """WITH clicks AS (SELECT user_id, ts AS clicked_at, max(event_id) AS click_id FROM events WHERE event_type = 'click' GROUP BY ALL)
+       SELECT e.event_id, e.user_id, e.ts, c.clicked_at, c.click_id FROM (SELECT * FROM events WHERE event_type = 'purchase') e
+       ASOF LEFT JOIN clicks c ON e.user_id = c.user_id AND e.ts >= c.clicked_at""",
+)
+def sql_asof_instant(d: Data) -> DataFrame:
+    """Every purchase with the user's last click, however many of both fall on a day."""
+    bought = d.events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    clicks = d.events.where("event_type = 'click'").select("user_id", F.col("ts").alias("clicked_at"), F.col("event_id").alias("click_id"))
+    return joins.latest_at(bought, clicks, ["user_id"], "ts", "clicked_at", ["click_id"])
+
+
 _sql_query(
     "sql_string_functions",
     """SELECT p_partkey, upper(p_name) AS up, length(p_name) AS len, substr(p_name, 1, 3) AS head, replace(p_brand, 'Brand#', 'B') AS brand,
