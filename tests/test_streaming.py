@@ -4,7 +4,8 @@ import json
 from conftest import rows
 from pyspark.sql import functions as F
 
-from weirworks.streaming import events, flow, state, windows
+from weirworks.functions import signatures as sig
+from weirworks.streaming import events, flow, followed, state, windows
 
 T0 = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
 
@@ -111,3 +112,23 @@ def test_session_edge_is_the_same_as_in_the_window(spark):
     df = spark.createDataFrame([(1, T0), (1, T0 + dt.timedelta(minutes=10)), (1, T0 + dt.timedelta(minutes=25))], "u int, ts timestamp")
     want = df.groupBy("u", F.session_window("ts", "10 minutes").alias("s")).agg(F.count(F.lit(1)).alias("n")).select("u", "s.start", "s.end", "n")
     assert rows(windows.session_table(df, ["u"], "ts", 600)) == rows(want)
+
+
+def test_exclusions_hold_for_the_whole_run(spark, tmp_path):
+    """A later batch excludes what an earlier line met; silence ends a run, by a timer or by its next line."""
+    rules = [sig.Signature("exit", "exit code 1", 0.5, "", "", unless="no space"), sig.Signature("slow", "throttl", 0.5, "", "")]
+    src, out, mark = (str(tmp_path / n) for n in ("src", "out", "mark"))
+    at = lambda minutes: T0 + dt.timedelta(minutes=minutes)
+    batches = [
+        [("a", at(0), 1, "Exit code 1"), ("a", at(1), 2, "THROTTLED"), ("b", at(0), 3, "exit code 1"), (None, at(0), 4, "exit code 1"), ("c", at(2), 5, None)],
+        [("a", at(5), 6, "No space left"), ("a", at(4), 7, "throttled again"), ("b", at(100), 8, "exit code 1"), ("b", at(101), 9, "no space")],
+        [("z", at(500), 10, "quiet")],
+    ]
+    schema = "run_id string, ts timestamp, event_id bigint, line string"
+    for batch in batches:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
+        found = followed.run_signatures(flow.source(spark, "parquet", schema=schema, path=src, files_per_batch=1), 30 * 60, "10 minutes", rules=rules)
+        flow.load_new(found, out, mark)
+    got = spark.read.schema(found.schema).parquet(out)
+    assert rows(got.select("run_id", "id", "event_id")) == [("a", "slow", 2), ("b", "exit", 3)]
+    assert {(r.run_id, r.opened) for r in got.select("run_id", F.unix_seconds("opened").alias("opened")).collect()} == {(r, int(T0.timestamp())) for r in "ab"}

@@ -11,7 +11,7 @@ from weirworks.operators import logs
 from weirworks.plans.observe import RULES_SQL
 from weirworks.plans.registry import Data, query
 from weirworks.session import scratch_path
-from weirworks.streaming import events, flow, state, windows
+from weirworks.streaming import events, flow, followed, state, windows
 
 
 def _drained(d: Data, stream: DataFrame, name: str) -> DataFrame:
@@ -186,6 +186,31 @@ def stream_log_follow(d: Data) -> DataFrame:
     return _drained(d, hits.select("event_id", "run_id", named.alias("id")), "followed")
 
 
+@query(
+    "stream_log_follow_runs",
+    f"""WITH e AS (SELECT run_id, ts, event_id, regexp_replace(message, '\\bo[0-9]{{2,}}\\b', 'o…', 'g') AS line,
+           CASE WHEN ts - lag(ts) OVER w > INTERVAL '6' HOUR THEN 1 ELSE 0 END AS opens FROM logs
+           WHERE NOT ends_with(stream, '-progress-bar') AND NOT contains(stream, 'job-insights') WINDOW w AS (PARTITION BY run_id ORDER BY ts, event_id)),
+         s AS (SELECT *, sum(opens) OVER (PARTITION BY run_id ORDER BY ts, event_id) AS no FROM e),
+         over AS (SELECT run_id, no, min(ts) AS opened, max(ts) + INTERVAL '6' HOUR AS idle_at, lead(no) OVER (PARTITION BY run_id ORDER BY no) AS later FROM s GROUP BY run_id, no),
+         r AS (SELECT * FROM (VALUES {RULES_SQL}) r(no, id, pattern, unless, confidence)),
+         hits AS (SELECT run_id, s.no, id, min((ts, event_id)) AS first FROM s JOIN r ON regexp_matches(line, pattern, 'i') GROUP BY ALL),
+         excluded AS (SELECT DISTINCT run_id, s.no, id FROM s JOIN r ON unless IS NOT NULL AND regexp_matches(line, unless, 'i'))
+       SELECT o.run_id, opened, id, first[2] AS event_id, first[1] AS at FROM hits h JOIN over o ON o.run_id = h.run_id AND o.no = h.no
+       WHERE (later IS NOT NULL OR idle_at {CLOSED}) AND NOT EXISTS (SELECT 1 FROM excluded x WHERE x.run_id = h.run_id AND x.no = h.no AND x.id = h.id)""",
+    "logs",
+)
+def stream_log_follow_runs(d: Data) -> DataFrame:
+    """A run is over after six silent hours; only then is it known what excludes what."""
+    home = scratch_path(d.spark, "followed-lines")
+    lines = d.logs.coalesce(1)
+    lines.write.parquet(home)
+    stream = logs.console_lines(flow.source(d.spark, "parquet", schema=lines.schema, path=home))
+    text = F.regexp_replace("message", sig.HANDLE, sig.HANDLE_MARK)
+    found = followed.run_signatures(stream.select("run_id", "ts", "event_id", text.alias("line")), 6 * 3600, "1 hour")
+    return _ntz(_drained(d, found, "followed-runs"), "opened", "at")
+
+
 @query(
     "stream_incremental_load",
     """SELECT o_orderstatus, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM orders GROUP BY o_orderstatus""",
