@@ -1,3 +1,4 @@
+import os
 import re
 
 import pytest
@@ -9,6 +10,7 @@ from weirworks.functions import entities as ent
 from weirworks.operators import audit, custom, quality, sampling, sensitive
 from weirworks.sinks import spigot, write_files, write_with_receipt
 from weirworks.sources import Bookmark, by_extension, csv, jdbc
+from weirworks.sources.files import path_steps, select_variant_path
 from weirworks.sources import json as read_json
 from weirworks.types import schema_of
 
@@ -163,8 +165,6 @@ def test_bookmark_reads_each_file_once_and_rewritten_ones_again(spark, tmp_path)
     second.commit()
     empty = mark.read([drop], "id bigint", pattern="*.parquet")
     assert empty.frame.columns == ["id"] and empty.frame.count() == 0
-    import os
-
     some = next(f for f in (tmp_path / "drop").iterdir() if f.name.endswith(".parquet"))
     os.utime(some, (1_900_000_000, 1_900_000_000))
     assert mark.read([drop], "id bigint", pattern="*.parquet").frame.count() in (2, 3)
@@ -228,3 +228,52 @@ def test_preview_bounds(people):
     assert audit.preview(people, 2, ["v"]).count() == 2
     with pytest.raises(ValueError):
         audit.preview(people, 501)
+
+
+def test_bookmark_over_many_files(spark, tmp_path):
+    """5,000 files read before are left out by their time; of files as new as the new ones, those read before by name."""
+    drop, mark = tmp_path / "many files", Bookmark(spark, str(tmp_path / "mark"))
+    drop.mkdir()
+    for n in range(5_000):
+        (drop / f"{n}.json").write_text(f'{{"id": {n}}}\n')
+        os.utime(drop / f"{n}.json", (1_600_000_000 + n, 1_600_000_000 + n))
+    first = mark.read([str(drop)], "id bigint", fmt="json", pattern="*.json")
+    assert first.frame.count() == 5_000
+    first.commit()
+    for n in (5_000, 5_001):
+        (drop / f"{n}.json").write_text(f'{{"id": {n}}}\n')
+        os.utime(drop / f"{n}.json", (1_600_004_999, 1_600_004_999))
+    second = mark.read([str(drop)], "id bigint", fmt="json", pattern="*.json")
+    assert rows(second.frame) == [(5_000,), (5_001,)]
+    assert len(second.frame.inputFiles()) <= 10
+    second.commit()
+    assert mark.read([str(drop)], "id bigint", fmt="json", pattern="*.json").frame.count() == 0
+
+
+def test_json_paths(spark):
+    assert path_steps("""$.a['b.c']["d'e"][3][*].f""") == ["a", "b.c", "d'e", 3, None, "f"]
+    assert path_steps("$") == [] and path_steps("a.b") == ["a", "b"]
+    with pytest.raises(ValueError, match="cannot read"):
+        path_steps("$.a[x]")
+    texts = ['{"a": [{"n": 1, "s": "x", "l": [1, 2]}, {"n": "no"}, null, 7]}', '{"a": {"n": 2}}', '{"b": 1}', "not json", "", None]
+    df = spark.createDataFrame([(t, 1) for t in texts], "value string, node int")
+    kind = "n int, s string, l array<int>"
+    assert rows(select_variant_path(df, "value", "$.a[*]", kind)) == sorted([(1, "x", [1, 2]), (None, None, None), (None, None, None)], key=repr)
+    assert rows(select_variant_path(df, "value", "$.a[0]", kind)) == [(1, "x", [1, 2])]
+    assert rows(select_variant_path(df, "value", "$.a[0].l[*]", "value int")) == [(1,), (2,)]
+    assert select_variant_path(df.limit(0), "value", "$.a[*]", kind).count() == 0
+
+
+def test_heavy_keys_by_sketch(spark):
+    """Two heavy keys among 30,000: found by a sketch that tracks 1,000, counted exactly; an even table is counted in full."""
+    data = spark.range(60_000).select(
+        F.when(F.col("id") % 3 == 0, 1).when(F.col("id") % 7 == 0, None).otherwise(F.col("id") % 30_000 + 2).cast("int").alias("k"), F.lit("x").alias("a.b")
+    )
+    found, lost = audit.heavy_keys(data, ["k", "a.b"], 100, 1_000)
+    top = {r.k: r.rows for r in found.orderBy(F.desc("rows")).limit(2).collect()}
+    assert top == {r.k: r["count"] for r in data.where("k = 1 OR k IS NULL").groupBy("k").count().collect()}
+    assert 0 < lost < min(top.values())
+    assert [(r.k, r.rows) for r in audit.skew_report(data, ["k"], 2).collect()] == sorted(top.items(), key=lambda kv: -kv[1])
+    even = spark.range(20_000).select((F.col("id") % 10_000).alias("k"))
+    assert [(r.k, r.rows) for r in audit.skew_report(even, ["k"], 3).collect()] == [(0, 2), (1, 2), (2, 2)]
+    assert audit.skew_report(even.limit(0), ["k"]).count() == 0

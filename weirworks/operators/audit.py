@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weirworks.session import cut_lineage
 from weirworks.types import spark_type
 
 
@@ -19,9 +20,13 @@ def preview(df: DataFrame, rows: int = 50, order: Sequence[str] = ()) -> DataFra
     return (df.orderBy(*order) if order else df).limit(rows)
 
 
+def _columns(names: Sequence[str]) -> list[Column]:
+    return [F.col(f"`{c}`") for c in names]
+
+
 def key_histogram(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows per key with the key's share of all rows. The first aggregation leaves one row per key."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+    counts = df.groupBy(*_columns(keys)).agg(F.count(F.lit(1)).alias("rows"))
     total = counts.agg(F.sum("rows").alias("_all"))
     return counts.join(F.broadcast(total)).withColumn("share", F.col("rows") / F.col("_all")).drop("_all")
 
@@ -33,9 +38,41 @@ def hot_keys(df: DataFrame, keys: Sequence[str], share: float = 0.05) -> DataFra
     return key_histogram(df, keys).where(F.col("share") >= share)
 
 
+# Items that the sketch of heavy keys tracks, and candidates that are counted exactly.
+TRACKED, CANDIDATES = 50_000, 1_000
+
+
+def heavy_keys(df: DataFrame, keys: Sequence[str], candidates: int = CANDIDATES, tracked: int = TRACKED) -> tuple[DataFrame, int]:
+    """Exact counts of the keys that a mergeable sketch finds heaviest, and what any other key has at most.
+
+    The sketch keeps at most ``tracked`` keys per task, whatever the number of keys, and only sketches are shuffled. Its counts
+    are off by at most 3.5 in ``tracked`` rows, and it gives out keys that it knows to have more than that, so a key that
+    is not given out has at most twice as many, or the estimate of the last of the ``candidates``. These, few enough to
+    broadcast, are counted in a second pass.
+    """
+    name = F.to_json(F.struct(*[F.col(f"`{k}`").alias(f"k{n}") for n, k in enumerate(keys)]), {"ignoreNullFields": "false"})
+    named = df.withColumn("_key", name)
+    sketch = named.agg(F.expr(f"approx_top_k(_key, {candidates}, {tracked})").alias("top"), F.count(F.lit(1)).alias("rows")).first()
+    top = sketch["top"] or []
+    whole = sum(r["count"] for r in top) == sketch["rows"]
+    lost = 0 if whole else max(int(7 * sketch["rows"] / tracked) + 1, top[-1]["count"] if len(top) == candidates else 0)
+    listed = df.sparkSession.createDataFrame([(r["item"],) for r in top], "_key string")
+    found = named.join(F.broadcast(listed), "_key").groupBy(*_columns(keys)).agg(F.count(F.lit(1)).alias("rows"))
+    return found.withColumn("share", F.col("rows") / F.lit(sketch["rows"])), lost
+
+
 def skew_report(df: DataFrame, keys: Sequence[str], top: int = 10) -> DataFrame:
-    """The ``top`` heaviest keys."""
-    return key_histogram(df, keys).orderBy(F.desc("rows"), *keys).limit(top)
+    """The ``top`` heaviest keys, ties to the smaller key, with exact counts.
+
+    They come from a sketch whose candidates are counted. Where keys are so even that a lost one could belong to the
+    report, all keys are counted.
+    """
+    found, lost = heavy_keys(df, keys, max(CANDIDATES, 4 * top))
+    found = cut_lineage(found.orderBy(F.desc("rows"), *_columns(keys)).limit(top))
+    least = found.agg(F.min("rows"), F.count(F.lit(1))).first()
+    if lost and (least[1] < top or least[0] <= lost):
+        return key_histogram(df, keys).orderBy(F.desc("rows"), *_columns(keys)).limit(top)
+    return found.orderBy(F.desc("rows"), *_columns(keys))
 
 
 def cast_loss(df: DataFrame, casts: Sequence[tuple[str, str]]) -> DataFrame:

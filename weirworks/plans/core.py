@@ -57,6 +57,29 @@ def source_parquet(d: Data) -> DataFrame:
     return df.where("l_quantity > 45").select("l_orderkey", "l_linenumber", "l_shipdate")
 
 
+def _nested_orders(d: Data) -> str:
+    """Documents with names that need quotes, and pairs of orders of which one is picked by its place."""
+    out = scratch_path(d.spark, "orders-nested")
+    order = F.struct(F.col("o_orderkey").alias("order key"), F.col("o_totalprice").alias("total.price"), F.col("o_orderstatus").alias("status"))
+    late = F.struct(F.lit(-1).alias("order key"), F.lit("x").alias("status"))
+    pair = F.array(F.to_json(late), F.to_json(order))
+    d.orders.select(F.concat(F.lit('{"pay.load": {"orders": ['), F.array_join(pair, ", "), F.lit("]}}"))).write.text(out)
+    return out
+
+
+@query("source_json_index", "SELECT o_orderkey AS \"order key\", o_orderstatus AS status FROM orders")
+def source_json_index(d: Data) -> DataFrame:
+    return sources.json(d.spark, _nested_orders(d), json_path='$["pay.load"].orders[1]', row_schema="`order key` bigint, status string")
+
+
+@query(
+    "source_json_quoted",
+    """SELECT o_orderkey AS "order key", o_totalprice AS "total.price" FROM orders UNION ALL SELECT -1, NULL FROM orders""",
+)
+def source_json_quoted(d: Data) -> DataFrame:
+    return sources.json(d.spark, _nested_orders(d), json_path="$['pay.load']['orders'][*]", row_schema="`order key` bigint, `total.price` double")
+
+
 @query(
     "source_json_path",
     "SELECT o_orderkey AS key, o_orderstatus AS status, o_totalprice AS price FROM orders",

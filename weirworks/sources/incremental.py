@@ -48,7 +48,11 @@ class Bookmark:
             .option("recursiveFileLookup", True)
             .option("pathGlobFilter", pattern)
             .load(paths)
-            .select("path", F.col("modificationTime").alias("modified_at"), F.col("length").alias("size"))
+            .select(
+                F.col("_metadata.file_path").alias("path"),
+                F.col("_metadata.file_modification_time").alias("modified_at"),
+                F.col("_metadata.file_size").alias("size"),
+            )
         )
 
     def read(self, paths: list[str], schema: T.StructType | str, fmt: str = "parquet", pattern: str = "*", **options: str) -> Increment:
@@ -58,12 +62,19 @@ class Bookmark:
         fresh = self.listing(paths, pattern).join(self.consumed(), ["path", "modified_at"], "left_anti")
         fresh.withColumn("batch", F.lit(batch)).write.parquet(pending)
         files = self.spark.read.schema(STATE_SCHEMA).parquet(pending)
-        # File names only: the list Spark's own scan of these files keeps on the driver as well.
-        names = [r.path for r in files.select("path").toLocalIterator()]
-        if names:
-            frame = self.spark.read.format(fmt).options(**options).schema(schema).load(names)
-        else:
+        # The scan leaves out all files older than the oldest new one; of the others, rows of files read before are taken out
+        # by a join on the names, which so never pass through Python.
+        oldest = files.agg(F.min("modified_at").cast("timestamp_ntz").cast("string")).first()[0]
+        if oldest is None:
             frame = self.spark.createDataFrame([], schema)
+        else:
+            after = F.lit(oldest).cast("timestamp_ntz") - F.expr("INTERVAL 1 SECOND")
+            bound = self.spark.range(1).select(F.date_format(after, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).first()[0]
+            reader = self.spark.read.format(fmt).options(**options).schema(schema).option("recursiveFileLookup", True)
+            scan = reader.option("pathGlobFilter", pattern).option("modifiedAfter", bound).load(paths)
+            wanted = files.select(F.col("path").alias("_path"), F.col("modified_at").alias("_modified_at"))
+            named = scan.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_modification_time").alias("_modified_at"))
+            frame = named.join(wanted, ["_path", "_modified_at"], "left_semi").drop("_path", "_modified_at")
 
         def commit() -> None:
             files.write.mode("overwrite").parquet(f"{self.state_path}/consumed/{batch}")
