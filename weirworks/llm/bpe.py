@@ -25,8 +25,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 from weirworks.llm.common import arrow_slices, col, fresh
 
-# Entries remembered in a task, and the symbols from which on a fragment is merged by a heap.
-CHUNK_MEMORY, FRAGMENT_MEMORY, LONG = 300_000, 150_000, 48
+# Entries remembered in a worker (twice as many at most, as the last full memory is kept too), and the symbols from which on a fragment is merged by a heap.
+CHUNK_MEMORY, FRAGMENT_MEMORY, LONG = 150_000, 75_000, 48
 # White space to split() but not to the vocabulary's pattern.
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 
