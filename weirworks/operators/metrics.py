@@ -89,6 +89,43 @@ def resample(points: DataFrame, runs: DataFrame | None = None, now: Column | Non
     return slots.select("run_id", "metric", "stat", "period", "slot", value.alias("value"))
 
 
+def dashboard(points: DataFrame, runs: DataFrame, now: Column | None = None) -> DataFrame:
+    """Every series of every run, slot by slot, from points under the names they are recorded by.
+
+    ``points`` has (run_id, source, ts, value), ``runs`` (run_id, started_on, completed_on). A source feeds every series
+    that names it, so read bytes come out as a sum and as a number of samples; a source of no series is left out. A series that
+    has points has a row for each slot of its run's span, with a null value where nothing was recorded; one without points has none.
+    Result: run_id, id, label, unit, grouping, stat, period, slot, value. Points are summed per minute before they meet
+    the series, and the slots of a span are generated from its bounds.
+    """
+    clock = F.current_timestamp() if now is None else now.cast("timestamp")
+    start, end, spans = _spans(runs, clock)
+    spans = spans.select("run_id", start.alias("_from"), end.alias("_to"), _period(F.unix_seconds(end) - F.unix_seconds(start)).alias("period"))
+    inside = join_unique(points, spans.select("run_id", "_from", "_to"), ["run_id"])
+    inside = inside.where(F.col("ts").cast("timestamp").between(F.col("_from"), F.col("_to")))
+    minute = F.date_trunc("minute", F.col("ts").cast("timestamp")).alias("minute")
+    minutes = inside.groupBy("run_id", "source", minute).agg(
+        F.sum(F.col("value").cast("decimal(28,6)")).alias("s"), F.count("value").alias("n"), F.max("value").alias("m")
+    )
+    specs = F.broadcast(series_table(points.sparkSession))  # 14 rows
+    slot = F.timestamp_seconds(F.floor(F.unix_seconds("minute") / F.col("period")) * F.col("period"))
+    held = minutes.join(spans.select("run_id", "period"), "run_id").join(specs, "source")
+    held = held.groupBy("run_id", F.col("metric").alias("id"), "label", "unit", "grouping", "stat", "period", slot.alias("slot"))
+    held = held.agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.max("m").alias("m")).where("n > 0")
+    value = (
+        F.when(F.col("stat") == "Sum", F.col("s").cast("double"))
+        .when(F.col("stat") == "Average", F.col("s").cast("double") / F.col("n"))
+        .when(F.col("stat") == "Maximum", F.col("m"))
+        .otherwise(F.col("n").cast("double"))
+    )
+    names = ["run_id", "id", "label", "unit", "grouping", "stat", "period"]
+    found = held.select(*names, "slot", value.alias("value"))
+    first, last = (F.floor(F.unix_seconds(c) / F.col("period")) * F.col("period") for c in ("_from", "_to"))
+    spine = found.select(*names).distinct().join(spans.drop("period"), "run_id")
+    spine = spine.select(*names, F.explode(F.sequence(first, last, F.col("period").cast("long"))).alias("_at"))
+    return spine.withColumn("slot", F.timestamp_seconds("_at")).drop("_at").join(found, [*names, "slot"], "left")
+
+
 def available(points: DataFrame, run_id: str | None = None) -> DataFrame:
     """Names of the metrics that have points, per run or for one run, in order."""
     narrow = points.select("run_id", "metric") if run_id is None else points.where(F.col("run_id") == run_id).select("metric")

@@ -137,6 +137,37 @@ def metric_series(d: Data) -> DataFrame:
     return out.withColumn("slot", F.col("slot").cast("timestamp_ntz"))
 
 
+# Points under the names they are recorded by, of runs that each last some hours of their user's first day.
+RAW_POINTS = """SELECT concat('jr_', CAST(user_id AS VARCHAR(20))) AS run_id, ts, value, CASE event_type WHEN 'click' THEN 'glue.ALL.s3.filesystem.read_bytes'
+    WHEN 'view' THEN 'glue.driver.jvm.heap.usage' WHEN 'purchase' THEN 'glue.driver.ExecutorAllocationManager.executors.numberAllExecutors'
+    WHEN 'signup' THEN 'glue.driver.aggregate.numCompletedTasks' ELSE 'other.name' END AS source FROM events"""
+RAW_RUNS = """SELECT concat('jr_', CAST(user_id AS VARCHAR(20))) AS run_id, date_trunc('day', min(ts)) AS started_on,
+    date_trunc('day', min(ts)) + INTERVAL '1' HOUR * CAST(1 + user_id % 90 AS INTEGER) AS completed_on FROM events GROUP BY user_id"""
+
+
+@query(
+    "metric_dashboard",
+    f"""WITH points AS ({RAW_POINTS}), runs AS ({RAW_RUNS}),
+         spec AS (SELECT * FROM (VALUES {", ".join(str(s) for s in metrics.SERIES)}) t(id, source, kind, stat, label, unit, grouping)),
+         spans AS (SELECT run_id, epoch_us(started_on) // 1000000 - 60 AS lo, epoch_us(completed_on) // 1000000 + 120 AS hi FROM runs),
+         per AS (SELECT *, CASE WHEN greatest(60, hi - lo) <= 1800 THEN 60 WHEN greatest(60, hi - lo) <= 21600 THEN 300 ELSE 900 END AS period FROM spans),
+         held AS (SELECT p.run_id, id, label, unit, grouping, stat, period, (epoch_us(ts) // 1000000 // period) * period AS sec, value
+           FROM points p JOIN per r ON r.run_id = p.run_id AND epoch_us(ts) >= lo * 1000000 AND epoch_us(ts) <= hi * 1000000 JOIN spec s ON s.source = p.source),
+         found AS (SELECT run_id, id, label, unit, grouping, stat, period, sec, CASE stat WHEN 'Sum' THEN CAST(sum(CAST(value AS DECIMAL(28,6))) AS DOUBLE)
+             WHEN 'Average' THEN CAST(sum(CAST(value AS DECIMAL(28,6))) AS DOUBLE) / count(value) WHEN 'Maximum' THEN max(value) ELSE CAST(count(value) AS DOUBLE) END AS value
+           FROM held GROUP BY run_id, id, label, unit, grouping, stat, period, sec),
+         spine AS (SELECT DISTINCT f.run_id, id, label, unit, grouping, stat, f.period, unnest(range(lo // r.period, hi // r.period + 1)) * r.period AS sec
+           FROM (SELECT DISTINCT run_id, id, label, unit, grouping, stat, period FROM found) f JOIN per r ON r.run_id = f.run_id)
+       SELECT s.run_id, s.id, s.label, s.unit, s.grouping, s.stat, CAST(s.period AS INTEGER) AS period, make_timestamp(s.sec * 1000000) AS slot, value
+       FROM spine s LEFT JOIN found f ON f.run_id = s.run_id AND f.id = s.id AND f.sec = s.sec""",
+)
+def metric_dashboard(d: Data) -> DataFrame:
+    """Read bytes feed two series; empty slots stay, so a chart shows its gaps."""
+    d.events.createOrReplaceTempView("events")
+    out = metrics.dashboard(d.spark.sql(RAW_POINTS), d.spark.sql(RAW_RUNS))
+    return out.withColumn("slot", F.col("slot").cast("timestamp_ntz"))
+
+
 @query(
     "metric_series_of_runs",
     """WITH r AS (SELECT run_id, started_on - INTERVAL '60' SECOND AS lo, completed_on + INTERVAL '120' SECOND AS hi FROM (SELECT concat('jr_', user_id) AS run_id,
