@@ -277,3 +277,18 @@ def test_heavy_keys_by_sketch(spark):
     even = spark.range(20_000).select((F.col("id") % 10_000).alias("k"))
     assert [(r.k, r.rows) for r in audit.skew_report(even, ["k"], 3).collect()] == [(0, 2), (1, 2), (2, 2)]
     assert audit.skew_report(even.limit(0), ["k"]).count() == 0
+
+
+def test_low_sensitivity_needs_a_whole_word(spark):
+    texts = ["the ship at 10.0.0.1", "the IP 10.0.0.1", "ip:10.0.0.1", "hosts 10.0.0.1", "10.0.0.1 is a server"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    low = ent.managed("IP_ADDRESS", "LOW")
+    assert [r.n for r in df.select(ent.count(F.col("t"), low).alias("n")).collect()] == [0, 1, 1, 0, 1]
+    assert set(ent.PATTERNS) == set(ent.CONTEXT) and not any("@" in w for words in ent.CONTEXT.values() for w in words)
+
+
+def test_low_sensitivity_without_words_is_an_error(monkeypatch):
+    monkeypatch.delitem(ent.CONTEXT, "UK_VALUE_ADDED_TAX")
+    with pytest.raises(ValueError, match="no context words"):
+        ent.managed("UK_VALUE_ADDED_TAX", "LOW")
+    assert ent.managed("UK_VALUE_ADDED_TAX").context == ()

@@ -46,13 +46,26 @@ PATTERNS = {
 # What every match of a pattern contains; where nothing is listed, a digit.
 MARKERS = {"EMAIL": "@", "MAC_ADDRESS": "[:-]"}
 
-# Words one of which has to occur in the text when detection is set to LOW.
+# Words one of which has to occur in the text when detection is set to LOW, as whole words in any case.
 CONTEXT = {
-    "EMAIL": ("mail", "contact", "@"),
+    "EMAIL": ("mail", "e-mail", "email", "contact"),
     "CREDIT_CARD": ("card", "visa", "credit", "payment"),
     "IP_ADDRESS": ("ip", "host", "server", "address"),
+    "MAC_ADDRESS": ("mac", "ethernet", "device", "address"),
     "PHONE_NUMBER": ("phone", "tel", "call", "fax"),
     "USA_SSN": ("ssn", "social security"),
+    "USA_ITIN": ("itin", "taxpayer", "tax"),
+    "USA_DEA_NUMBER": ("dea", "prescriber"),
+    "USA_HCPCS_CODE": ("hcpcs", "procedure"),
+    "USA_NATIONAL_DRUG_CODE": ("ndc", "drug"),
+    "USA_MEDICARE_BENEFICIARY_IDENTIFIER": ("mbi", "medicare", "beneficiary"),
+    "UK_NATIONAL_INSURANCE_NUMBER": ("nino", "national insurance"),
+    "UK_BANK_SORT_CODE": ("sort code", "bank"),
+    "UK_NATIONAL_HEALTH_SERVICE_NUMBER": ("nhs", "health"),
+    "UK_VALUE_ADDED_TAX": ("vat", "value added tax"),
+    "UK_PHONE_NUMBER": ("phone", "tel", "call", "mobile"),
+    "CANADA_SIN": ("sin", "social insurance"),
+    "SPAIN_NIF_NIE": ("nif", "nie", "dni"),
 }
 
 
@@ -68,13 +81,15 @@ class Entity:
 
 
 def managed(name: str, sensitivity: str = "HIGH") -> Entity:
-    """A managed entity. LOW detection also asks for one of its context words."""
+    """A managed entity. LOW detection also asks for one of its context words, and cannot be had for an entity without any."""
     if name not in MANAGED:
         raise ValueError(f"unknown entity {name!r}")
     if name not in PATTERNS:
         raise ValueError(f"{name} has no public pattern: it needs a custom pattern")
     if sensitivity not in ("HIGH", "LOW"):
         raise ValueError("sensitivity is HIGH or LOW")
+    if sensitivity == "LOW" and not CONTEXT.get(name):
+        raise ValueError(f"{name} has no context words for LOW detection: give it some as a custom entity")
     return Entity(name, PATTERNS[name], CONTEXT.get(name, ()) if sensitivity == "LOW" else (), MARKERS.get(name, "[0-9]"))
 
 
@@ -100,10 +115,16 @@ def _compiles(df: DataFrame, pattern: str) -> None:
 
 
 def has_context(text: Column, entity: Entity) -> Column:
-    found = F.lit(False)
-    for word in entity.context:
-        found = found | F.lower(text).contains(word.lower())
-    return found if entity.context else F.lit(True)
+    return text.rlike(context_pattern(entity.context)) if entity.context else F.lit(True)
+
+
+def context_pattern(words: Sequence[str]) -> str:
+    """The words in any case, whole: where a word begins or ends with a letter or digit, no other may touch it."""
+
+    def whole(word: str) -> str:
+        return (r"\b" if word[0].isalnum() else "") + re.escape(word) + (r"\b" if word[-1].isalnum() else "")
+
+    return "(?i)" + "|".join(whole(w) for w in words)
 
 
 def possible(text: Column, entity: Entity) -> Column:

@@ -146,7 +146,7 @@ def synthetic_rows(
     """``n`` rows made from a schema, or one per row of ``numbers`` (a frame with a positive ``i`` column).
 
     A hint fixes the value of a column that is not numeric. ``casts`` names the type a text column will be
-    cast to later, so its text has that form.
+    cast to later, so its text has that form. Arrays have two elements, maps one entry, structs all their fields.
     """
     base = numbers if numbers is not None else spark.range(1, n + 1).withColumnRenamed("id", "i")
     i = F.col("i")
@@ -172,4 +172,11 @@ def _made_value(name: str, dtype: T.DataType, i: Column) -> Column:
     if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         day = F.format_string("2024-01-%02d", 1 + i % 28)
         return day if isinstance(dtype, T.DateType) else F.concat(day, F.lit(" 12:00:00"))
+    if isinstance(dtype, T.StructType):
+        return F.struct(*[_made_value(f.name, f.dataType, i).cast(f.dataType).alias(f.name) for f in dtype.fields])
+    if isinstance(dtype, T.ArrayType):
+        one = _made_value(name, dtype.elementType, i).cast(dtype.elementType)
+        return F.array(one, one)
+    if isinstance(dtype, T.MapType):
+        return F.create_map(_made_value("key", dtype.keyType, i).cast(dtype.keyType), _made_value("value", dtype.valueType, i).cast(dtype.valueType))
     return F.concat(F.lit(f"{name}-"), i.cast("string"))

@@ -145,14 +145,19 @@ def message_shapes(lines: DataFrame, column: str = "line") -> DataFrame:
 
 
 def scan_scripts(scripts: DataFrame) -> DataFrame:
-    """Migration findings ``(script, line, severity, title)`` over ``(script, text)`` rows."""
+    """Migration findings ``(script, line, severity, title)`` over ``(script, text)`` rows.
+
+    One pattern that holds all rules is tried first, on whole scripts and then on their lines: most have no finding.
+    """
+    any_rule = "|".join(f"(?:{r.pattern})" for r in sig.MIGRATION_RULES)
+    scripts = scripts.where(F.col("text").rlike("(?m)" + any_rule))
     lines = scripts.select("script", F.posexplode(F.split("text", "\n")).alias("_at", "code"))
     marks = [
         F.when(F.col("code").rlike(r.pattern), F.struct(F.lit(r.severity).alias("severity"), F.lit(r.title).alias("title")))
         for r in sig.MIGRATION_RULES
     ]
     found = F.filter(F.array(*marks), lambda m: m.isNotNull())
-    return lines.select("script", (F.col("_at") + 1).alias("line"), F.inline(found))
+    return lines.where(F.col("code").rlike(any_rule)).select("script", (F.col("_at") + 1).alias("line"), F.inline(found))
 
 
 def severity_counts(findings: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from weirworks import sinks, sources
 from weirworks.functions import entities as ent
@@ -234,7 +235,7 @@ def pii_custom_entity(d: Data) -> DataFrame:
 @query(
     "pii_low_sensitivity",
     f"""SELECT doc_id, CAST(len(regexp_extract_all(text, {_quoted(ent.PATTERNS['IP_ADDRESS'])})) AS INTEGER) AS high,
-          CASE WHEN contains(lower(text), 'ip') OR contains(lower(text), 'host') OR contains(lower(text), 'server') OR contains(lower(text), 'address')
+          CASE WHEN regexp_matches(text, '\\b(ip|host|server|address)\\b', 'i')
             THEN CAST(len(regexp_extract_all(text, {_quoted(ent.PATTERNS['IP_ADDRESS'])})) AS INTEGER) ELSE 0 END AS low FROM documents""",
 )
 def pii_low_sensitivity(d: Data) -> DataFrame:
@@ -279,6 +280,20 @@ def synthetic_rows(d: Data) -> DataFrame:
     return audit.synthetic_rows(schema, 0, d.spark, hints={"status": "paid"}, casts={"order_id": "int", "amount": "double"}, numbers=numbers)
 
 
+@query(
+    "synthetic_nested_rows",
+    """SELECT o_orderkey + 1 AS id, 'tags-' || CAST(o_orderkey + 1 AS VARCHAR) AS first_tag, CAST(2 AS INTEGER) AS tags, 'city-' || CAST(o_orderkey + 1 AS VARCHAR) AS city,
+         CAST(o_orderkey + 1 AS DOUBLE) + 0.5 AS lat, CAST(o_orderkey + 1 AS INTEGER) AS visits, 'key-' || CAST(o_orderkey + 1 AS VARCHAR) AS prop, 'x' AS fixed FROM orders""",
+)
+def synthetic_nested_rows(d: Data) -> DataFrame:
+    schema = StructType.fromDDL("id long, tags array<string>, place struct<city string, at struct<lat double>>, visits array<struct<n int>>, props map<string, boolean>, fixed string")
+    made = audit.synthetic_rows(schema, 0, d.spark, hints={"fixed": "x"}, numbers=d.orders.select((F.col("o_orderkey") + 1).alias("i")))
+    return made.select(
+        "id", F.get("tags", F.lit(0)).alias("first_tag"), F.size("tags").alias("tags"), "place.city", "place.at.lat",
+        F.get("visits", F.lit(1))["n"].alias("visits"), F.get(F.map_keys("props"), F.lit(0)).alias("prop"), "fixed",
+    )
+
+
 @query(
     "incremental_second_read",
     """SELECT 'first' AS step, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM orders WHERE o_orderstatus = 'F'

@@ -163,6 +163,16 @@ def target_spigot(d: Data) -> DataFrame:
     return passed.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("target_spigot_sample", "SELECT least(20, count(*)) AS written, least(20, count(*)) AS known FROM orders")
+def target_spigot_sample(d: Data) -> DataFrame:
+    """The sample that is written: no more rows than asked for, each one of the table's."""
+    path = scratch_path(d.spark, "spigot")
+    sinks.spigot(d.orders.select("o_orderkey", "o_orderstatus", "o_totalprice"), path, top=20)
+    sample = sources.json(d.spark, path, schema="o_orderkey bigint, o_orderstatus string, o_totalprice double")
+    known = sample.join(d.orders, ["o_orderkey", "o_orderstatus", "o_totalprice"], "left_semi")
+    return sample.agg(F.count(F.lit(1)).alias("written")).crossJoin(known.agg(F.count(F.lit(1)).alias("known")))
+
+
 @query(
     "map_apply",
     """SELECT o_orderkey AS id, TRY_CAST(code AS INTEGER) AS code_int, TRY_CAST(price AS DECIMAL(12,2)) AS price_dec,

@@ -38,8 +38,12 @@ def csv(
     multiline: bool = False,
     recurse: bool = True,
     infer: bool = False,
+    sampling: float | None = None,
 ) -> DataFrame:
-    """Delimited text. Without ``schema`` or ``infer`` every column is a string, so no extra pass is made."""
+    """Delimited text. Without ``schema`` or ``infer`` every column is a string, so no extra pass is made.
+
+    ``sampling`` is the share of rows that types are inferred from; the whole text is then still read through.
+    """
     reader = (
         spark.read.option("header", header)
         .option("sep", SEPARATORS.get(separator, separator))
@@ -52,7 +56,7 @@ def csv(
     if schema is not None:
         reader = reader.schema(schema)
     elif infer:
-        reader = reader.option("inferSchema", True)
+        reader = reader.option("inferSchema", True).option("samplingRatio", 1.0 if sampling is None else sampling)
     return reader.csv(_paths(paths))
 
 
@@ -75,6 +79,7 @@ def json(
     json_path: str | None = None,
     row_schema: Schema = None,
     recurse: bool = True,
+    sampling: float | None = None,
 ) -> DataFrame:
     """JSON documents; ``json_path`` such as ``$.orders[*]`` makes each selected element a row.
 
@@ -87,6 +92,8 @@ def json(
     reader = spark.read.option("multiLine", multiline).option("recursiveFileLookup", recurse)
     if schema is not None:
         reader = reader.schema(schema)
+    elif sampling is not None:
+        reader = reader.option("samplingRatio", sampling)
     df = reader.json(_paths(paths))
     return df if not json_path else select_json_path(df, json_path)
 
@@ -151,12 +158,15 @@ def _variant_name(name: str) -> str:
     return f'$["{name}"]' if '"' not in name else f"$['{name}']"
 
 
-def by_extension(spark: SparkSession, path: str, *, schema: Schema = None) -> DataFrame:
-    """Pick the reader from the extension. CSV has a header and inferred types unless a schema is given."""
+def by_extension(spark: SparkSession, path: str, *, schema: Schema = None, sampling: float | None = None) -> DataFrame:
+    """Pick the reader from the extension. CSV has a header and inferred types unless a schema is given.
+
+    Without a schema, CSV and JSON texts are read once more to infer it, from ``sampling`` (a share) of their rows.
+    """
     kind = EXTENSIONS.get(posixpath.splitext(path.rstrip("/"))[1].lower(), "json")
     if kind == "csv":
-        return csv(spark, path, schema=schema, infer=schema is None)
-    return parquet(spark, path, schema=schema) if kind == "parquet" else json(spark, path, schema=schema)
+        return csv(spark, path, schema=schema, infer=schema is None, sampling=sampling)
+    return parquet(spark, path, schema=schema) if kind == "parquet" else json(spark, path, schema=schema, sampling=sampling)
 
 
 def text_documents(spark: SparkSession, paths: str | Sequence[str], *, whole: bool = False) -> DataFrame:
