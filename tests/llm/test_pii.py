@@ -64,6 +64,57 @@ def test_contexts_find_what_the_form_does_not(spark):
     assert got == {4: "phone:22:34", 51: "phone:23:35", 52: "phone:4:16"}
 
 
+def chain():
+    """300 documents in which a pattern without a seed counts only by values that another pattern found before."""
+    luck = random.Random(8)
+    word = lambda: "".join(luck.choice("abcdefghij") for _ in range(6))
+    form = [f"+1 555 {100 + n} 1000" for n in range(40)]
+    first = [f"555-{200 + n}-2000" for n in range(8)]
+    second = [f"555-{300 + n}-3000" for n in range(4)]
+    third = [f"555-{400 + n}-4000" for n in range(2)]
+    said = [("please dial", v) for v in [*form, *first]] + [("office desk", v) for v in [*first, *second]] + [("night bell", v) for v in [*second, *third]]
+    said += [("order code", f"{n}-{n}-{n}") for n in range(100, 160)] + [("order code", v) for v in first[:2]]
+    texts = [f"{word()} {word()} {before} {v} {word()} {word()}" for before, v in said]
+    texts += [" ".join(word() for _ in range(12)) for _ in range(300 - len(texts))]
+    return list(enumerate(texts)), form, first, second, third
+
+
+def rounds(docs, least=3, pattern=0.5, value=0.5):
+    """The values found after each round, by plain code, for two words before and one word on either side."""
+    links = {}
+    for _, text in docs:
+        m = re.search(r"(\+1 555 \d+ 1000|\d+-\d+-\d+)", text)
+        if m:
+            before, after = text[: m.start()].split(), text[m.end() :].split()
+            for p in (f"{before[-2]} {before[-1]} _", f"{before[-1]} _ {after[0]}"):
+                links.setdefault(p, set()).add(m.group())
+    seed = lambda v: v.startswith("+")
+    found, out = {}, []
+    while True:
+        score = {}
+        for vs in links.values():
+            count = sum(seed(v) for v in vs) + sum(v in found for v in vs)
+            trust = min(0.99, (sum(seed(v) for v in vs) + sum(found.get(v, 0) for v in vs)) / len(vs))
+            if count >= least and trust >= pattern:
+                for v in vs:
+                    if not seed(v):
+                        score[v] = 1 - (1 - score.get(v, 0)) * (1 - trust)
+        now = {v: s for v, s in score.items() if s >= value}
+        if len(now) == len(found):
+            return out
+        found = now
+        out.append(set(now))
+
+
+def test_rounds_follow_a_chain(spark):
+    docs, form, first, second, third = chain()
+    steps = rounds(docs)
+    assert len(docs) == 300 and steps[0] == set(first) and steps[1] == {*first, *second} and steps[-1] >= {*first, *second}
+    got = spans(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+    more = {i for i, (base, every) in got.items() if base != every}
+    assert more == {i for i, t in docs if any(v in t for v in steps[-1])}
+
+
 def test_odd_rows(odd_docs, no_docs):  # noqa: F811
     got = spans(odd_docs)
     assert len(got) == 9 and got[8][0] == "email:5:19,phone:23:40,ip:42:50,card:52:71" and got[3] == ("", "")

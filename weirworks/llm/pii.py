@@ -1,8 +1,9 @@
 """Personal data: four kinds found by their form, and more of the same kinds found by their context.
 
 The finds by form are seeds. The words around them induce lexical patterns ("write to _"); patterns and the values that
-they surround form a graph. In turns, a pattern is scored by the values it surrounds and a value by its patterns, until
-patterns that nearly always surround a kind of data point out values that the form alone doesn't show. Only DataFrame
+they surround form a graph. In turns, a pattern is scored by the values it surrounds and a value by its patterns; found
+values induce patterns of their own, until a round finds nothing new. So patterns that mostly surround a kind of data
+point out values that the form alone doesn't show. Only DataFrame
 functions are used; the texts are read once.
 """
 
@@ -36,9 +37,8 @@ WINDOW, BLOCK = 60, 256
 
 @dataclass(frozen=True)
 class Bootstrap:
-    """How patterns earn trust: rounds of scoring, seeds a pattern needs, and the least scores."""
+    """How patterns earn trust: the values a pattern needs that are seeds or were found before, and the least scores."""
 
-    rounds: int = 3
     min_seeds: int = 3
     min_pattern: float = 0.5
     min_value: float = 0.5
@@ -183,31 +183,35 @@ def _mentions(found: DataFrame) -> DataFrame:
 
 
 def by_context(mentions: DataFrame, how: Bootstrap) -> DataFrame:
-    """Values without the form of any kind that the patterns take for one: value, kind."""
+    """Values without the form of any kind that the patterns take for one: value, kind.
+
+    Every round scores the patterns by all values known so far and the other values by the patterns. Scores only grow, so
+    values are only added, and the rounds end with the first that adds none.
+    """
     before = F.when(F.col("left") != "", F.concat(F.col("left"), F.lit(" _")))
     around = F.when((F.col("near") != "") & (F.col("after") != ""), F.concat_ws(" _ ", "near", "after"))
     links = mentions.select("value", "kind", F.explode(F.array_compact(F.array(before, around))).alias("pattern"))
     # One row per pattern and value, however often they meet: common patterns and values are summed before they move.
-    pairs = links.groupBy("pattern", "value").agg(F.max("kind").alias("kind"))
-    pairs = cut_lineage(pairs)
+    pairs = cut_lineage(links.groupBy("pattern", "value").agg(F.max("kind").alias("kind")))
     sizes = pairs.groupBy("pattern").agg(F.count("*").alias("values"))
     seeds = pairs.where("kind IS NOT NULL").groupBy("pattern", "kind").agg(F.count("*").alias("seeds"))
-    # Only patterns with enough seeds can ever count.
-    sized = cut_lineage(seeds.where(F.col("seeds") >= how.min_seeds).join(sizes, "pattern"))
-    open_ = pairs.where("kind IS NULL").select("pattern", "value").join(sized.select("pattern").distinct(), "pattern", "left_semi")
-    open_ = cut_lineage(open_)
-    scores = sized.withColumn("found", F.lit(0.0))
-    values = None
-    for turn in range(how.rounds):
-        trust = (F.col("seeds") + F.col("found")) / F.col("values")
-        trusted = scores.withColumn("trust", F.least(trust, F.lit(0.99))).where(F.col("trust") >= how.min_pattern)
-        votes = open_.join(trusted.select("pattern", "kind", "trust"), "pattern")
-        score = 1 - F.exp(F.sum(F.log1p(-F.col("trust"))))
-        scored = votes.groupBy("value", "kind").agg(score.alias("score"))
+    open_ = pairs.where("kind IS NULL").select("pattern", "value")
+    held = cut_lineage(seeds.join(sizes, "pattern").select("pattern", "kind", "seeds", F.lit(0).alias("gained"), F.lit(0.0).alias("found"), "values"))
+    values, known = None, 0
+    while True:
+        # A pattern counts by the seeds and the values found so far that it surrounds; new ones qualify as values are found.
+        trust = F.least((F.col("seeds") + F.col("found")) / F.col("values"), F.lit(0.99))
+        enough = held.where(F.col("seeds") + F.col("gained") >= how.min_seeds).withColumn("trust", trust)
+        votes = open_.join(enough.where(F.col("trust") >= how.min_pattern).select("pattern", "kind", "trust"), "pattern")
+        scored = votes.groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.col("trust"))))).alias("score"))
         values = cut_lineage(scored.where((F.col("score") >= how.min_value) & plausible(F.col("kind"), F.col("value"))))
-        if turn + 1 < how.rounds:
-            gained = open_.join(values, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("found"))
-            scores = cut_lineage(sized.join(gained, ["pattern", "kind"], "left").fillna(0.0, ["found"]))
+        now = values.count()
+        if now == known:
+            break
+        known = now
+        gained = open_.join(values, "value").groupBy("pattern", "kind").agg(F.count("*").alias("gained"), F.sum("score").alias("found"))
+        both = seeds.join(gained, ["pattern", "kind"], "full").fillna(0, ["seeds", "gained"]).fillna(0.0, ["found"])
+        held = cut_lineage(both.join(sizes, "pattern").select("pattern", "kind", "seeds", "gained", "found", "values"))
     # A value that fits several kinds is of the one with the best score, the first listed among equals.
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     return values.groupBy("value").agg(F.min_by("kind", F.struct(-F.col("score"), rank)).alias("kind"))
