@@ -112,8 +112,14 @@ def join_health(left: DataFrame, right: DataFrame, left_keys: Sequence[str], rig
 
 
 def column_loss(produced: DataFrame, kept: DataFrame) -> DataFrame:
-    """Columns that reach a node but are not among the ones it keeps, over ``(node, column)`` tables."""
-    return produced.select("node", "column").distinct().join(kept.select("node", "column").distinct(), ["node", "column"], "leftanti")
+    """Columns that reach a node but are not among the ones it keeps, over ``(node, column)`` tables.
+
+    One aggregation over both tables, so a pair that is there very often is summed up before it moves. A null is kept by nothing.
+    """
+    whole = F.col("node").isNotNull() & F.col("column").isNotNull()
+    both = produced.select("node", "column", F.lit(False).alias("kept")).unionByName(kept.select("node", "column", whole.alias("kept")).where("kept"))
+    pairs = both.groupBy("node", "column").agg(F.max("kept").alias("kept"))
+    return pairs.where("NOT kept").select("node", "column")
 
 
 def missing_references(available: DataFrame, referenced: DataFrame) -> DataFrame:
