@@ -45,7 +45,7 @@ def test_stages(spark, kept):
 
 def test_registered(spark):
     names = __spark_entry__.queries()
-    assert "pipeline" in names and {f"op{n}_" for n in range(1, 11)} == {q.split("_")[0] + "_" for q in names if q.startswith("op")}
+    assert "pipeline" in names and {f"op{n}_" for n in range(1, 14)} == {q.split("_")[0] + "_" for q in names if q.startswith("op")}
     assert names["pipeline"](spark, SMALL).count() > 0
 
 
