@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from conftest import rows
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weirworks.functions import runs as fx
 from weirworks.functions import search, signatures
+from weirworks.operators.name_index import NameIndex
 from weirworks.operators import lineage, logs, metrics, runs
 
 LOGS = "run_id string, ts timestamp_ntz, event_id bigint, log_group string, stream string, message string"
@@ -230,3 +232,19 @@ def test_no_change_rule(spark):
     updates = [("r", 1, "RUNNING", None, 5), ("r", 2, "RUNNING", None, 65), ("r", 3, "SUCCEEDED", at, 70), ("r", 4, "SUCCEEDED", at, 70), ("r", 5, "SUCCEEDED", at, 71)]
     df = spark.createDataFrame(updates, "run_id string, seq bigint, state string, completed_on timestamp_ntz, execution_time int")
     assert sorted(r.seq for r in runs.changed_updates(df).collect()) == [1, 3, 5]
+
+
+def test_the_index_finds_what_a_scan_finds(spark):
+    """Every tier and many typos, with fewer rows scored; null and empty names, and queries shorter than their typos."""
+    luck = random.Random(12)
+    words = ["csv", "parquet", "join", "apply", "mapping", "select", "fields", "custom", "transform", "aggregate", "drop", "nulls", "x"]
+    data = [(n, " ".join(luck.sample(words, luck.randint(1, 3))), luck.choice(words), luck.sample([*words, None], 2)) for n in range(400)]
+    data += [(400, None, None, None), (401, "", "", []), (402, "C.S.V!", "Parquet-File", ["a b"])]
+    df = spark.createDataFrame(data, "n int, name string, kind string, keys array<string>")
+    index = NameIndex.build(df, "n", "name", "kind", "keys")
+    name, kind = (F.coalesce(F.col(c), F.lit("")) for c in ("name", "kind"))
+    keys = F.filter(F.coalesce("keys", F.array().cast("array<string>")), lambda k: k.isNotNull())
+    for query in ("cvs", "aplymap", "agregat", "trnasfrom", "slect", "a b", "x", "zq", "jion", ""):
+        want = df.select(F.col("n").alias("id"), search.score(query, name, kind, keys).alias("score")).where("score IS NOT NULL")
+        assert rows(index.search(query)) == rows(want), query
+    assert index.candidates("agregat").count() < 300 and index.candidates("trnasfrom").count() < 300

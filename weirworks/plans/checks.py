@@ -10,6 +10,7 @@ from weirworks import sinks, sources
 from weirworks.functions import entities as ent
 from weirworks.functions import search
 from weirworks.operators import audit, project, quality, sampling, sensitive
+from weirworks.operators.name_index import NameIndex
 from weirworks.plans.registry import Data, query
 from weirworks.session import scratch_path
 from weirworks.types import schema_of
@@ -404,4 +405,7 @@ def search_keywords(d: Data) -> DataFrame:
 
 @query("search_typos", _score_sql("widegt", "w.*i.*d.*e.*g.*t", 2))
 def search_typos(d: Data) -> DataFrame:
-    return _search(d, "widegt")
+    """From the index, which is built here and would be kept for further searches."""
+    part = d.part.select("p_partkey", "p_name", "p_type", F.array("p_brand").alias("brands"))
+    found = NameIndex.build(part, "p_partkey", "p_name", "p_type", "brands").search("widegt")
+    return found.withColumnRenamed("id", "p_partkey")
