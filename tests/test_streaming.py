@@ -1,6 +1,9 @@
 import datetime as dt
 import json
+import tracemalloc
 
+import numpy as np
+import pandas as pd
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -132,3 +135,52 @@ def test_exclusions_hold_for_the_whole_run(spark, tmp_path):
     got = spark.read.schema(found.schema).parquet(out)
     assert rows(got.select("run_id", "id", "event_id")) == [("a", "slow", 2), ("b", "exit", 3)]
     assert {(r.run_id, r.opened) for r in got.select("run_id", F.unix_seconds("opened").alias("opened")).collect()} == {(r, int(T0.timestamp())) for r in "ab"}
+
+
+class Value:
+    """A value state outside Spark."""
+
+    held = None
+
+    def exists(self):
+        return self.held is not None
+
+    def get(self):
+        return self.held
+
+    def update(self, value):
+        self.held = value
+
+
+def test_updates_of_a_job_are_sorted_in_bounded_memory(monkeypatch):
+    monkeypatch.setattr(state, "SORTED", 20_000, raising=False)
+    n = 200_000
+
+    def chunks():
+        for at in range(n - 10_000, -1, -10_000):
+            seq = np.arange(at, at + 10_000)[::-1]
+            yield pd.DataFrame({"run_id": [f"jr_{s // 2}" for s in seq], "state": [("RUNNING", "FAILED")[s % 2] for s in seq],
+                                "started": seq // 2, "completed": np.where(seq % 2, seq, state.NONE), "took": seq % 2, "seq": seq})
+
+    changes = state._Changes()
+    changes.held = Value()
+    tracemalloc.start()
+    told = 0
+    for part in changes.handleInputRows(("j",), chunks(), None):
+        assert part["seq"].tolist() == list(range(told, told + len(part))) and part["change"].tolist() == list(range(told + 1, told + len(part) + 1))
+        told += len(part)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert told == n and changes.held.get() == (f"jr_{n // 2 - 1}", "FAILED", n // 2 - 1, n - 1, 1, n, n)
+    assert peak < 60 * 10**6
+
+
+def test_updates_of_one_seq_stay_as_they_came(monkeypatch):
+    monkeypatch.setattr(state, "SORTED", 3, raising=False)
+    seqs = [[5, 1], [1, 3], [5, 1, 2], [1]]
+    made, number = [], 0
+    for part in seqs:
+        made.append(pd.DataFrame([(f"r{number + i}", "", 0, 0, 0, s) for i, s in enumerate(part)], columns=list(state.FIELDS)))
+        number += len(part)
+    want = sorted((t for part in made for t in part.itertuples(index=False, name=None)), key=lambda t: t[5])
+    assert list(state.in_order(iter(made))) == want

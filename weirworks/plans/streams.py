@@ -81,7 +81,7 @@ def stream_latest_run(d: Data) -> DataFrame:
     seq = F.col("seq") * F.lit(10**12) + F.substring("run_id", 4, 20).cast("bigint")
     home = scratch_path(d.spark, "updates")
     _updates(d, seq).repartition(4, "run_id").write.parquet(home)
-    told = _drained(d, state.run_changes(_update_stream(d, home)), "latest")
+    told = _drained(d, state.run_changes(_update_stream(d, home, 1)), "latest")
     return _ntz(state.current(told).drop("seq", "change", "step", "told"), "started_on", "completed_on")
 
 
@@ -90,8 +90,8 @@ def _updates(d: Data, seq: Column) -> DataFrame:
     return d.run_updates.select("job", "run_id", "state", *zoned, "execution_time", seq.alias("seq"))
 
 
-def _update_stream(d: Data, home: str) -> DataFrame:
-    return flow.source(d.spark, "parquet", schema=state.SCHEMA, path=home, files_per_batch=1)
+def _update_stream(d: Data, home: str, files_per_batch: int | None = None) -> DataFrame:
+    return flow.source(d.spark, "parquet", schema=state.SCHEMA, path=home, files_per_batch=files_per_batch)
 
 
 # Updates in the order in which they are seen; of those seen in one minute, by run.
@@ -110,7 +110,7 @@ SEEN = "(epoch_us(seen_on) // 60000000) * 100000000000 + CAST(substr(run_id, 4)
     "run_updates",
 )
 def stream_run_changes(d: Data) -> DataFrame:
-    """The updates arrive in three parts by time; a job's runs start and end many times in each."""
+    """The updates arrive in three parts by time, each a batch; a job's runs start and end many times in each."""
     home = scratch_path(d.spark, "seen")
     seen = F.expr("unix_micros(CAST(seen_on AS TIMESTAMP)) div 60000000")
     seq = seen * F.lit(100_000_000_000) + F.substring("run_id", 4, 20).cast("bigint") * 4 + F.col("seq") - 1
@@ -118,7 +118,7 @@ def stream_run_changes(d: Data) -> DataFrame:
     mark, out = scratch_path(d.spark, "changes-checkpoint"), scratch_path(d.spark, "changes")
     cuts = [F.lit(t).cast("timestamp").cast("bigint") / 60 * 100_000_000_000 for t in ("1994-01-01", "1996-06-01")]
     for part in (F.col("seq") < cuts[0], F.col("seq").between(cuts[0], cuts[1]), F.col("seq") > cuts[1]):
-        updates.where(part).coalesce(1).write.mode("append").parquet(home)
+        updates.where(part).write.mode("append").parquet(home)
         stream = state.run_changes(_update_stream(d, home))
         flow.load_new(stream, out, mark)
     told = d.spark.read.schema(stream.schema).parquet(out).where("told").drop("step", "told")

@@ -7,9 +7,14 @@ stream end with the newest update.
 
 from __future__ import annotations
 
+import heapq
+import tempfile
 from collections.abc import Iterator
+from itertools import islice
+from operator import itemgetter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -24,6 +29,11 @@ FAR = 2**63 - 1
 HELD = "run_id string, state string, started bigint, completed bigint, took bigint, change bigint, step bigint"
 TOLD = "job string, run_id string, state string, started bigint, completed bigint, took bigint, seq bigint, change bigint, step bigint, told boolean"
 
+FIELDS = ("run_id", "state", "started", "completed", "took", "seq")
+ROW = pa.schema([(c, pa.string() if c in ("run_id", "state") else pa.int64()) for c in FIELDS])
+# Rows a task sorts at a time, reads back at a time from each sorted part, and gives out at a time.
+SORTED, READ, GIVEN = 500_000, 2_000, 10_000
+
 
 def accepted(held: tuple | None, new: tuple) -> bool:
     """Whether ``new`` changes what is held; both are (run_id, state, started, completed, took).
@@ -40,6 +50,41 @@ def accepted(held: tuple | None, new: tuple) -> bool:
     return not (same and (new[1] in OPEN_STATES or held[4] == new[4]))
 
 
+def _tuples(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(c.to_numpy(zero_copy_only=False).tolist() for c in batch.columns), strict=True)
+
+
+def _sorted_part(chunks: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(chunks).combine_chunks().sort_by("seq")
+
+
+def in_order(rows: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    """The updates of one job as tuples (``FIELDS``) by ``seq``, those of one ``seq`` as they came.
+
+    Beyond ``SORTED`` rows, sorted parts lie in temporary files of the task and are merged, so that memory does not grow
+    with the number of updates.
+    """
+    files, held, n = [], [], 0
+    for chunk in rows:
+        held.append(pa.Table.from_pandas(chunk[list(FIELDS)], ROW, preserve_index=False))
+        n += len(chunk)
+        if n >= SORTED:
+            file = tempfile.TemporaryFile()  # noqa: SIM115
+            with pa.ipc.new_stream(file, ROW) as writer:
+                writer.write_table(_sorted_part(held), READ)
+            file.seek(0)
+            files.append(file)
+            held, n = [], 0
+    parts = [_tuples(iter(pa.ipc.open_stream(f))) for f in files]
+    if held:
+        parts.append(_tuples(iter(_sorted_part(held).to_batches(READ))))
+    # Equal ones come from the earlier part first.
+    yield from heapq.merge(*parts, key=itemgetter(5)) if len(parts) > 1 else parts[0]
+    for file in files:
+        file.close()
+
+
 class _Changes(StatefulProcessor):
     """One held run per job; the updates of a batch are applied in the order of ``seq``."""
 
@@ -47,24 +92,27 @@ class _Changes(StatefulProcessor):
         self.held = handle.getValueState("latest_run", HELD)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        out = self._told(key[0], in_order(rows))
+        while part := list(islice(out, GIVEN)):
+            yield pd.DataFrame(part, columns=[c.split()[0] for c in TOLD.split(", ")])
+
+    def _told(self, job: str, updates: Iterator[tuple]) -> Iterator[tuple]:
         before = self.held.get() if self.held.exists() else None
         held, change, step = (tuple(before[:5]), before[5], before[6]) if before else (None, 0, 0)
-        out, quiet = [], None
-        for *new, seq in zip(*(batch[c].tolist() for c in ("run_id", "state", "started", "completed", "took", "seq")), strict=True):
+        first, quiet = step, None
+        for *new, seq in updates:
             new = tuple(new)
             if accepted(held, new):
                 held, change, step, quiet = new, change + 1, step + 1, None
-                out.append((key[0], *new, seq, change, step, True))
+                yield (job, *new, seq, change, step, True)
             elif held[0] == new[0] and held[4] != new[4]:
                 held = quiet = (*held[:4], new[4])
                 last = seq
         if quiet:
             step += 1
-            out.append((key[0], *quiet, last, change, step, False))
-        if out:
+            yield (job, *quiet, last, change, step, False)
+        if step > first:
             self.held.update((*held, change, step))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in TOLD.split(", ")])
 
     def close(self) -> None:
         pass
@@ -83,7 +131,7 @@ def run_changes(updates: DataFrame) -> DataFrame:
 
     ``step`` numbers all rows of a job; those without ``told`` only move the running time of the change they carry.
     A batch's updates of a job are applied in the order of ``seq``, batches in the order in which they come; a job's
-    updates of one batch are sorted in its task, so the size of a batch bounds what a task holds. Updates without a job,
+    updates of one batch are sorted in its task, on disk if they are many. Updates without a job,
     a run or a ``seq`` are ignored. A run without a start counts as just started.
     """
     known = updates.where("job IS NOT NULL AND run_id IS NOT NULL AND seq IS NOT NULL").select(
