@@ -8,6 +8,8 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from weirworks.functions import signatures as sig
+from weirworks.plans import streams
+from weirworks.plans.registry import Data
 from weirworks.streaming import events, flow, followed, state, windows
 
 T0 = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
@@ -184,3 +186,22 @@ def test_updates_of_one_seq_stay_as_they_came(monkeypatch):
         number += len(part)
     want = sorted((t for part in made for t in part.itertuples(index=False, name=None)), key=lambda t: t[5])
     assert list(state.in_order(iter(made))) == want
+
+
+def files_of(monkeypatch, tmp_path, name, run):
+    """Files that ``run`` writes to its scratch folder of this name, and its rows."""
+    made = []
+    monkeypatch.setattr(streams, "scratch_path", lambda spark, n: made.append(n) or str(tmp_path / n))
+    got = rows(run())
+    return len(list((tmp_path / name).glob("*.parquet"))), got
+
+
+def test_lines_to_follow_lie_in_several_files(spark, small, monkeypatch, tmp_path):
+    """No single task reads all lines and tries all patterns on them."""
+    want = rows(streams.stream_log_follow_runs(Data(spark, small)))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        n, got = files_of(monkeypatch, tmp_path, "followed-lines", lambda: streams.stream_log_follow_runs(Data(spark, small)))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert n > 1 and got == want

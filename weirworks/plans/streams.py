@@ -203,7 +203,8 @@ def stream_log_follow(d: Data) -> DataFrame:
 def stream_log_follow_runs(d: Data) -> DataFrame:
     """A run is over after six silent hours; only then is it known what excludes what."""
     home = scratch_path(d.spark, "followed-lines")
-    lines = d.logs.coalesce(1)
+    # In as many files as the cores can take, since many patterns are tried on every line.
+    lines = d.logs.repartition("event_id")
     lines.write.parquet(home)
     stream = logs.console_lines(flow.source(d.spark, "parquet", schema=lines.schema, path=home))
     text = F.regexp_replace("message", sig.HANDLE, sig.HANDLE_MARK)
