@@ -205,3 +205,10 @@ def test_lines_to_follow_lie_in_several_files(spark, small, monkeypatch, tmp_pat
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert n > 1 and got == want
+
+
+def test_files_of_updates_grow_in_number_not_in_size(spark, small, monkeypatch, tmp_path):
+    want = rows(streams.stream_latest_run(Data(spark, small)))
+    monkeypatch.setattr(streams, "FILE_UPDATES", 500, raising=False)
+    n, got = files_of(monkeypatch, tmp_path, "updates", lambda: streams.stream_latest_run(Data(spark, small)))
+    assert n >= 10 and got == want

@@ -70,6 +70,10 @@ def stream_event_quarantine(d: Data) -> DataFrame:
     return events.broken(_messages(d)).select("at")
 
 
+# Updates (an order has four at most) that a file of them holds about, and files that a batch takes at most.
+FILE_UPDATES, BATCH_FILES = 1_000_000, 16
+
+
 @query(
     "stream_latest_run",
     """SELECT job, run_id, state, started_on, completed_on, execution_time FROM run_updates
@@ -77,11 +81,12 @@ def stream_event_quarantine(d: Data) -> DataFrame:
     "run_updates",
 )
 def stream_latest_run(d: Data) -> DataFrame:
-    # In several files, so that the state is carried over batches; all updates of a run are in one.
+    # In several batches, so that the state is carried over them; all updates of a run are in one file.
     seq = F.col("seq") * F.lit(10**12) + F.substring("run_id", 4, 20).cast("bigint")
     home = scratch_path(d.spark, "updates")
-    _updates(d, seq).repartition(4, "run_id").write.parquet(home)
-    told = _drained(d, state.run_changes(_update_stream(d, home, 1)), "latest")
+    files = max(4, -(-4 * d.orders.count() // FILE_UPDATES))
+    _updates(d, seq).repartition(files, "run_id").write.parquet(home)
+    told = _drained(d, state.run_changes(_update_stream(d, home, min(BATCH_FILES, files // 4))), "latest")
     return _ntz(state.current(told).drop("seq", "change", "step", "told"), "started_on", "completed_on")
 
 
