@@ -157,3 +157,14 @@ def test_equal_pieces_leave_a_crowd_before_it_is_cut(spark, monkeypatch):
     copy = "".join(luck.choice("abcdef ") for _ in range(400))
     docs = [(i, copy if i % 3 else "".join(luck.choice("abcdef ") for _ in range(90)) + copy[i : i + 120]) for i in range(90)]
     assert found(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)) == brute(docs)
+
+
+def test_marks_are_flat_and_places_next_to_each_other_are_one():
+    luck = random.Random(6)
+    shared = bytes(luck.choice(b"abcd") for _ in range(70))
+    texts = [b"xy" + shared, b"z" + shared + b"q"]
+    p = pieces(texts)
+    cut = [(0, d + 1, d + 11, lo, texts[d][lo : hi + WINDOW]) for d, lo, hi in zip(p["doc"].tolist(), p["lo"].tolist(), p["hi"].tolist(), strict=True)]
+    got = repeats._bucket(pd.DataFrame(cut, columns=["bucket", "doc_id", "text_id", "lo", "piece"]))
+    assert (got["doc_id"] == 2).all() and (got["text_id"] == 12).all() and len(got) == 1
+    assert (got["lo"][0], got["hi"][0]) == (1, 21)

@@ -33,9 +33,9 @@ BUCKET_PIECES, SHARD_PIECES, MANY = 12_000, 3_000, 2_048
 SAMPLE, CROWDS = 32, 1_000_000  # one row in SAMPLE is counted; anchors that are sent apart at most
 WIDTH = 19  # bytes of a packed piece
 STEP = 5  # symbols by which a round of the merge refines the order; WINDOW is a multiple
-MARKS = "doc_id long, text_id long, lo array<int>, hi array<int>, bucket array<long>"
+MARKS = "doc_id long, text_id long, lo int, hi int"
 # Of crowded anchors (bucket -1) the anchor and the hash of the whole piece too.
-COMPARED = MARKS + ", anchor array<long>, whole array<long>"
+COMPARED = MARKS + ", bucket long, anchor long, whole long"
 STRINGS = 20_000  # rows of strings made before they are handed on
 
 
@@ -160,11 +160,20 @@ def _compared(rows: pd.DataFrame) -> pd.DataFrame:
 
     Of an anchor with more than MANY pieces to compare, the bucket is given as -1; so it is for those sent apart.
     """
-    ready = rows[rows["payload"].isna()]
-    done = [
-        (d[0], t[0], lo, hi, None if anchor is None else np.full(len(lo), -1), anchor, whole)
-        for d, t, lo, hi, anchor, whole in zip(*(ready[c] for c in ("docs", "texts", "lo", "hi", "anchor", "whole")), strict=True)
-    ]
+    names = [c.split()[0] for c in COMPARED.split(", ")]
+    done = []
+
+    def add(docs, texts, lo, hi, bucket=None, anchor=None, whole=None) -> None:
+        columns = dict(zip(names, (docs, texts, lo, hi, bucket, anchor, whole), strict=True))
+        done.append(pd.DataFrame({c: pd.array(np.asarray(v), "Int64") if v is not None else pd.array([pd.NA] * len(lo), "Int64") for c, v in columns.items()}))
+
+    for crowded in (False, True):
+        ready = rows[rows["payload"].isna() & (rows["anchor"].notna() == crowded)]
+        if len(ready):
+            n = ready["lo"].map(len).to_numpy()
+            flat = {c: np.concatenate(ready[c].tolist()) for c in (("lo", "hi", "anchor", "whole") if crowded else ("lo", "hi"))}
+            ids = (np.repeat(np.concatenate(ready[c].tolist()), n) for c in ("docs", "texts"))
+            add(*ids, flat["lo"], flat["hi"], np.full(n.sum(), -1) if crowded else None, flat.get("anchor"), flat.get("whole"))
     held, docs, texts = [], [], []
     for d, t, data in zip(rows["docs"], rows["texts"], rows["payload"], strict=True):
         if data is not None:
@@ -186,16 +195,13 @@ def _compared(rows: pd.DataFrame) -> pd.DataFrame:
         begins = np.flatnonzero(new_anchor)
         several = (np.bincount(anchor[new]) > 1) & (np.minimum.reduceat(doc, begins) < np.maximum.reduceat(doc, begins))
         open_ = ~whole & several[anchor]
-        crowd = np.bincount(anchor[open_], minlength=len(begins)) > MANY
-        bucket = np.where(crowd[anchor], -1, p["anchor"].astype(np.int64))
-        for n, (lo, hi) in _by_doc(p["number"][whole], p["lo"][whole], p["hi"][whole]):
-            done.append((docs[n], texts[n], lo, hi, None, None, None))
-        of_anchor, of_whole = p["anchor"].astype(np.int64), p["whole"].astype(np.int64)
-        for apart in (False, True):
-            chosen = open_ & (crowd[anchor] == apart)
-            for n, (lo, hi, b, a, w) in _by_doc(p["number"][chosen], *(c[chosen] for c in (p["lo"], p["hi"], bucket, of_anchor, of_whole))):
-                done.append((docs[n], texts[n], lo, hi, b, a if apart else None, w if apart else None))
-    return pd.DataFrame(done, columns=["doc_id", "text_id", "lo", "hi", "bucket", "anchor", "whole"])
+        crowd = (np.bincount(anchor[open_], minlength=len(begins)) > MANY)[anchor]
+        text, of_anchor, of_whole = texts[p["number"]], p["anchor"].astype(np.int64), p["whole"].astype(np.int64)
+        add(*(c[whole] for c in (doc, text, p["lo"], p["hi"])))
+        plain, apart = open_ & ~crowd, open_ & crowd
+        add(*(c[plain] for c in (doc, text, p["lo"], p["hi"], of_anchor)))
+        add(*(c[apart] for c in (doc, text, p["lo"], p["hi"], np.full(len(doc), -1), of_anchor, of_whole)))
+    return pd.concat(done, ignore_index=True) if done else pd.DataFrame(columns=names)
 
 
 def _cut_out(buckets: int):
@@ -208,7 +214,7 @@ def _cut_out(buckets: int):
         for batch in slices(batches):
             for doc, text_id, text, refs in zip(batch["doc_id"], batch["text_id"], batch["text"], batch["refs"], strict=True):
                 data = text.encode("utf-8", "replace")
-                for lo, hi, anchor in zip(*(np.concatenate([r[k] for r in refs]).tolist() for k in ("lo", "hi", "bucket")), strict=True):
+                for lo, hi, anchor in sorted((r["lo"], r["hi"], r["bucket"]) for r in refs):
                     if anchor >= 0:
                         out.append((anchor % buckets, doc, text_id, lo, data[lo : hi + WINDOW]))
                     else:
@@ -257,8 +263,12 @@ def _bucket(rows: pd.DataFrame) -> pd.DataFrame:
     number = kept[number]
     source = np.cumsum(_groups(doc, text)) - 1
     head = np.flatnonzero(_groups(doc, text))
-    out = [(doc[head[n]], text[head[n]], a.astype(np.int32), a.astype(np.int32), None) for n, (a,) in _by_doc(source[number], at)]
-    return pd.DataFrame(out, columns=["doc_id", "text_id", "lo", "hi", "bucket"])
+    # Places next to each other are one mark.
+    order = np.lexsort((at, source[number]))
+    at, of = at[order], source[number][order]
+    cut = np.flatnonzero(_groups(of, at - np.arange(len(at))))
+    of, end = head[of[cut]], np.r_[cut[1:], len(at)] - 1
+    return pd.DataFrame({"doc_id": doc[of], "text_id": text[of], "lo": at[cut].astype(np.int32), "hi": at[end].astype(np.int32)})
 
 
 REMOVED = "doc_id long, has_id boolean, n_bytes long, start array<long>, stop array<long>, kept binary"
@@ -273,8 +283,8 @@ def _removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 out.append((doc, named, len(data), [], [], data.tobytes()))
                 continue
             depth = np.zeros(len(data) + 1, np.int64)
-            np.add.at(depth, np.concatenate(list(lo)), 1)
-            np.add.at(depth, np.concatenate(list(hi)) + WINDOW, -1)
+            np.add.at(depth, lo, 1)
+            np.add.at(depth, hi + WINDOW, -1)
             gone = np.cumsum(depth[:-1]) > 0
             edge = np.diff(np.r_[False, gone, False].astype(np.int8))
             out.append((doc, named, len(data), np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), data[~gone].tobytes()))
@@ -298,23 +308,21 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     compared = cut_lineage(shipped.groupBy("part").applyInPandas(_compared, COMPARED))
 
     # Of crowded anchors, pieces that a smaller document holds whole are done; only the others are cut into strings.
-    places = F.explode(F.arrays_zip("lo", "hi", "anchor", "whole")).alias("p")
-    crowd = compared.where("anchor IS NOT NULL").select("doc_id", "text_id", places).select("doc_id", "text_id", "p.*")
+    crowd = compared.where("anchor IS NOT NULL")
     holders = crowd.groupBy("anchor", "whole").agg(F.min("doc_id").alias("first_doc"))
-    crowd = crowd.join(holders, ["anchor", "whole"]).groupBy("doc_id", "text_id", (F.col("doc_id") > F.col("first_doc")).alias("again"))
-    crowd = cut_lineage(crowd.agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")))
-    apart = F.transform("lo", lambda _: F.lit(-1).cast("long")).alias("bucket")
+    again = (F.col("doc_id") > F.col("first_doc")).alias("again")
+    crowd = cut_lineage(crowd.join(holders, ["anchor", "whole"]).select("doc_id", "text_id", "lo", "hi", "bucket", again))
 
     refs = compared.where("bucket IS NOT NULL AND anchor IS NULL").select("doc_id", "text_id", "lo", "hi", "bucket")
-    asked = refs.agg(F.sum(F.size("lo"))).first()[0] or 0
-    refs = refs.unionByName(crowd.where("NOT again").select("doc_id", "text_id", "lo", "hi", apart))
+    asked = refs.count()
+    refs = refs.unionByName(crowd.where("NOT again").drop("again"))
     of_doc = refs.groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("lo", "hi", "bucket")).alias("refs"))
     cut = long_rows.join(of_doc, ["doc_id", "text_id"]).mapInPandas(_cut_out(max(1, -(-asked // BUCKET_PIECES))), "bucket long, doc_id long, text_id long, lo int, piece binary")
     cut = cut_lineage(cut)
     merged = cut.where("bucket >= 0").groupBy("bucket").applyInPandas(_bucket, MARKS).select("doc_id", "text_id", "lo", "hi")
     strings = cut.where("bucket < 0")
     first = strings.groupBy("piece").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc")
-    again = strings.join(first, "piece").where("doc_id > first_doc").groupBy("doc_id", "text_id").agg(F.collect_list("lo").alias("lo"))
+    again = strings.join(first, "piece").where("doc_id > first_doc")
     marks = [
         compared.where("bucket IS NULL").select("doc_id", "text_id", "lo", "hi"),
         crowd.where("again").select("doc_id", "text_id", "lo", "hi"),
