@@ -214,7 +214,7 @@ def _cut_out(buckets: int):
         for batch in slices(batches):
             for doc, text_id, text, refs in zip(batch["doc_id"], batch["text_id"], batch["text"], batch["refs"], strict=True):
                 data = text.encode("utf-8", "replace")
-                for lo, hi, anchor in sorted((r["lo"], r["hi"], r["bucket"]) for r in refs):
+                for lo, hi, anchor in zip(*(np.hstack([r[k] for r in refs]).tolist() for k in ("lo", "hi", "bucket")), strict=True):
                     if anchor >= 0:
                         out.append((anchor % buckets, doc, text_id, lo, data[lo : hi + WINDOW]))
                     else:
