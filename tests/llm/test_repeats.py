@@ -168,3 +168,73 @@ def test_marks_are_flat_and_places_next_to_each_other_are_one():
     got = repeats._bucket(pd.DataFrame(cut, columns=["bucket", "doc_id", "text_id", "lo", "piece"]))
     assert (got["doc_id"] == 2).all() and (got["text_id"] == 12).all() and len(got) == 1
     assert (got["lo"][0], got["hi"][0]) == (1, 21)
+
+
+def test_runs_around_an_anchor_leave_a_crowd_before_it_goes_string_by_string(spark, monkeypatch):
+    """Near copies: nearly all strings beside an edit are repeats, but few of them are joined one by one."""
+    monkeypatch.setattr(repeats, "SAMPLE", 1)
+    monkeypatch.setattr(repeats, "MANY", 2)
+    steps, cut = [], repeats.cut_lineage
+    monkeypatch.setattr(repeats, "cut_lineage", lambda df: steps.append(cut(df)) or steps[-1])
+    luck = random.Random(11)
+    word = lambda: "".join(luck.choice("abcdefghij") for _ in range(7))
+    base = [word() for _ in range(150)]
+
+    def joined(n: int) -> int:
+        docs = [(0, " ".join(base))]
+        for i in range(1, n):
+            words = list(base)
+            for at in range(luck.randrange(25), 150, 25):
+                words[at] = word()
+            docs.append((i, " ".join(words)))
+        steps.clear()
+        assert found(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)) == brute(docs)
+        return steps[-1].count()
+
+    few, many = joined(60), joined(120)
+    # Six edits a document, at each 3.5 strings or so on either side that share a run with a changed one; before, 15 or so.
+    assert 0 < few < 60 * 6 * 2 * 7 and many < 2.5 * few
+
+
+def test_runs_are_counted_from_the_anchor():
+    luck = random.Random(12)
+    shared = bytes(luck.choice(b"abcd") for _ in range(90))
+    texts = [b"xyz" + shared, b"q" * 20 + shared + b"rs"]
+    p = pieces(texts)
+    rows = []
+    for d, text in enumerate(texts):
+        mine = p["doc"] == d
+        rows.append((d, d, text.decode(), [{"lo": p["lo"][mine], "hi": p["hi"][mine], "bucket": np.full(mine.sum(), -1)}]))
+    got = pd.concat(repeats._cut_out(1, repeats.RUN)(iter([pd.DataFrame(rows, columns=["doc_id", "text_id", "text", "refs"])])))
+    # Every string lies in one row, and rows hold RUN strings at most.
+    places = sorted((d, lo + k) for d, lo, piece in zip(got["doc_id"], got["lo"], got["piece"], strict=True) for k in range(len(piece) - WINDOW + 1))
+    assert places == [(d, at) for d, t in enumerate(texts) for at in range(len(t) - WINDOW + 1)]
+    assert got["piece"].map(len).max() == WINDOW + repeats.RUN - 1
+    assert all(texts[d][lo : lo + len(piece)] == piece for d, lo, piece in zip(got["doc_id"], got["lo"], got["piece"], strict=True))
+    # Of the 41 shared strings, all but those of the outermost runs are in equal rows.
+    ours, theirs = (set(got.loc[got["doc_id"] == d, "piece"]) for d in (0, 1))
+    assert sum(len(x) - WINDOW + 1 for x in ours & theirs) >= 41 - 2 * repeats.RUN
+
+
+def test_pieces_of_a_part_are_ordered_by_anchor_and_whole_piece():
+    luck = np.random.default_rng(13)
+    anchor = luck.integers(0, 40, 3000).astype(np.uint64) << np.uint64(30)
+    # Many whole pieces that agree in their lower 16 bits.
+    whole = (luck.integers(0, 6, 3000).astype(np.uint64) << np.uint64(16)) | luck.integers(0, 3, 3000).astype(np.uint64)
+    order = repeats._by_anchor(anchor, whole)
+    assert sorted(order.tolist()) == list(range(3000))
+    pairs = list(zip(anchor[order].tolist(), whole[order].tolist(), strict=True))
+    assert [a for a, _ in pairs] == sorted(anchor.tolist())
+    assert sum(repeats._groups(anchor[order], whole[order])) == len(set(pairs))
+
+
+def test_a_document_is_numbered_anew_in_each_part(spark):
+    luck = random.Random(14)
+    docs = [(i * 7, i, "".join(luck.choice("abcdefgh ") for _ in range(400))) for i in range(50)]
+    batch = pd.DataFrame(docs, columns=["doc_id", "text_id", "text"])
+    out = pd.concat(repeats._shipped(5, np.array([], np.uint64))(iter([batch])))
+    want, got = pieces([t.encode() for _, _, t in docs]), []
+    for ids, texts, data in zip(out["docs"], out["texts"], out["payload"], strict=True):
+        p = repeats._unpack(data)
+        got += zip(np.asarray(ids)[p["doc"]].tolist(), np.asarray(texts)[p["doc"]].tolist(), p["lo"].tolist(), p["hi"].tolist(), strict=True)
+    assert sorted(got) == sorted((d * 7, d, lo, hi) for d, lo, hi in zip(want["doc"].tolist(), want["lo"].tolist(), want["hi"].tolist(), strict=True))

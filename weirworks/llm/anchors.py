@@ -1,6 +1,6 @@
 """Cutting texts into overlapping pieces such that equal 50-byte strings fall in pieces with the same anchor.
 
-Of the 16-byte strings inside a 50-byte string, the one with the smallest hash (the first of equals) is its anchor. All
+Of the 16-byte strings inside a 50-byte string, the one with the smallest upper half of a hash (the first of equals) is its anchor. All
 50-byte strings around one anchor form a piece. Equal strings have equal anchors, so a repeat is found by looking only
 at pieces of one anchor, and no repeat is missed.
 """
@@ -14,47 +14,50 @@ from weirworks.llm.hashing import BASE, INVERSE, powers
 
 WINDOW, KEY = 50, 16
 SPAN = WINDOW - KEY + 1
+PLACE = np.uint64(0xFFFFFFFF)
 
 
 def pieces(texts: list[bytes]) -> dict[str, np.ndarray]:
     """The pieces of all texts, in order: doc (number of the text), lo and hi (first and last place of a 50-byte string
     with this anchor), at (place of the anchor), anchor and whole (hashes of the anchor and of all bytes from lo to the end of the last string)."""
     lengths = np.array([len(t) for t in texts], np.int64)
-    data = np.frombuffer(b"".join(texts) + b"\0" * 8, np.uint8)
-    n = len(data) - 8
+    joined = b"".join(texts) + b"\0" * 16
+    n = len(joined) - 16
     none = np.array([], np.int64)
     if n < WINDOW:
         return {"doc": none, "lo": none, "hi": none, "at": none, "anchor": none.astype(np.uint64), "whole": none.astype(np.uint64)}
     eight = np.empty(n, np.uint64)
-    wide = np.r_[data, np.zeros(8, np.uint8)].tobytes()
     for s in range(8):
-        eight[s::8] = np.frombuffer(wide, "<u8", count=len(eight[s::8]), offset=s)
+        eight[s::8] = np.frombuffer(joined, "<u8", count=len(eight[s::8]), offset=s)
     keys = mix(eight[: n - 15] * np.uint64(BASE) + mix(eight[8 : n - 7]))
-    best, at, have = keys, np.arange(len(keys), dtype=np.int32), 1
+    # The upper half of a hash with its place below it: the smallest number is the first of the smallest hashes.
+    best, have = (keys & ~PLACE) | np.arange(len(keys), dtype=np.uint64), 1
     while have < SPAN:
         step = min(have, SPAN - have)
-        right = best[step:] < best[:-step]
-        at = np.where(right, at[step:], at[:-step])
-        best = np.where(right, best[step:], best[:-step])
+        best = np.minimum(best[step:], best[:-step])
         have += step
+    chosen = (best & PLACE).astype(np.int64)
     ends = np.cumsum(lengths)
     starts = ends - lengths
-    # Windows that lie inside one text.
+    # A piece ends where the anchor changes; windows across two texts are cut off and left out.
+    new = np.empty(len(chosen), bool)
+    new[0] = True
+    np.not_equal(chosen[1:], chosen[:-1], out=new[1:])
     long_enough = lengths >= WINDOW
-    inside = np.zeros(n + 1, np.int8)
-    np.add.at(inside, starts[long_enough], 1)
-    np.add.at(inside, ends[long_enough] - WINDOW + 1, -1)
-    place = np.flatnonzero(np.cumsum(inside[:n]) > 0)
-    if not len(place):
-        return {"doc": none, "lo": none, "hi": none, "at": none, "anchor": none.astype(np.uint64), "whole": none.astype(np.uint64)}
-    chosen = at[place]
-    first = np.flatnonzero(np.r_[True, chosen[1:] != chosen[:-1]])
-    lo, hi, anchor_at = place[first], place[np.r_[first[1:] - 1, len(place) - 1]], chosen[first]
+    new[starts[long_enough]] = True
+    beyond = ends[long_enough] - WINDOW + 1
+    new[beyond[beyond < len(new)]] = True
+    lo = np.flatnonzero(new)
+    hi = np.r_[lo[1:] - 1, len(chosen) - 1]
+    doc = np.repeat(np.arange(len(texts)), np.diff(np.r_[0, np.searchsorted(lo, ends)]))
+    inside = lo + WINDOW <= ends[doc]
+    lo, hi, doc = lo[inside], hi[inside], doc[inside]
+    anchor_at = chosen[lo]
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data[:n].astype(np.uint64) + np.uint64(1)) * powers(n, BASE)[:n], out=sums[1:])
+    np.cumsum((np.frombuffer(joined, np.uint8, n).astype(np.uint64) + np.uint64(1)) * powers(n, BASE)[:n], out=sums[1:])
     whole = mix((sums[hi + WINDOW] - sums[lo]) * powers(n, INVERSE)[lo] + mix(((hi - lo) * 64 + (anchor_at - lo)).astype(np.uint64)))
-    doc = np.searchsorted(ends, lo, side="right")
-    return {"doc": doc, "lo": lo - starts[doc], "hi": hi - starts[doc], "at": anchor_at - starts[doc], "anchor": keys[anchor_at], "whole": whole}
+    start = starts[doc]
+    return {"doc": doc, "lo": lo - start, "hi": hi - start, "at": anchor_at - start, "anchor": keys[anchor_at], "whole": whole}
 
 
 def shared_parts(strings: list[bytes], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

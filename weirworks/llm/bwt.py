@@ -10,7 +10,30 @@ from __future__ import annotations
 
 import numpy as np
 
-BASE, SYMBOLS_A_KEY = 257, 7
+BASE = 257
+
+
+def _sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys (not negative) in order, and the stable order itself.
+
+    Where both fit into one number, a key is sorted with its place behind it, which is much faster than sorting places.
+    """
+    bits = max(1, len(keys) - 1).bit_length()
+    if int(keys.max(initial=0)) >> (63 - bits):
+        order = np.argsort(keys, kind="stable")
+        return keys[order], order
+    both = np.sort((keys << bits) | np.arange(len(keys)))
+    return both >> bits, both & ((1 << bits) - 1)
+
+
+def _named(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and the number of each value among them."""
+    ordered, order = _sorted(values)
+    new = np.ones(len(ordered), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    names = np.empty(len(values), np.int64)
+    names[order] = np.cumsum(new) - 1
+    return ordered[new], names
 
 
 def collection(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -33,21 +56,27 @@ def transform(data: np.ndarray, number: np.ndarray, step: int = 1) -> tuple[np.n
     end = last[number]
     longest = int(np.diff(np.r_[-1, last]).max())
     here = np.arange(n)
-    # Seven symbols of nine bits fill the first key; places behind a string's end count as 0.
+    # As many symbols as fit beside a place make the first key; places behind a string's end count as 0.
+    used, code = _named(data.astype(np.int64))
+    wide = max(1, (len(used) - 1).bit_length())
+    span = max(1, (63 - max(1, n - 1).bit_length()) // wide)
+    left = end - here
     key = np.zeros(n, np.int64)
-    for k in range(SYMBOLS_A_KEY):
-        key = (key << 9) | np.where(here + k <= end, data[np.minimum(here + k, n - 1)], 0)
-    span = SYMBOLS_A_KEY
+    for k in range(span):
+        key <<= wide
+        key[: n - k] |= np.where(left[: n - k] >= k, code[k:], 0)
     while True:
-        order = np.argsort(key, kind="stable")
+        ordered, order = _sorted(key)
         if span >= longest:
             break
-        ordered = key[order]
         rank = np.empty(n, np.int64)
-        rank[order] = np.r_[0, np.cumsum(ordered[1:] != ordered[:-1])]
-        ahead = here + span
-        second = np.where(ahead <= end, rank[np.minimum(ahead, n - 1)] + 1, 0)
-        key = rank * (int(second.max()) + 1) + second
+        new = np.zeros(n, np.int64)
+        new[1:] = ordered[1:] != ordered[:-1]
+        rank[order] = np.cumsum(new)
+        # A string's end makes its suffixes differ from longer ones, so what lies behind it is not looked at.
+        key = rank * (n + 1)
+        if span < n:
+            key[: n - span] += np.where(left[: n - span] >= span, rank[span:] + 1, 0)
         span *= 2
     before = here - 1
     before[np.r_[0, last[:-1] + 1]] = last
@@ -58,14 +87,6 @@ def transform(data: np.ndarray, number: np.ndarray, step: int = 1) -> tuple[np.n
     return symbol, order
 
 
-def _dealt(symbols: np.ndarray, kinds: int) -> np.ndarray:
-    """The stable order of numbers below ``kinds``, by 16 bits at a time, which numpy deals out without comparing."""
-    order = np.argsort((symbols & 0xFFFF).astype(np.uint16), kind="stable")
-    if kinds > 1 << 16:
-        order = order[np.argsort((symbols >> 16).astype(np.uint16)[order], kind="stable")]
-    return order
-
-
 def merge(shards: list[np.ndarray], depth: int, step: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """The interleave of the shards' transforms, and the common prefix of each suffix with the one before it.
 
@@ -74,9 +95,8 @@ def merge(shards: list[np.ndarray], depth: int, step: int = 1) -> tuple[np.ndarr
     all suffixes by ``step`` symbols more, as these stand before a suffix whose place is known. Two neighbours part in
     the round in which they begin with different symbols or went on with suffixes that had parted. Ends of strings differ.
     """
-    total, cuts = sum(map(len, shards)), np.cumsum([len(s) for s in shards])[:-1]
-    used, names = np.unique(np.concatenate(shards), return_inverse=True)
-    shards = np.split(names.astype(np.int32), cuts)
+    used, names = _named(np.concatenate(shards))
+    total = len(names)
     ends = np.zeros(len(used), bool)
     for k in range(step):
         ends |= used // BASE**k % BASE == 0
@@ -84,16 +104,12 @@ def merge(shards: list[np.ndarray], depth: int, step: int = 1) -> tuple[np.ndarr
     prefix = np.full(total, depth, np.int16)
     group = np.zeros(total, np.int32)
     parted = np.zeros(total, bool)
-    symbols = np.empty(total, np.int32)
+    symbols = names.copy()
     for n in range(0, depth, step):
-        if len(shards) == 1:
-            symbols = shards[0]
-        else:
-            for k, shard in enumerate(shards):
-                symbols[interleave == k] = shard
-        deal = _dealt(symbols, len(used))
-        symbol, before = symbols[deal], group[deal]
-        interleave = interleave[deal]
+        if len(shards) > 1:
+            symbols[np.argsort(interleave, kind="stable")] = names
+        symbol, deal = _sorted(symbols)
+        interleave, before = interleave[deal], group[deal]
         edge = ends[symbol]
         edge[0] = True
         edge[1:] |= (symbol[1:] != symbol[:-1]) | (before[1:] != before[:-1])

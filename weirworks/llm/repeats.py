@@ -7,7 +7,8 @@
    (``bwt``). Neighbours with a common prefix of 50 bytes form an interval; in an interval, the strings of all but the
    smallest document are repeats.
 3. An anchor with very many pieces goes through plain aggregations instead, first by whole pieces, then, for pieces that no
-   smaller document holds whole, string by string. So no bucket grows with the number of documents that share a passage.
+   smaller document holds whole, by runs of seven strings, and for runs that no smaller document holds, string by
+   string. So no bucket grows with the number of documents that share a passage.
    Such anchors are found by counting the pieces of a sample of the rows first, so their pieces don't travel by anchor
    at all; smaller crowds show when the pieces of an anchor are compared.
 4. Every document gets its repeats back and loses the bytes that they cover.
@@ -26,9 +27,10 @@ from pyspark.sql import functions as F
 from weirworks.llm import bwt
 from weirworks.llm.anchors import WINDOW, pieces, shared_parts
 from weirworks.llm.common import LAST_ID, col, slices, text_or_empty
+from weirworks.llm.hashing import BASE
 from weirworks.session import cut_lineage
 
-FLUSH_BYTES, CHUNK_BYTES, PART_BYTES = 8 << 20, 1 << 20, 6 << 20
+FLUSH_BYTES, CHUNK_BYTES, PART_BYTES = 8 << 20, 1 << 17, 6 << 20  # a chunk's arrays of eight bytes a place stay in a core's cache
 BUCKET_PIECES, SHARD_PIECES, MANY = 12_000, 3_000, 2_048
 SAMPLE, CROWDS = 32, 1_000_000  # one row in SAMPLE is counted; anchors that are sent apart at most
 WIDTH = 19  # bytes of a packed piece
@@ -36,6 +38,7 @@ STEP = 5  # symbols by which a round of the merge refines the order; WINDOW is a
 MARKS = "doc_id long, text_id long, lo int, hi int"
 # Of crowded anchors (bucket -1) the anchor and the hash of the whole piece too.
 COMPARED = MARKS + ", bucket long, anchor long, whole long"
+RUN = 7  # strings of a crowded anchor that are first compared together; a piece has 35 at most
 STRINGS = 20_000  # rows of strings made before they are handed on
 
 
@@ -69,6 +72,21 @@ def _groups(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
+def _by_anchor(anchor: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """The order of packed pieces by anchor, then whole: by 48 and 16 bits at once, and again where those 16 are not enough."""
+    key = (anchor << np.uint64(16)) | (whole & np.uint64(0xFFFF))
+    order = np.argsort(key)
+    ordered, of_whole = key[order], whole[order]
+    new = _groups(ordered)
+    group = np.cumsum(new) - 1
+    clash = np.zeros(len(order), bool)
+    clash[group[~new & _groups(of_whole)]] = True
+    again = np.flatnonzero(clash[group])
+    part = order[again]
+    order[again] = part[np.lexsort((whole[part], key[part]))]
+    return order
+
+
 def _by_doc(number: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
     order = np.argsort(number, kind="stable")
     cuts = np.flatnonzero(_groups(number[order])) if len(order) else np.array([], np.int64)
@@ -107,24 +125,32 @@ def _shipped(parts: int, crowds: np.ndarray):
 
     def flush(held: list[dict[str, np.ndarray]], docs: list[int], texts: list[int]) -> Iterator[tuple]:
         p = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
-        ids = np.array(docs, np.int64)
-        order = np.lexsort((ids[p["doc"]], p["whole"], p["anchor"]))
-        p = {k: v[order] for k, v in p.items()}
-        new = _groups(p["anchor"], p["whole"])
-        copy = ids[p["doc"]] > ids[p["doc"]][np.flatnonzero(new)][np.cumsum(new) - 1] if len(new) else new
+        ids, names = np.array(docs, np.int64), np.array(texts, np.int64)
+        # Should two hashes clash here, a copy travels like any other piece.
+        order = np.argsort(p["anchor"] ^ (p["whole"] * np.uint64(BASE)))
+        new = _groups(p["anchor"][order], p["whole"][order])
+        doc, copy = ids[p["doc"][order]], np.zeros(len(order), bool)
+        copy[order] = doc > np.minimum.reduceat(doc, np.flatnonzero(new))[np.cumsum(new) - 1] if len(new) else new
         crowd = np.isin(p["anchor"], crowds) & ~copy
         for doc, (lo, hi) in _by_doc(p["doc"][copy], p["lo"][copy], p["hi"][copy]):
             yield doc % parts, [docs[doc]], [texts[doc]], None, lo, hi, None, None
         for doc, (lo, hi, anchor, whole) in _by_doc(p["doc"][crowd], *(p[k][crowd] for k in ("lo", "hi", "anchor", "whole"))):
             yield doc % parts, [docs[doc]], [texts[doc]], None, lo, hi, anchor.view(np.int64), whole.view(np.int64)
         p = {k: v[~copy & ~crowd] for k, v in p.items()}
-        part = ((p["anchor"] >> np.uint64(16)) % np.uint64(parts)).astype(np.int64)
+        part = ((p["anchor"] >> np.uint64(16)) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
+        order = np.argsort(part, kind="stable")
+        part, p = part[order], {k: v[order] for k, v in p.items()}
+        # Within a part, documents are in order; each part numbers those that it has.
+        new = _groups(part)
+        first = new | _groups(p["doc"])
+        used = np.cumsum(first) - 1
+        head, cuts = np.flatnonzero(first), np.flatnonzero(new)
+        ids, names = ids[p["doc"][head]], names[p["doc"][head]]
+        p["doc"] = used - used[cuts][np.cumsum(new) - 1] if len(cuts) else used
         packed = _pack(p)
-        for n, (rows,) in _by_doc(part, packed):
-            used = np.unique(_unpack(rows.tobytes())["doc"])
-            rows = rows.copy()
-            rows[:, 12:14] = np.searchsorted(used, rows[:, 12].astype(np.int64) + 256 * rows[:, 13].astype(np.int64)).astype("<u2").view(np.uint8).reshape(-1, 2)
-            yield n, ids[used], np.array(texts, np.int64)[used], rows.tobytes(), None, None, None, None
+        stops = np.r_[cuts[1:], len(part)]
+        for n, a, b, c, d in zip(part[cuts].tolist(), cuts.tolist(), stops.tolist(), used[cuts].tolist(), (used[stops - 1] + 1).tolist(), strict=True) if len(cuts) else ():
+            yield n, ids[c:d], names[c:d], packed[a:b].tobytes(), None, None, None, None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, docs, texts, size = [], [], [], 0
@@ -141,6 +167,7 @@ def _shipped(parts: int, crowds: np.ndarray):
                     length += len(data[end])
                     end += 1
                 found = pieces(data[at:end])
+                del found["at"]
                 found["doc"] = found["doc"] + len(docs)
                 held.append(found)
                 docs += batch["doc_id"].iloc[at:end].tolist()
@@ -186,11 +213,11 @@ def _compared(rows: pd.DataFrame) -> pd.DataFrame:
         docs, texts = np.concatenate(docs), np.concatenate(texts)
         p = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
         doc = docs[p["number"]]
-        order = np.lexsort((doc, p["whole"], p["anchor"]))
+        order = _by_anchor(p["anchor"], p["whole"])
         p, doc = {k: v[order] for k, v in p.items()}, doc[order]
         new_anchor = _groups(p["anchor"])
         new = new_anchor | _groups(p["whole"])
-        whole = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+        whole = doc > np.minimum.reduceat(doc, np.flatnonzero(new))[np.cumsum(new) - 1]
         anchor = np.cumsum(new_anchor) - 1
         begins = np.flatnonzero(new_anchor)
         several = (np.bincount(anchor[new]) > 1) & (np.minimum.reduceat(doc, begins) < np.maximum.reduceat(doc, begins))
@@ -204,26 +231,56 @@ def _compared(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(done, ignore_index=True) if done else pd.DataFrame(columns=names)
 
 
-def _cut_out(buckets: int):
-    """The bytes of the pieces to compare; of crowded anchors (bucket -1) every 50-byte string by itself."""
+def _cut_out(buckets: int, run_of: int = 1):
+    """The bytes of the pieces to compare; of crowded anchors (bucket -1) every 50-byte string by itself.
+
+    With ``run_of``, runs of at most so many neighbouring strings are left together. They are counted from the anchor, so
+    the same strings around an anchor form the same runs.
+    """
 
-    names = ["bucket", "doc_id", "text_id", "lo", "piece"]
+    def frames(docs: list[int], texts: list[int], data: list[bytes], refs: list[list[np.ndarray]]) -> Iterator[pd.DataFrame]:
+        doc_id, text_id = np.array(docs, np.int64), np.array(texts, np.int64)
+        owner = np.repeat(np.arange(len(refs)), [len(r[0]) for r in refs])
+        lo, hi, anchor = (np.concatenate(c) for c in zip(*refs, strict=True))
+        plain = anchor >= 0
+        # Each place of a crowded piece is a string; a plain piece is one as a whole.
+        n = np.where(plain, 1, hi - lo + 1)
+        at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        if run_of > 1 and not plain.all():
+            crowd = np.flatnonzero(~plain)
+            found = pieces([data[d][x : y + WINDOW] for d, x, y in zip(*(c[crowd].tolist() for c in (owner, lo, hi)), strict=True)])
+            middle = lo.copy()
+            middle[crowd[found["doc"]]] += found["at"]
+            begins = (at == np.repeat(lo, n)) | ((np.repeat(middle, n) - at) % run_of == run_of - 1)
+            n = np.add.reduceat(begins, np.cumsum(n) - n, dtype=np.int64)
+            at = at[begins]
+        ref = np.repeat(np.arange(len(lo)), n)
+        # A row reaches to the next one of its piece.
+        end = hi[ref] + WINDOW
+        same = np.flatnonzero(ref[1:] == ref[:-1])
+        end[same] = at[same + 1] + WINDOW - 1
+        of, bucket = owner[ref], np.where(plain, anchor % buckets, -1)[ref]
+        for a in range(0, len(at), STRINGS):
+            some = slice(a, a + STRINGS)
+            piece = [data[d][x:y] for d, x, y in zip(*(c[some].tolist() for c in (of, at, end)), strict=True)]
+            columns = (bucket[some], doc_id[of[some]], text_id[of[some]], at[some], piece)
+            yield pd.DataFrame(dict(zip(("bucket", "doc_id", "text_id", "lo", "piece"), columns, strict=True)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = []
+        docs, texts, data, refs, size = [], [], [], [], 0
         for batch in slices(batches):
-            for doc, text_id, text, refs in zip(batch["doc_id"], batch["text_id"], batch["text"], batch["refs"], strict=True):
-                data = text.encode("utf-8", "replace")
-                for lo, hi, anchor in zip(*(np.hstack([r[k] for r in refs]).tolist() for k in ("lo", "hi", "bucket")), strict=True):
-                    if anchor >= 0:
-                        out.append((anchor % buckets, doc, text_id, lo, data[lo : hi + WINDOW]))
-                    else:
-                        out += [(-1, doc, text_id, at, data[at : at + WINDOW]) for at in range(lo, hi + 1)]
-                    if len(out) >= STRINGS:
-                        yield pd.DataFrame(out, columns=names)
-                        out = []
-        if out:
-            yield pd.DataFrame(out, columns=names)
+            for doc, text_id, text, of_doc in zip(batch["doc_id"], batch["text_id"], batch["text"], batch["refs"], strict=True):
+                lo, hi, anchor = (np.hstack([r[k] for r in of_doc]).astype(np.int64) for k in ("lo", "hi", "bucket"))
+                docs.append(doc)
+                texts.append(text_id)
+                data.append(text.encode("utf-8", "replace"))
+                refs.append([lo, hi, anchor])
+                size += int(np.where(anchor < 0, hi - lo + 1, 1).sum())
+                if size >= STRINGS:
+                    yield from frames(docs, texts, data, refs)
+                    docs, texts, data, refs, size = [], [], [], [], 0
+        if docs:
+            yield from frames(docs, texts, data, refs)
 
     return run
 
@@ -316,18 +373,28 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     refs = compared.where("bucket IS NOT NULL AND anchor IS NULL").select("doc_id", "text_id", "lo", "hi", "bucket")
     asked = refs.count()
     refs = refs.unionByName(crowd.where("NOT again").drop("again"))
+    # One struct of three arrays is quicker to read than many structs.
     of_doc = refs.groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("lo", "hi", "bucket")).alias("refs"))
-    cut = long_rows.join(of_doc, ["doc_id", "text_id"]).mapInPandas(_cut_out(max(1, -(-asked // BUCKET_PIECES))), "bucket long, doc_id long, text_id long, lo int, piece binary")
-    cut = cut_lineage(cut)
+    of_doc = of_doc.withColumn("refs", F.array(F.struct(*(F.col(f"refs.{c}").alias(c) for c in ("lo", "hi", "bucket")))))
+    cut = _cut_out(max(1, -(-asked // BUCKET_PIECES)), RUN)
+    cut = cut_lineage(long_rows.join(of_doc, ["doc_id", "text_id"]).mapInPandas(cut, "bucket long, doc_id long, text_id long, lo int, piece binary"))
     merged = cut.where("bucket >= 0").groupBy("bucket").applyInPandas(_bucket, MARKS).select("doc_id", "text_id", "lo", "hi")
-    strings = cut.where("bucket < 0")
+
+    # Likewise, of their runs of strings only those go string by string that no smaller document holds as they are.
+    runs = cut.where("bucket < 0").drop("bucket")
+    first = runs.groupBy("piece").agg(F.min("doc_id").alias("first_doc"))
+    runs = cut_lineage(runs.join(first, "piece").withColumn("again", again))
+    single = F.expr(f"transform(sequence(0, octet_length(piece) - {WINDOW}), i -> substring(piece, i + 1, {WINDOW}))")
+    strings = runs.where("NOT again").select("doc_id", "text_id", "lo", F.posexplode(single).alias("at", "piece"))
+    strings = strings.select("doc_id", "text_id", (F.col("lo") + F.col("at")).alias("lo"), "piece")
     first = strings.groupBy("piece").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc")
-    again = strings.join(first, "piece").where("doc_id > first_doc")
+    repeated = strings.join(first, "piece").where("doc_id > first_doc")
     marks = [
         compared.where("bucket IS NULL").select("doc_id", "text_id", "lo", "hi"),
         crowd.where("again").select("doc_id", "text_id", "lo", "hi"),
         cut_lineage(merged),
-        cut_lineage(again.select("doc_id", "text_id", "lo", F.col("lo").alias("hi"))),
+        runs.where("again").select("doc_id", "text_id", "lo", (F.col("lo") + F.octet_length("piece") - WINDOW).alias("hi")),
+        cut_lineage(repeated.select("doc_id", "text_id", "lo", F.col("lo").alias("hi"))),
     ]
     marks = reduce(DataFrame.unionByName, marks).groupBy("doc_id", "text_id").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
     named = rows.select("doc_id", "text_id", "text", F.col("id").isNotNull().alias("has_id"))
