@@ -238,3 +238,16 @@ def test_a_document_is_numbered_anew_in_each_part(spark):
         p = repeats._unpack(data)
         got += zip(np.asarray(ids)[p["doc"]].tolist(), np.asarray(texts)[p["doc"]].tolist(), p["lo"].tolist(), p["hi"].tolist(), strict=True)
     assert sorted(got) == sorted((d * 7, d, lo, hi) for d, lo, hi in zip(want["doc"].tolist(), want["lo"].tolist(), want["hi"].tolist(), strict=True))
+
+
+def test_a_bucket_without_a_repeat():
+    """Pieces that share the bytes beside their anchor, as words at an edit do, but no 50-byte string."""
+    luck = random.Random(15)
+    middle = bytes(luck.choice(b"abcd") for _ in range(44))
+    texts = [bytes(luck.choice(b"efgh") for _ in range(20)) + middle + bytes(luck.choice(b"efgh") for _ in range(20)) for _ in range(2)]
+    p = pieces(texts)
+    cut = [(0, d + 1, d + 11, lo, texts[d][lo : hi + WINDOW]) for d, lo, hi in zip(p["doc"].tolist(), p["lo"].tolist(), p["hi"].tolist(), strict=True)]
+    rows = pd.DataFrame(cut, columns=["bucket", "doc_id", "text_id", "lo", "piece"])
+    assert len(shared_parts([bytes(x) for x in rows["piece"]], rows["doc_id"].to_numpy())[0])
+    got = repeats._bucket(rows)
+    assert len(got) == 0 and list(got.columns) == ["doc_id", "text_id", "lo", "hi"]

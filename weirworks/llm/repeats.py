@@ -313,9 +313,12 @@ def _bucket(rows: pd.DataFrame) -> pd.DataFrame:
     doc, text, lo = rows["doc_id"].to_numpy(), rows["text_id"].to_numpy(), rows["lo"].to_numpy()
     strings = [bytes(p) for p in rows["piece"]]
     kept, low, high = shared_parts(strings, doc)
+    none = pd.DataFrame({c.split()[0]: [] for c in MARKS.split(", ")})
     if not len(kept):
-        return pd.DataFrame({c.split()[0]: [] for c in MARKS.split(", ")})
+        return none
     number, place = repeated_strings([strings[n][a:b] for n, a, b in zip(kept.tolist(), low.tolist(), high.tolist(), strict=True)], doc[kept])
+    if not len(number):
+        return none
     at = lo[kept[number]] + low[number] + place
     number = kept[number]
     source = np.cumsum(_groups(doc, text)) - 1
