@@ -1,9 +1,13 @@
 import random
+import time
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from helpers_llm import no_docs, odd_docs, small_docs  # noqa: F401
+from pyspark.sql import functions as F
 
+from weirworks import session
 from weirworks.llm import bwt, repeats
 from weirworks.llm.anchors import WINDOW, pieces, shared_parts
 
@@ -251,3 +255,86 @@ def test_a_bucket_without_a_repeat():
     assert len(shared_parts([bytes(x) for x in rows["piece"]], rows["doc_id"].to_numpy())[0])
     got = repeats._bucket(rows)
     assert len(got) == 0 and list(got.columns) == ["doc_id", "text_id", "lo", "hi"]
+
+
+def test_pieces_of_many_parts_stay_small():
+    """At thousands of parts each piece travels with an id of its own: that and what hardly varies must compress."""
+    luck = random.Random(8)
+    words = ["".join(luck.choice("abcdefghij") for _ in range(6)) for _ in range(3_000)]
+    rows = [(10_000_000 + 3 * n, 0, " ".join(luck.choices(words, k=300))) for n in range(500)]
+    made = repeats._shipped(400, np.array([], np.uint64))
+    sent = pd.concat(getattr(repeats, "_sent", lambda f: f)(made)(iter([pd.DataFrame(rows, columns=["doc_id", "text_id", "text"])])))
+    size = lambda v: v if isinstance(v, bytes) else np.asarray(v, np.int64).tobytes()
+    packed = [len(pa.compress(b"".join(map(size, sent[c])), codec="lz4", asbytes=True)) for c in ("docs", "texts", "payload")]
+    held = [repeats._unpack(p) for p in sent["payload"]]
+    assert sum(packed) < 22 * sum(len(h["anchor"]) for h in held)
+    # What comes out is what went in.
+    want = pieces([t.encode() for _, _, t in rows])
+    ids = [repeats._unpack_ids(d)[h["doc"]] for d, h in zip(sent["docs"], held, strict=True)]
+    got = {k: np.concatenate([h[k] for h in held]).tolist() for k in ("lo", "hi", "anchor", "whole")}
+    low = np.uint64((1 << 48) - 1)
+    want = (np.array([r[0] for r in rows])[want["doc"]], want["lo"], want["hi"], want["anchor"] & low, want["whole"] & low)
+    assert sorted(zip(np.concatenate(ids).tolist(), *got.values(), strict=True)) == sorted(zip(*(w.tolist() for w in want), strict=True))
+
+
+def test_ids_and_places_of_any_size_are_packed():
+    ids = np.array([-(2**63), 2**63 - 1, -1, 5, 5, 2**62], np.int64)
+    assert repeats._unpack_ids(repeats._pack_ids(ids)).tolist() == ids.tolist()
+    p = {"anchor": np.arange(6, dtype=np.uint64) << np.uint64(40), "whole": np.arange(6, dtype=np.uint64), "left": np.arange(6, dtype=np.uint16), "right": np.full(6, 65_535, np.uint16)}
+    p |= {"doc": np.array([0, 0, 1, 2, 3, 3]), "lo": np.array([0, 70_000, 2**31 - 99, 3, 4, 90]), "hi": np.array([34, 70_001, 2**31 - 99, 30, 9, 95])}
+    out = repeats._unpack(repeats._pack(p))
+    assert all(out[k].tolist() == v.tolist() for k, v in p.items())
+
+
+def test_an_anchor_alone_sends_no_bytes():
+    """Documents that share 16 bytes, but with neither side of them, have no string to compare; with one side they have."""
+    luck = random.Random(9)
+    word = lambda n: "".join(luck.choice("abcdefghij") for _ in range(n))
+    texts = [word(40) + "sixteen bytes..." + word(40) for _ in range(3_000)]
+    side = word(20)
+    texts += [word(40) + "sixteen bytes..." + side + word(20) for _ in range(50)]
+    batch = pd.DataFrame([(n, 0, t) for n, t in enumerate(texts)], columns=["doc_id", "text_id", "text"])
+    made = pd.concat(getattr(repeats, "_sent", lambda f: f)(repeats._shipped(1, np.array([], np.uint64)))(iter([batch])))
+    compared = repeats._compared(made.reset_index(drop=True))
+    asked = compared[compared["bucket"].notna()]
+    _, n = np.unique(pieces([t.encode() for t in texts])["anchor"], return_counts=True)
+    assert n.max() > 20
+    # By two equal hashes of 16 bits one may come along that need not.
+    assert len(set(asked["doc_id"]) - set(range(3_000, 3_050))) < 10 and len(asked) >= 2
+
+
+def test_both_ways_of_telling_rows_of_one_id_apart(spark, monkeypatch):
+    luck = random.Random(10)
+    base = ["".join(luck.choice("abcdef ") for _ in range(150)) for _ in range(5)]
+    docs = [(luck.choice([n, n, 7, 9]), luck.choice(base)[luck.randrange(40) :] + str(luck.random()) * 3 + luck.choice(base)) for n in range(80)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert found(frame) == brute(docs)
+    monkeypatch.setattr(repeats, "SHARED_IDS", 1)
+    assert found(frame) == brute(docs)
+
+
+def test_shuffle_files_of_a_step_go_with_it(spark):
+    """Else those of all steps stand on the disk until the driver collects its garbage."""
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {f for f in blocks.getAllFiles().mkString("\n").split("\n") if f.endswith(".data") and "/shuffle_" in f}
+
+    before, kept = shuffled(), spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    with session.lean_steps(spark):
+        step = session.cut_lineage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    until = time.time() + 20
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffled() - before and step.count() == 7
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == kept
+
+
+def test_no_step_of_the_operator_leaves_shuffle_files(spark, monkeypatch):
+    """Only the last query, which the caller runs, may."""
+    settings = []
+    write = repeats.cut_lineage
+    monkeypatch.setattr(repeats, "cut_lineage", lambda df: settings.append(spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")) or write(df))
+    text = "".join(random.Random(11).choice("abcdefgh") for _ in range(200))
+    assert len(found(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string"))) == 2
+    assert len(settings) > 3 and set(settings) == {"true"}

@@ -14,18 +14,20 @@ from weirworks.llm.hashing import BASE, INVERSE, powers
 
 WINDOW, KEY = 50, 16
 SPAN = WINDOW - KEY + 1
+HALF = SPAN // 2  # a 50-byte string has so many bytes or more beside its anchor, on one side at least
 PLACE = np.uint64(0xFFFFFFFF)
 
 
 def pieces(texts: list[bytes]) -> dict[str, np.ndarray]:
     """The pieces of all texts, in order: doc (number of the text), lo and hi (first and last place of a 50-byte string
-    with this anchor), at (place of the anchor), anchor and whole (hashes of the anchor and of all bytes from lo to the end of the last string)."""
+    with this anchor), at (place of the anchor), anchor and whole (hashes of the anchor and of all bytes from lo to the end of the last string),
+    left and right (hashes of the anchor with the 17 bytes before and after it; 0 where the piece has fewer)."""
     lengths = np.array([len(t) for t in texts], np.int64)
     joined = b"".join(texts) + b"\0" * 16
     n = len(joined) - 16
     none = np.array([], np.int64)
     if n < WINDOW:
-        return {"doc": none, "lo": none, "hi": none, "at": none, "anchor": none.astype(np.uint64), "whole": none.astype(np.uint64)}
+        return {"doc": none, "lo": none, "hi": none, "at": none} | {k: none.astype(np.uint64) for k in ("anchor", "whole", "left", "right")}
     eight = np.empty(n, np.uint64)
     for s in range(8):
         eight[s::8] = np.frombuffer(joined, "<u8", count=len(eight[s::8]), offset=s)
@@ -55,9 +57,19 @@ def pieces(texts: list[bytes]) -> dict[str, np.ndarray]:
     anchor_at = chosen[lo]
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((np.frombuffer(joined, np.uint8, n).astype(np.uint64) + np.uint64(1)) * powers(n, BASE)[:n], out=sums[1:])
-    whole = mix((sums[hi + WINDOW] - sums[lo]) * powers(n, INVERSE)[lo] + mix(((hi - lo) * 64 + (anchor_at - lo)).astype(np.uint64)))
+    back = powers(n, INVERSE)
+    whole = mix((sums[hi + WINDOW] - sums[lo]) * back[lo] + mix(((hi - lo) * 64 + (anchor_at - lo)).astype(np.uint64)))
+
+    def side(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        held = (a >= lo) & (b <= hi + WINDOW)
+        out = np.zeros(len(lo), np.uint64)
+        a, b = a[held], b[held]
+        out[held] = mix((sums[b] - sums[a]) * back[a]) | np.uint64(1)
+        return out
+
     start = starts[doc]
-    return {"doc": doc, "lo": lo - start, "hi": hi - start, "at": anchor_at - start, "anchor": keys[anchor_at], "whole": whole}
+    out = {"doc": doc, "lo": lo - start, "hi": hi - start, "at": anchor_at - start, "anchor": keys[anchor_at], "whole": whole}
+    return out | {"left": side(anchor_at - HALF, anchor_at + KEY), "right": side(anchor_at, anchor_at + KEY + HALF)}
 
 
 def shared_parts(strings: list[bytes], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,7 +84,6 @@ def shared_parts(strings: list[bytes], doc: np.ndarray) -> tuple[np.ndarray, np.
     start = np.cumsum(n) - n
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data), BASE)[: len(data)], out=sums[1:])
-    half = SPAN // 2
 
     def shared(low: np.ndarray, high: np.ndarray) -> np.ndarray:
         ok = np.flatnonzero((low >= 0) & (high <= n))
@@ -88,8 +99,8 @@ def shared_parts(strings: list[bytes], doc: np.ndarray) -> tuple[np.ndarray, np.
         out[ok[order]] = several[group]
         return out
 
-    left, right = shared(at - half, at + KEY), shared(at, at + KEY + half)
-    low = np.where(left, 0, np.maximum(0, at - half))
-    high = np.where(right, n, np.minimum(n, at - half + WINDOW))
+    left, right = shared(at - HALF, at + KEY), shared(at, at + KEY + HALF)
+    low = np.where(left, 0, np.maximum(0, at - HALF))
+    high = np.where(right, n, np.minimum(n, at - HALF + WINDOW))
     keep = np.flatnonzero((left | right) & (high - low >= WINDOW))
     return keep, low[keep], high[keep]

@@ -13,7 +13,7 @@ import numpy as np
 BASE = 257
 
 
-def _sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def in_order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The keys (not negative) in order, and the stable order itself.
 
     Where both fit into one number, a key is sorted with its place behind it, which is much faster than sorting places.
@@ -28,7 +28,7 @@ def _sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _named(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct values in order, and the number of each value among them."""
-    ordered, order = _sorted(values)
+    ordered, order = in_order(values)
     new = np.ones(len(ordered), bool)
     new[1:] = ordered[1:] != ordered[:-1]
     names = np.empty(len(values), np.int64)
@@ -66,7 +66,7 @@ def transform(data: np.ndarray, number: np.ndarray, step: int = 1) -> tuple[np.n
         key <<= wide
         key[: n - k] |= np.where(left[: n - k] >= k, code[k:], 0)
     while True:
-        ordered, order = _sorted(key)
+        ordered, order = in_order(key)
         if span >= longest:
             break
         rank = np.empty(n, np.int64)
@@ -108,7 +108,7 @@ def merge(shards: list[np.ndarray], depth: int, step: int = 1) -> tuple[np.ndarr
     for n in range(0, depth, step):
         if len(shards) > 1:
             symbols[np.argsort(interleave, kind="stable")] = names
-        symbol, deal = _sorted(symbols)
+        symbol, deal = in_order(symbols)
         interleave, before = interleave[deal], group[deal]
         edge = ends[symbol]
         edge[0] = True

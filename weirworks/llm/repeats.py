@@ -21,46 +21,70 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirworks.llm import bwt
 from weirworks.llm.anchors import WINDOW, pieces, shared_parts
 from weirworks.llm.common import LAST_ID, col, slices, text_or_empty
 from weirworks.llm.hashing import BASE
-from weirworks.session import cut_lineage
+from weirworks.session import cut_lineage, lean_steps
 
 FLUSH_BYTES, CHUNK_BYTES, PART_BYTES = 8 << 20, 1 << 17, 6 << 20  # a chunk's arrays of eight bytes a place stay in a core's cache
-BUCKET_PIECES, SHARD_PIECES, MANY = 12_000, 3_000, 2_048
+BUCKET_PIECES, SHARD_PIECES, MANY = 6_000, 3_000, 2_048
 SAMPLE, CROWDS = 32, 1_000_000  # one row in SAMPLE is counted; anchors that are sent apart at most
-WIDTH = 19  # bytes of a packed piece
+WIDTH = 22  # bytes of a packed piece
 STEP = 5  # symbols by which a round of the merge refines the order; WINDOW is a multiple
 MARKS = "doc_id long, text_id long, lo int, hi int"
-# Of crowded anchors (bucket -1) the anchor and the hash of the whole piece too.
-COMPARED = MARKS + ", bucket long, anchor long, whole long"
+# Of crowded anchors (bucket -1) the anchor and the hashes of the whole piece and of its sides too.
+APART = ("anchor", "whole", "left", "right")
+COMPARED = MARKS + ", bucket long" + "".join(f", {c} long" for c in APART)
 RUN = 7  # strings of a crowded anchor that are first compared together; a piece has 35 at most
 STRINGS = 20_000  # rows of strings made before they are handed on
+ID_BUCKETS, SHARED_IDS = 1 << 16, 1_000  # of hashes of ids; those of ids with several rows that are told apart from the others
 
 
-def _pack(p: dict[str, np.ndarray]) -> np.ndarray:
-    """Six bytes of anchor and whole each, then document (2), lo (4) and hi - lo (1)."""
-    out = np.empty((len(p["lo"]), WIDTH), np.uint8)
-    eight = lambda name: np.ascontiguousarray(p[name].astype("<u8")).view(np.uint8).reshape(-1, 8)
-    out[:, 0:6], out[:, 6:12], out[:, 12:14], out[:, 14:18] = eight("anchor")[:, :6], eight("whole")[:, :6], eight("doc")[:, :2], eight("lo")[:, :4]
-    out[:, 18] = p["hi"] - p["lo"]
-    return out
+def _planes(values: np.ndarray, width: int) -> bytes:
+    """The first bytes of all values, then the second ones and so on, so that those that hardly vary compress."""
+    return np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _numbers(data: bytes, rows: int, width: int, at: int = 0) -> np.ndarray:
+    wide = np.zeros((rows, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(data, np.uint8, rows * width, at).reshape(width, rows).T
+    return wide.view("<u8").ravel()
+
+
+def _pack_ids(ids: np.ndarray) -> bytes:
+    """Differences to the number before."""
+    return _planes(np.diff(np.asarray(ids, np.int64), prepend=np.int64(0)), 8)
+
+
+def _unpack_ids(data: bytes) -> np.ndarray:
+    return np.cumsum(_numbers(data, len(data) // 8, 8).view(np.int64))
+
+
+def _pack(p: dict[str, np.ndarray]) -> bytes:
+    """Of pieces in order of their documents, six bytes of anchor and whole each, two of each side, then how far the
+    document is from that of the piece before (1), lo (4) and hi - lo (1)."""
+    planes = [_planes(p[k], width) for k, width in (("anchor", 6), ("whole", 6), ("left", 2), ("right", 2))]
+    planes += [_planes(np.diff(p["doc"], prepend=p["doc"].dtype.type(0)), 1), _planes(p["lo"], 4), _planes(p["hi"] - p["lo"], 1)]
+    return b"".join(planes)
 
 
 def _unpack(data: bytes) -> dict[str, np.ndarray]:
-    rows = np.frombuffer(data, np.uint8).reshape(-1, WIDTH)
+    n, at, out = len(data) // WIDTH, 0, {}
+    for k, width in (("anchor", 6), ("whole", 6), ("left", 2), ("right", 2), ("doc", 1), ("lo", 4), ("hi", 1)):
+        out[k] = _numbers(data, n, width, at)
+        at += n * width
+    out |= {k: out[k].astype(np.uint16) for k in ("left", "right")} | {k: out[k].astype(np.int32) for k in ("lo", "hi")}
+    return out | {"doc": np.cumsum(out["doc"].view(np.int64)), "hi": out["lo"] + out["hi"]}
 
-    def number(a: int, b: int) -> np.ndarray:
-        wide = np.zeros((len(rows), 8), np.uint8)
-        wide[:, : b - a] = rows[:, a:b]
-        return wide.view("<u8").ravel()
 
-    lo = number(14, 18).astype(np.int64)
-    return {"anchor": number(0, 6), "whole": number(6, 12), "doc": number(12, 14).astype(np.int64), "lo": lo, "hi": lo + rows[:, 18]}
+def _halved(side: np.ndarray) -> np.ndarray:
+    """The upper half of hashes of sides; 0 stays for those that are none."""
+    half = side.dtype.itemsize * 4
+    return np.maximum(side >> side.dtype.type(half), side > 0).astype(f"u{half // 8}")
 
 
 def _groups(*keys: np.ndarray) -> np.ndarray:
@@ -114,7 +138,8 @@ def crowded_anchors(rows: DataFrame) -> np.ndarray:
     return np.sort(found.to_numpy(np.int64).view(np.uint64))
 
 
-SHIPPED = "part int, docs array<long>, texts array<long>, payload binary, lo array<int>, hi array<int>, anchor array<long>, whole array<long>"
+SHIPPED = "part int, docs array<long>, texts array<long>, payload binary, lo array<int>, hi array<int>" + "".join(f", {c} array<long>" for c in APART)
+SENT = SHIPPED.replace("docs array<long>, texts array<long>", "docs binary, texts binary")
 
 
 def _shipped(parts: int, crowds: np.ndarray):
@@ -133,13 +158,14 @@ def _shipped(parts: int, crowds: np.ndarray):
         copy[order] = doc > np.minimum.reduceat(doc, np.flatnonzero(new))[np.cumsum(new) - 1] if len(new) else new
         crowd = np.isin(p["anchor"], crowds) & ~copy
         for doc, (lo, hi) in _by_doc(p["doc"][copy], p["lo"][copy], p["hi"][copy]):
-            yield doc % parts, [docs[doc]], [texts[doc]], None, lo, hi, None, None
-        for doc, (lo, hi, anchor, whole) in _by_doc(p["doc"][crowd], *(p[k][crowd] for k in ("lo", "hi", "anchor", "whole"))):
-            yield doc % parts, [docs[doc]], [texts[doc]], None, lo, hi, anchor.view(np.int64), whole.view(np.int64)
+            yield doc % parts, [docs[doc]], [texts[doc]], None, lo, hi, None, None, None, None
+        for doc, (lo, hi, *hashes) in _by_doc(p["doc"][crowd], *(p[k][crowd] for k in ("lo", "hi", *APART))):
+            yield doc % parts, [docs[doc]], [texts[doc]], None, lo, hi, *(h.astype(np.int64) for h in hashes)
         p = {k: v[~copy & ~crowd] for k, v in p.items()}
         part = ((p["anchor"] >> np.uint64(16)) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
         order = np.argsort(part, kind="stable")
         part, p = part[order], {k: v[order] for k, v in p.items()}
+        p |= {k: _halved(p[k]) for k in ("left", "right")}
         # Within a part, documents are in order; each part numbers those that it has.
         new = _groups(part)
         first = new | _groups(p["doc"])
@@ -147,16 +173,15 @@ def _shipped(parts: int, crowds: np.ndarray):
         head, cuts = np.flatnonzero(first), np.flatnonzero(new)
         ids, names = ids[p["doc"][head]], names[p["doc"][head]]
         p["doc"] = used - used[cuts][np.cumsum(new) - 1] if len(cuts) else used
-        packed = _pack(p)
         stops = np.r_[cuts[1:], len(part)]
         for n, a, b, c, d in zip(part[cuts].tolist(), cuts.tolist(), stops.tolist(), used[cuts].tolist(), (used[stops - 1] + 1).tolist(), strict=True) if len(cuts) else ():
-            yield n, ids[c:d], names[c:d], packed[a:b].tobytes(), None, None, None, None
+            yield n, ids[c:d], names[c:d], _pack({k: v[a:b] for k, v in p.items()}), *[None] * 6
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, docs, texts, size = [], [], [], 0
 
         def out() -> pd.DataFrame:
-            return pd.DataFrame(list(flush(held, docs, texts)), columns=["part", "docs", "texts", "payload", "lo", "hi", "anchor", "whole"])
+            return pd.DataFrame(list(flush(held, docs, texts)), columns=[c.split()[0] for c in SHIPPED.split(", ")])
 
         for batch in slices(batches):
             data = [t.encode("utf-8", "replace") for t in batch["text"]]
@@ -167,9 +192,9 @@ def _shipped(parts: int, crowds: np.ndarray):
                     length += len(data[end])
                     end += 1
                 found = pieces(data[at:end])
-                del found["at"]
                 found["doc"] = found["doc"] + len(docs)
-                held.append(found)
+                held.append({k: v.astype(np.int32) for k, v in found.items() if k in ("doc", "lo", "hi")})
+                held[-1] |= {"anchor": found["anchor"], "whole": found["whole"], "left": _halved(found["left"]), "right": _halved(found["right"])}
                 docs += batch["doc_id"].iloc[at:end].tolist()
                 texts += batch["text_id"].iloc[at:end].tolist()
                 size, at = size + length, end
@@ -182,52 +207,72 @@ def _shipped(parts: int, crowds: np.ndarray):
     return run
 
 
+def _sent(shipped):
+    """What ``_shipped`` makes, with packed ids: with many parts, nearly every piece in one has an id of its own."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in shipped(batches):
+            yield frame.assign(**{c: frame[c].map(_pack_ids) for c in ("docs", "texts")})
+
+    return run
+
+
+def _shared(anchor: np.ndarray, side: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Of numbered anchors and a side of their pieces (0: none), which are held by several documents."""
+    ok = np.flatnonzero(side)
+    key, order = bwt.in_order((anchor[ok] << 16) | side[ok].astype(np.int64))
+    begins = np.flatnonzero(_groups(key))
+    out = np.zeros(len(side), bool)
+    if len(ok):
+        of = doc[ok[order]]
+        out[ok[order]] = np.repeat(np.minimum.reduceat(of, begins) < np.maximum.reduceat(of, begins), np.diff(np.r_[begins, len(ok)]))
+    return out
+
+
 def _compared(rows: pd.DataFrame) -> pd.DataFrame:
     """Pieces of one part: whole repeats (without buckets), and pieces to compare string by string (with their anchors).
 
-    Of an anchor with more than MANY pieces to compare, the bucket is given as -1; so it is for those sent apart.
+    A string that two pieces share has the 17 bytes before or after the anchor in both, so a piece is compared only if another
+    document has one of its sides. Of an anchor with more than MANY pieces to compare, the bucket is given as -1; so it is
+    for those sent apart.
     """
     names = [c.split()[0] for c in COMPARED.split(", ")]
     done = []
 
-    def add(docs, texts, lo, hi, bucket=None, anchor=None, whole=None) -> None:
-        columns = dict(zip(names, (docs, texts, lo, hi, bucket, anchor, whole), strict=True))
+    def add(docs, texts, lo, hi, bucket=None, *apart) -> None:
+        columns = dict(zip(names, (docs, texts, lo, hi, bucket, *apart, *[None] * (len(APART) - len(apart))), strict=True))
         done.append(pd.DataFrame({c: pd.array(np.asarray(v), "Int64") if v is not None else pd.array([pd.NA] * len(lo), "Int64") for c, v in columns.items()}))
 
     for crowded in (False, True):
         ready = rows[rows["payload"].isna() & (rows["anchor"].notna() == crowded)]
         if len(ready):
             n = ready["lo"].map(len).to_numpy()
-            flat = {c: np.concatenate(ready[c].tolist()) for c in (("lo", "hi", "anchor", "whole") if crowded else ("lo", "hi"))}
-            ids = (np.repeat(np.concatenate(ready[c].tolist()), n) for c in ("docs", "texts"))
-            add(*ids, flat["lo"], flat["hi"], np.full(n.sum(), -1) if crowded else None, flat.get("anchor"), flat.get("whole"))
-    held, docs, texts = [], [], []
-    for d, t, data in zip(rows["docs"], rows["texts"], rows["payload"], strict=True):
+            flat = {c: np.concatenate(ready[c].tolist()) for c in (("lo", "hi", *APART) if crowded else ("lo", "hi"))}
+            ids = (np.repeat(np.concatenate([_unpack_ids(x) for x in ready[c]]), n) for c in ("docs", "texts"))
+            add(*ids, flat["lo"], flat["hi"], np.full(n.sum(), -1) if crowded else None, *(flat[c] for c in APART if crowded))
+    held = []
+    for docs, texts, data in zip(rows["docs"], rows["texts"], rows["payload"], strict=True):
         if data is not None:
             p = _unpack(data)
-            p["number"] = p["doc"] + sum(map(len, docs))
-            held.append(p)
-            docs.append(np.asarray(d))
-            texts.append(np.asarray(t))
+            held.append(p | {"doc": _unpack_ids(docs)[p["doc"]], "text": _unpack_ids(texts)[p["doc"]]})
     if held:
-        docs, texts = np.concatenate(docs), np.concatenate(texts)
-        p = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
-        doc = docs[p["number"]]
+        p = {k: np.concatenate([h.pop(k) for h in held]) for k in list(held[0])}
         order = _by_anchor(p["anchor"], p["whole"])
-        p, doc = {k: v[order] for k, v in p.items()}, doc[order]
+        p = {k: v[order] for k, v in p.items()}
+        doc = p["doc"]
         new_anchor = _groups(p["anchor"])
         new = new_anchor | _groups(p["whole"])
         whole = doc > np.minimum.reduceat(doc, np.flatnonzero(new))[np.cumsum(new) - 1]
         anchor = np.cumsum(new_anchor) - 1
         begins = np.flatnonzero(new_anchor)
         several = (np.bincount(anchor[new]) > 1) & (np.minimum.reduceat(doc, begins) < np.maximum.reduceat(doc, begins))
-        open_ = ~whole & several[anchor]
-        crowd = (np.bincount(anchor[open_], minlength=len(begins)) > MANY)[anchor]
-        text, of_anchor, of_whole = texts[p["number"]], p["anchor"].astype(np.int64), p["whole"].astype(np.int64)
-        add(*(c[whole] for c in (doc, text, p["lo"], p["hi"])))
-        plain, apart = open_ & ~crowd, open_ & crowd
-        add(*(c[plain] for c in (doc, text, p["lo"], p["hi"], of_anchor)))
-        add(*(c[apart] for c in (doc, text, p["lo"], p["hi"], np.full(len(doc), -1), of_anchor, of_whole)))
+        open_ = np.flatnonzero(~whole & several[anchor])
+        open_ = open_[_shared(anchor[open_], p["left"][open_], doc[open_]) | _shared(anchor[open_], p["right"][open_], doc[open_])]
+        crowd = (np.bincount(anchor[open_], minlength=len(begins)) > MANY)[anchor[open_]]
+        for pick, n in ((whole, 0), (open_[~crowd], 1), (open_[crowd], len(APART))):
+            marks, apart = [p[k][pick] for k in ("doc", "text", "lo", "hi")], [p[k][pick].astype(np.int64) for k in APART[:n]]
+            # The bucket of a piece follows from its anchor.
+            add(*marks, *(apart if n < 2 else [np.full(len(marks[0]), -1), *apart]))
     return pd.concat(done, ignore_index=True) if done else pd.DataFrame(columns=names)
 
 
@@ -351,31 +396,42 @@ def _removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["doc_id", "has_id", "n_bytes", "start", "stop", "kept"])
 
 
-def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_bytes, start and stop (arrays: the removed runs of bytes), kept (binary).
+def _told_apart(ids: DataFrame, body: Column) -> Column:
+    """A number that tells rows of one ``doc_id`` apart by their text, 0 for (nearly all of) the ids of one row.
 
-    A byte goes if a 50-byte string of the document that covers it begins in a document with a smaller id too. Texts are
-    UTF-8 bytes, null ones empty. Rows that share an id don't make each other smaller, so neither loses what only the
-    other holds; rows without an id come after all others, but beside the largest number there is.
+    Most rows then have nothing but their id to carry along. Ids of several rows are known by a hash; where they have
+    too many different ones, all rows count as such.
     """
-    body = text_or_empty(docs, text)
-    number = F.coalesce(col(docs, doc_id).cast("long"), F.lit(LAST_ID))
-    rows = docs.select(number.alias("doc_id"), F.xxhash64(body).alias("text_id"), body.alias("text"), col(docs, doc_id).cast("long").alias("id"))
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(ID_BUCKETS))
+    several = ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(bucket.alias("bucket")).distinct()
+    found = [r.bucket for r in several.limit(SHARED_IDS + 1).collect()]
+    if len(found) > SHARED_IDS:
+        return F.xxhash64(body)
+    return F.when(bucket.isin(found), F.xxhash64(body)).otherwise(F.lit(0).cast("long")) if found else F.lit(0).cast("long")
+
+
+def _marks(rows: DataFrame) -> DataFrame:
+    """The places (lo to hi) of the rows' 50-byte strings that a smaller document holds too."""
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // PART_BYTES))
     long_rows = rows.where(F.octet_length("text") >= WINDOW).select("doc_id", "text_id", "text")
-    shipped = long_rows.mapInPandas(_shipped(parts, crowded_anchors(long_rows)), SHIPPED)
+    shipped = long_rows.mapInPandas(_sent(_shipped(parts, crowded_anchors(long_rows))), SENT)
     compared = cut_lineage(shipped.groupBy("part").applyInPandas(_compared, COMPARED))
 
-    # Of crowded anchors, pieces that a smaller document holds whole are done; only the others are cut into strings.
+    # Of crowded anchors, pieces that a smaller document holds whole are done; of the others, those that have a side in
+    # common with another document are cut into strings.
     crowd = compared.where("anchor IS NOT NULL")
     holders = crowd.groupBy("anchor", "whole").agg(F.min("doc_id").alias("first_doc"))
     again = (F.col("doc_id") > F.col("first_doc")).alias("again")
-    crowd = cut_lineage(crowd.join(holders, ["anchor", "whole"]).select("doc_id", "text_id", "lo", "hi", "bucket", again))
+    crowd = cut_lineage(crowd.join(holders, ["anchor", "whole"]).select("doc_id", "text_id", "lo", "hi", "bucket", "anchor", "left", "right", again))
+    sides = F.explode(F.array(*(F.struct(F.lit(n).alias("n"), F.col(c).alias("hash")) for n, c in enumerate(("left", "right")))))
+    sides = crowd.where("NOT again").select("doc_id", "text_id", "lo", "hi", "bucket", "anchor", sides.alias("side")).where("side.hash <> 0")
+    shared = sides.groupBy("anchor", "side").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc")
+    apart = sides.join(shared.select("anchor", "side"), ["anchor", "side"]).select("doc_id", "text_id", "lo", "hi", "bucket").distinct()
 
     refs = compared.where("bucket IS NOT NULL AND anchor IS NULL").select("doc_id", "text_id", "lo", "hi", "bucket")
     asked = refs.count()
-    refs = refs.unionByName(crowd.where("NOT again").drop("again"))
+    refs = refs.unionByName(apart)
     # One struct of three arrays is quicker to read than many structs.
     of_doc = refs.groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("lo", "hi", "bucket")).alias("refs"))
     of_doc = of_doc.withColumn("refs", F.array(F.struct(*(F.col(f"refs.{c}").alias(c) for c in ("lo", "hi", "bucket")))))
@@ -399,7 +455,21 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         runs.where("again").select("doc_id", "text_id", "lo", (F.col("lo") + F.octet_length("piece") - WINDOW).alias("hi")),
         cut_lineage(repeated.select("doc_id", "text_id", "lo", F.col("lo").alias("hi"))),
     ]
-    marks = reduce(DataFrame.unionByName, marks).groupBy("doc_id", "text_id").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
+    return reduce(DataFrame.unionByName, marks)
+
+
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_bytes, start and stop (arrays: the removed runs of bytes), kept (binary).
+
+    A byte goes if a 50-byte string of the document that covers it begins in a document with a smaller id too. Texts are
+    UTF-8 bytes, null ones empty. Rows that share an id don't make each other smaller, so neither loses what only the
+    other holds; rows without an id come after all others, but beside the largest number there is.
+    """
+    number = F.coalesce(col(docs, doc_id).cast("long"), F.lit(LAST_ID))
+    rows = docs.select(number.alias("doc_id"), text_or_empty(docs, text).alias("text"), col(docs, doc_id).cast("long").alias("id"))
+    with lean_steps(docs.sparkSession):
+        rows = rows.withColumn("text_id", _told_apart(rows.select("doc_id"), F.col("text")))
+        marks = _marks(rows).groupBy("doc_id", "text_id").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
     named = rows.select("doc_id", "text_id", "text", F.col("id").isNotNull().alias("has_id"))
     out = named.join(marks, ["doc_id", "text_id"], "left").mapInPandas(_removed, REMOVED)
     return out.withColumn("doc_id", F.when(F.col("has_id"), F.col("doc_id"))).drop("has_id")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,6 +70,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# For a chain of written steps, each a query of its own: its shuffle files go as soon as it is done, not when the driver
+# happens to collect its garbage; and texts come to Python a few megabytes at a time.
+LEAN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
+@contextmanager
+def lean_steps(spark: SparkSession) -> Iterator[None]:
+    """Run what is inside with the settings of ``LEAN``; those of before come back."""
+    before = {key: spark.conf.get(key, None) for key in LEAN}
+    for key, value in LEAN.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Rows of a scan that has fewer splits than there are cores, dealt out over all cores.
 
